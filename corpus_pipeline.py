@@ -1,8 +1,80 @@
-"""The training-data pipeline; stages follow."""
+"""The training-data pipeline: language, near duplicates, secrets, mixing, tokens.
 
-STAGES = []
+Each stage takes all that its predecessor kept, as a table read back from Parquet, and
+returns the columns of ``documents``; the last one returns the tokens' digests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, mixture, ngram_join, piece_codec, secret_scan
+from tidemark.llm.common import anti_by_id, materialize, small_batches
+from tidemark.llm.queries import documents, piece_model
+from tidemark.session import ship
+
+#: A text of so many characters that is still ambiguous mixes languages.
+LONG_ENOUGH = 400
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without letters go, and long ones that no single language explains."""
+    ship(spark)
+    model = language_id.fit(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    found = language_id.predict(docs, model, prefix="_")
+    mixed = F.col("_ambiguous") & (F.length("text") >= LONG_ENOUGH)
+    kept = found.where((F.col("_lang_pred") != language_id.UNDETERMINED) & ~mixed)
+    return (kept if model else docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id, and of repeated rows one."""
+    ship(spark)
+    found = materialize(ngram_join.near_duplicates(docs), "components")
+    kept = anti_by_id(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), ["doc_id"])
+    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    single = anti_by_id(kept, repeated, ["doc_id"])
+    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    found = secret_scan.scan(docs, prefix="_")
+    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("_spans")))
+    return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources by their weights, as documents."""
+    ship(spark)
+    small_batches(spark)
+    return mixture.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its number of tokens and the digests of its ids and of the text they decode to."""
+    ship(spark)
+    small_batches(spark)
+    return piece_codec.encode_decode(docs, piece_model())
+
+
+STAGES = [
+    ("language ID", languages),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding", tokens),
+]
+
+#: Trained classifiers and pseudorandom draws are beyond SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

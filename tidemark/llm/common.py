@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: a batch of very long texts stays within a Python worker's memory.
-ARROW_ROWS = 256
+#: Bytes in an Arrow batch.
+ARROW_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,19 +32,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound the bytes of an Arrow batch, unless the session already asks for fewer: texts may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
-def anti_by_id(df: DataFrame, gone: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """``df`` without the rows whose key is in ``gone``.
+def anti_by_id(df: DataFrame, gone: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
+    """``df`` without the rows whose keys are in ``gone``.
 
-    ``gone`` is broadcast only when it was counted to hold at most ``most`` ids;
+    ``gone`` is broadcast only when it was counted to hold at most ``most`` rows;
     otherwise both sides are shuffled.
     """
-    ids = gone.select(key)
+    ids = gone.select(*keys)
     if ids.limit(most + 1).count() <= most:
         ids = F.broadcast(ids)
-    return df.join(ids, key, "left_anti")
+    return df.join(ids, keys, "left_anti")
+
+
+def running_base(rows: DataFrame, group: list[str], cell: str, value: Column, name: str) -> DataFrame:
+    """Per group and cell the sum of ``value`` over the group's smaller cells, as ``name``.
+
+    Together with a window inside each cell this numbers or sums rows in order without
+    ever bringing a group into one task: the window here runs over one row per cell.
+    """
+    sums = rows.groupBy(*group, cell).agg(F.sum(value).alias("_of_cell"))
+    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*group, cell, F.coalesce(F.sum("_of_cell").over(before), F.lit(0)).cast("long").alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, piece_codec, secret_scan
+from tidemark.llm import language_id, license_scan, media, mixture, ngram_join, piece_codec, secret_scan, sharding, url_filter, vector_search
 from tidemark.llm.common import small_batches
 
 
@@ -47,5 +47,81 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_search.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(documents(spark, sf_dir), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.fit(docs)).select("doc_id", F.explode_outer(F.array("licenses")).alias("l"))
+    return found.select(
+        "doc_id",
+        F.size("l").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("l", lambda r: F.concat_ws(":", r["paragraph"].cast("string"), r["family"])), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("l", lambda r: r["probability"])), F.lit(0.0)).alias("probability"),
+        F.exists("l", lambda r: r["confirmed"]).alias("confirmed"),
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(documents(spark, sf_dir))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_columns(documents(spark, sf_dir))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = [url_filter.host_rule(verdict, name) for verdict, name in URL_RULES]
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_language_id,
+        op3_secret_scan,
+        op4_vector_search,
+        op5_ngram_join,
+        op6_sharding,
+        op7_license_scan,
+        op8_mixing,
+        op9_media_columns,
+        op10_url_filter,
+    )
+}
+
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
+    for h, p in (name.split("/", 1) for _, name in sorted(URL_RULES, key=lambda r: -len(r[1])))
+)
+_BLOCKED = " OR ".join(f"'.' || host || path LIKE '{r.glob.replace('**', '%')}'" for r in url_filter.DEFAULTS)
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": f"""
+WITH parsed AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages),
+ruled AS (SELECT *, CASE {_FITS} END AS rule FROM parsed)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ({", ".join(f"'{n}'" for v, n in URL_RULES if v == "allow")}) THEN 'allow'
+            WHEN rule IS NOT NULL OR {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""",
+}
