@@ -93,14 +93,14 @@ def filter_search(chunks: DataFrame, wanted: DataFrame, keys: list[str], n: int,
 def dedup_within(hits: DataFrame, key: str = "chunk_id", order: str = "rank") -> DataFrame:
     """The first hit of each chunk per query; hits without an id all stay."""
     n = F.row_number().over(Window.partitionBy("query_id", key).orderBy(order))
-    return hits.withColumn("_n", n).where((F.col("_n") == 1) | (F.coalesce(key, F.lit("")) == "")).drop("_n")
+    return hits.withColumn("_n", n).where((F.col("_n") == 1) | (F.coalesce(F.col(key).cast("string"), F.lit("")) == "")).drop("_n")
 
 
 def dedup_across(first: DataFrame, second: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Both lists one after the other; a chunk of the first list is left out of the second. Appends ``place``."""
     rows = first.withColumn("source_order", F.lit(0)).unionByName(second.withColumn("source_order", F.lit(1)))
     n = F.row_number().over(Window.partitionBy("query_id", key).orderBy("source_order", "rank"))
-    kept = rows.withColumn("_n", n).where((F.col("_n") == 1) | (F.coalesce(key, F.lit("")) == "")).drop("_n")
+    kept = rows.withColumn("_n", n).where((F.col("_n") == 1) | (F.coalesce(F.col(key).cast("string"), F.lit("")) == "")).drop("_n")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("source_order", "rank")))
 
 

@@ -85,12 +85,12 @@ def _text(name: str, engine: str) -> str:
 
 def duckdb(sql: str) -> str:
     """DuckDB SQL with the views put in as nested queries."""
-    return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES else f"({duckdb(_text(m[1], 'duckdb'))})", sql)
+    return re.sub(r"\{([a-z]\w*)\}", lambda m: m[1] if m[1] in TABLES else f"({duckdb(_text(m[1], 'duckdb'))})", sql)
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Spark's result of SQL over tables and views."""
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    names = sorted(set(re.findall(r"\{([a-z]\w*)\}", sql)))
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in names})
 
 
