@@ -22,6 +22,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sentences(text: Column) -> Column:
     """Sentences without surrounding white space; a full stop after an abbreviation ends none."""
     kept = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.", "$1\x02")

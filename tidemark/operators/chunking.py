@@ -99,8 +99,8 @@ def speaker_turns(body: Column) -> Column:
     pattern = r"(?m)^([A-Z][^:\n]{2,50}):\s"
     names = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
     said = F.slice(F.split(body, pattern), 2, F.size(names))
-    turns = F.zip_with(names, said, lambda n, s: F.struct(n.alias("speaker"), F.trim(s).alias("said")))
-    whole = F.array(F.struct(F.lit("").alias("speaker"), F.trim(body).alias("said")))
+    turns = F.zip_with(names, said, lambda n, s: F.struct(n.alias("speaker"), text.strip(s).alias("said")))
+    whole = F.array(F.struct(F.lit("").alias("speaker"), text.strip(body).alias("said")))
     return F.filter(F.when(F.size(names) == 0, whole).otherwise(turns), lambda t: t["said"] != "")
 
 

@@ -39,9 +39,7 @@ def read_filings_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_claims(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """Claims of all files of a pattern, an array or a single object each; files that cannot be parsed are left out."""
-    broken = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(broken).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern)
 
 
 def existing_only(rows: DataFrame, files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
