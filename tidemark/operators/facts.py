@@ -186,20 +186,25 @@ def classify_metrics(requests: DataFrame, column: str = "metric") -> DataFrame:
 def calculate_metrics(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Values for requests ``(ticker, fiscal_label, metric, prior_label)`` from latest facts: append ``value``, ``unit`` and ``error``.
 
-    Facts join four times at most: concept and revenue of the current and of the prior
-    period; unsupported and unknown metrics take part in no join.
+    The facts of a period, one per concept, become one row, so that requests join twice
+    whatever the formula: with the current and with the prior period.
     """
     rows = classify_metrics(requests)
-    latest = latest_facts(facts)
-
-    def of(period: str, concept: Column, name: str) -> DataFrame:
-        side = latest.select(F.col("ticker").alias("_t"), F.col("fiscal_label").alias("_l"), F.col("concept").alias("_c"), F.col("value").alias(name), F.col("unit").alias(f"{name}_unit"))
-        return rows.join(side, (rows["ticker"] == F.col("_t")) & (rows[period] == F.col("_l")) & (concept == F.col("_c")), "left").drop("_t", "_l", "_c")
-
-    rows = of("fiscal_label", rows["concept"], "cur")
-    rows = of("prior_label", rows["concept"], "prior")
-    rows = of("fiscal_label", F.when(rows["formula"].isin("margin", "margin_change"), F.lit("Revenues")), "rev")
-    rows = of("prior_label", F.when(rows["formula"] == "margin_change", F.lit("Revenues")), "prior_rev")
+    fact = F.struct("concept", F.struct("value", "unit"))
+    periods = latest_facts(facts).groupBy("ticker", "fiscal_label").agg(F.map_from_entries(F.collect_list(fact)).alias("_facts"))
+    rows = rows.join(periods.withColumnRenamed("_facts", "_cur"), ["ticker", "fiscal_label"], "left")
+    rows = rows.join(periods.toDF("ticker", "prior_label", "_prior"), ["ticker", "prior_label"], "left")
+    of = lambda period, concept: F.try_element_at(period, concept)
+    revenue = F.lit("Revenues")
+    rows = rows.withColumns(
+        {
+            "cur": of(F.col("_cur"), F.col("concept"))["value"],
+            "cur_unit": of(F.col("_cur"), F.col("concept"))["unit"],
+            "prior": of(F.col("_prior"), F.col("concept"))["value"],
+            "rev": of(F.col("_cur"), revenue)["value"],
+            "prior_rev": of(F.col("_prior"), revenue)["value"],
+        }
+    )
     cur, prior, rev, prior_rev, formula = (F.col(c) for c in ("cur", "prior", "rev", "prior_rev", "formula"))
     margin = lambda v, r: F.when((r.isNotNull()) & (r != 0), v / r * 100)
     growth = F.when(prior.isNotNull() & (prior != 0), (cur - prior) / F.abs(prior) * 100)

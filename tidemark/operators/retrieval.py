@@ -33,7 +33,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query_col), F.lit(TERM), F.lit(0)))).alias("term"))
     words = chunks.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)).alias("w"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_length"))
+    total = chunks.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text_col), F.lit(TERM))).alias("mean_length"))
     postings = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = postings.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

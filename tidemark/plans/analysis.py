@@ -71,10 +71,9 @@ s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 ranked AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s)"""
 
 
-@query(f"{_BM25} SELECT query_id, id, rank, round(score, 4) AS score FROM ranked WHERE rank <= 10", "documents", "benchmark")
+@query(f"{_BM25} SELECT query_id, id, rank, score FROM ranked WHERE rank <= 10", "documents", "benchmark")
 def g1_bm25_topk(documents, benchmark):
-    hits = retrieval.bm25(documents, _queries(benchmark), 10, id_col="doc_id", text_col="text")
-    return hits.withColumn("score", F.round("score", 4))
+    return retrieval.bm25(documents, _queries(benchmark), 10, id_col="doc_id", text_col="text")
 
 
 @query(

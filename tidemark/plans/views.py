@@ -40,15 +40,15 @@ FROM {fiscal_orders} JOIN {lineitem} ON l_orderkey = o_orderkey
 GROUP BY ticker, cik, fiscal_label, fy, fq""",
     "facts": """
 SELECT ticker, cik, cik || '-' || fiscal_label AS accession, CASE WHEN fq = 4 THEN '10-K' ELSE '10-Q' END AS form,
-       fiscal_label, fy, fq, concept, value, unit, CASE WHEN concept = 'Assets' THEN NULL ELSE period_start END AS period_start, period_end
-FROM (
-  SELECT *, 'Revenues' AS concept, revenue AS value, 'USD' AS unit FROM {sums}
-  UNION ALL SELECT *, 'CostOfRevenue', cost, 'USD' FROM {sums}
-  UNION ALL SELECT *, 'GrossProfit', round(revenue - cost, 4), 'USD' FROM {sums}
-  UNION ALL SELECT *, 'OperatingIncomeLoss', round(revenue - 2 * cost, 4), 'USD' FROM {sums}
-  UNION ALL SELECT *, 'NetIncomeLoss', round(revenue - 2 * cost - tax, 4), 'USD' FROM {sums} WHERE fq <> 2
-  UNION ALL SELECT *, 'WeightedAverageNumberOfSharesOutstandingBasic', shares, 'shares' FROM {sums}
-  UNION ALL SELECT *, 'Assets', cash, 'USD' FROM {sums}) f""",
+       fiscal_label, fy, fq, concept,
+       CASE concept WHEN 'Revenues' THEN revenue WHEN 'CostOfRevenue' THEN cost WHEN 'GrossProfit' THEN round(revenue - cost, 4)
+            WHEN 'OperatingIncomeLoss' THEN round(revenue - 2 * cost, 4) WHEN 'NetIncomeLoss' THEN round(revenue - 2 * cost - tax, 4)
+            WHEN 'Assets' THEN cash ELSE shares END AS value,
+       CASE WHEN concept = 'WeightedAverageNumberOfSharesOutstandingBasic' THEN 'shares' ELSE 'USD' END AS unit,
+       CASE WHEN concept <> 'Assets' THEN period_start END AS period_start, period_end
+FROM {sums} CROSS JOIN (VALUES ('Revenues'), ('CostOfRevenue'), ('GrossProfit'), ('OperatingIncomeLoss'), ('NetIncomeLoss'), ('Assets'),
+     ('WeightedAverageNumberOfSharesOutstandingBasic')) AS c(concept)
+WHERE concept <> 'NetIncomeLoss' OR fq <> 2""",
     "fact_entries": """
 SELECT accession, form, concept AS tag, unit, period_start AS start_day, period_end AS end_day, value, 0 AS position FROM {facts}
 UNION ALL SELECT accession, form, 'RevenueFromContractWithCustomerExcludingAssessedTax', unit, period_start, period_end, value + 1, 1
