@@ -102,10 +102,19 @@ def pack(payloads: DataFrame) -> DataFrame:
 
 def header_columns(shards: DataFrame) -> DataFrame:
     """``digest, shard, offset, length, width, height, bits`` of every member, from its first 33 bytes only."""
-    heads = F.transform("members", lambda m: F.struct(m["digest"].alias("digest"), m["offset"].alias("offset"), m["length"].alias("length"), F.substring("tar", (m["offset"] + 1).cast("int"), F.lit(HEADER)).alias("head")))
-    rows = shards.select("shard", heads.alias("heads")).select("shard", F.inline("heads"))
-    number = lambda at, n: F.conv(F.hex(F.substring("head", at, n)), 16, 10).cast("int")
-    return rows.select("digest", "shard", "offset", "length", number(17, 4).alias("width"), number(21, 4).alias("height"), number(25, 1).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, tar, members in zip(batch.column(0), batch.column(1), batch.column(2)):
+                view, rows = memoryview(tar.as_buffer()), []
+                for m in members.as_py():
+                    width, height, bits = struct.unpack(">IIB", view[m["offset"] + 16 : m["offset"] + HEADER][:9])
+                    rows.append((m["digest"], shard.as_py(), m["offset"], m["length"], width, height, bits))
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["digest", "shard", "offset", "length", "width", "height", "bits"])
+
+    schema = "digest string, shard string, offset long, length long, width int, height int, bits int"
+    return shards.select("shard", "tar", "members").mapInArrow(run, schema)
 
 
 def read_back(shards: DataFrame) -> DataFrame:
