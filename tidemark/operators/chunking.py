@@ -59,6 +59,69 @@ def coalesce_units(sizes: Column, least: int = CHUNK_MIN, most: int = PARENT) ->
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
+def merge_small(sizes: Column, least: int = CHILD_MIN) -> Column:
+    """Group number of each item: a group grows until it has ``least`` tokens; what is left at the end joins the last full group."""
+    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        new = acc["used"] >= least
+        g = acc["g"] + F.when(new, 1).otherwise(0)
+        return F.struct(g.alias("g"), F.when(new, n).otherwise(acc["used"] + n).cast("long").alias("used"), F.concat(acc["out"], F.array(g)).alias("out"))
+
+    def finish(acc: Column) -> Column:
+        short = (acc["used"] < least) & (acc["g"] > 0)
+        return F.transform(acc["out"], lambda g: g - F.when(short & (g == acc["g"]), 1).otherwise(0))
+
+    return F.aggregate(sizes, start, step, finish)
+
+
+def split_oversized(docs: DataFrame, target: int, least: int, *, id_col: str = "doc_id", text_col: str = "text", size=text.token_count) -> DataFrame:
+    """``id, block, n_items, n_tokens, body``: tables cut at lines, prose and over-long lines at words; blocks below ``least`` tokens are left out.
+
+    An over-long line is a segment of its own; packing never crosses segments.
+    """
+    body = F.col(text_col)
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    lines = F.filter(F.split(body, "\n"), lambda line: text.strip(line) != "")
+    units = F.when(text.is_row_shaped(body), F.transform(lines, lambda line: F.struct((size(line) > target).alias("long"), line.alias("t")))).otherwise(F.array(F.struct(F.lit(True).alias("long"), body.alias("t"))))
+    rows = docs.select(id_col, F.posexplode(units).alias("at", "u"))
+    order = Window.partitionBy(id_col).orderBy("at")
+    new = F.col("u.long") | F.coalesce(F.lag("u.long").over(order), F.lit(False))
+    rows = rows.withColumn("segment", F.sum(new.cast("int")).over(order))
+    items = rows.select(id_col, "segment", "at", F.posexplode(F.when(F.col("u.long"), words(F.col("u.t"))).otherwise(F.array("u.t"))).alias("k", "t"), F.col("u.long").alias("long"))
+    packed = items.groupBy(id_col, "segment").agg(F.array_sort(F.collect_list(F.struct("at", "k", "t"))).alias("c"), F.first("long").alias("long"))
+    packed = packed.withColumn("n", F.transform("c", lambda c: size(c["t"]).cast("int"))).withColumn("g", folds.pack_long(target)("n"))
+    parts = packed.select(id_col, "segment", "long", F.inline(F.arrays_zip(F.transform("c", lambda c: c["t"]).alias("t"), F.transform("c", lambda c, k: k).alias("k"), "n", "g")))
+    out = parts.groupBy(id_col, "segment", "g", "long").agg(F.count("*").alias("n_items"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "t"))).alias("c"))
+    joined = F.when(F.col("long"), F.array_join(F.transform("c", lambda c: c["t"]), " ")).otherwise(F.array_join(F.transform("c", lambda c: c["t"]), "\n"))
+    block = F.row_number().over(Window.partitionBy(id_col).orderBy("segment", "g")) - 1
+    return out.withColumn("block", block).where(F.col("n_tokens") >= least).select(id_col, "block", "n_items", "n_tokens", joined.alias("body"))
+
+
+def parent_blocks(sections: DataFrame, target: int = PARENT, least: int = CHUNK_MIN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, block, n_tokens, body``: units of discussion sections with more than one, merged while small; sentences packed to the target else."""
+    rows = sections.withColumn("_u", macro_units(F.col(text_col)))
+    topical = (F.col("section") == "mda") & (F.size("_u") > 1)
+    units = rows.where(topical).select(id_col, "_u").withColumn("n", F.transform("_u", lambda u: text.token_count(u).cast("int")))
+    units = units.withColumn("g", coalesce_units(F.col("n"), least, target))
+    units = units.select(id_col, F.posexplode(F.arrays_zip("g", "n", "_u")).alias("place", "z")).select(id_col, "place", "z.*")
+    merged = units.groupBy(id_col, F.col("g").alias("block")).agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "_u"))).alias("c"))
+    merged = merged.where(F.col("n_tokens") >= least).select(id_col, "block", "n_tokens", F.array_join(F.transform("c", lambda c: c["_u"]), " ").alias("body"))
+    rest = rows.where(~topical).withColumn("_s", text.sentences(F.col(text_col)))
+    packed = group_sentences(rest, target, least, id_col=id_col, pieces=F.col("_s"))
+    return merged.unionByName(packed.select(id_col, "block", "n_tokens", "body"))
+
+
+def enforce_max(children: DataFrame, most: int = CHILD_MAX, *, id_col: str = "child_id", text_col: str = "text", size=text.token_count) -> DataFrame:
+    """Children within ``most`` tokens as they are, others cut at word starts; the parts of a child joined give its text."""
+    pieces = F.filter(F.split(F.regexp_replace(text_col, r"(\s)(?=\S)", "$1" + text.MARK), text.MARK), lambda w: w != "")
+    rows = children.select(id_col, F.when(size(F.col(text_col)) <= most, F.array(text_col)).otherwise(pieces).alias("p"))
+    rows = rows.withColumn("n", F.transform("p", lambda p: size(p).cast("int"))).withColumn("g", folds.pack_long(most)("n"))
+    rows = rows.select(id_col, F.posexplode(F.arrays_zip("g", "n", "p")).alias("place", "z")).select(id_col, "place", "z.*")
+    out = rows.groupBy(id_col, F.col("g").alias("part")).agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "p"))).alias("c"))
+    return out.select(id_col, "part", "n_tokens", F.array_join(F.transform("c", lambda c: c["p"]), "").alias("body"))
+
+
 def detect_subsection(body: Column, section: Column) -> Column:
     """For three sections the leading header in capitals or a known topic, in snake case; else empty. Longer topics are tried first."""
     plain = F.trim(body)

@@ -55,7 +55,9 @@ def strip_noise(html: Column) -> Column:
 
 
 class PageReader(HTMLParser):
-    """Events of a page in order: ``(kind, text, target)`` with kinds anchor, link, heading, bold, row and text.
+    """Events of a page in order: ``(kind, text, target)`` with kinds anchor, link, heading, title, bold, row and text.
+
+    Headings, links and bold runs stand before the texts within them.
 
     A table row is one event with its filled cells joined by `` | ``, so that its texts count once.
     """
@@ -107,7 +109,9 @@ class PageReader(HTMLParser):
             inner = " ".join(e[1] for e in self.events[start:] if e[0] == "text")
             kind = "link" if tag == "a" else "heading" if tag in HEADING_TAGS else "bold"
             if inner and not (kind == "bold" and len(inner) > 300):
-                self.events.append((kind, inner, target))
+                if kind == "heading":  # its texts belong to no section's body
+                    self.events[start:] = [("title", *e[1:]) if e[0] == "text" else e for e in self.events[start:]]
+                self.events.insert(start, (kind, inner, target))
 
     def handle_data(self, data):
         words = " ".join(data.split())
@@ -232,7 +236,7 @@ def toc_sections(events: DataFrame, form: str = "10-Q", least: int = 3) -> DataF
     targets = links.join(enough, "id", "left_semi").groupBy("id", "target").agg(F.min_by(F.struct("part", "item"), "place").alias("k"))
     at = events.where("kind = 'anchor'").groupBy("id", "target").agg(F.min("place").alias("at"))
     starts = targets.join(at, ["id", "target"]).withColumn("next", F.lead("at").over(Window.partitionBy("id").orderBy("at")))
-    e = events.where("kind in ('row', 'text')").select(F.col("id").alias("e_id"), "place", "content")
+    e = events.where("kind in ('row', 'text', 'title')").select(F.col("id").alias("e_id"), "place", "content")
     inside = starts.join(e, (F.col("id") == F.col("e_id")) & (F.col("place") >= F.col("at")) & (F.col("place") < F.coalesce("next", F.lit(2**31 - 1))))
     body = inside.groupBy("id", "at", canonical_section(F.lit(form), F.col("k.part"), F.col("k.item")).alias("section")).agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("c"))
     body = body.where("section is not null").withColumn("_n", F.row_number().over(Window.partitionBy("id", "section").orderBy("at"))).where("_n = 1")

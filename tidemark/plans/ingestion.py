@@ -193,9 +193,47 @@ def c3_page_events(pages):
     return parsing.page_events(pages).groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-@query(None, "pages")
-def c10_parse_filings(pages):
-    return parsing.parse_filings(pages)
+def _bodies(method: str = "", heading: str = "", least: int = 1) -> str:
+    """SQL for the sections of the pages that :func:`_filing_pages` makes of documents with at least ``least`` lines."""
+    plain = "trim(regexp_replace(line, '\\s+', ' ', 'g'))"
+    return f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, generate_subscripts(l[1:3], 1) AS i, unnest(l[1:3]) AS line FROM d WHERE len(l) >= {least})
+SELECT doc_id AS id, CASE i WHEN 1 THEN 'mda' WHEN 2 THEN 'quantitative_qualitative_disclosures' ELSE 'controls_and_procedures' END AS section,
+ {method} md5({heading} {plain}) AS digest FROM e WHERE {plain} <> ''"""
+
+
+def _filing_pages(documents, contents: bool):
+    """Filing pages whose three sections are the first lines of a document."""
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.slice(F.split(safe, "\n"), 1, 3)
+    links = "".join(f'<a href="#s{k}">Item {k + 2}. Section</a>' for k in range(3)) if contents else ""
+    body = F.transform(lines, lambda line, k: F.concat(F.lit('<h2 id="s'), k.cast("string"), F.lit('">Item '), (k + 2).cast("string"), F.lit(". Section</h2><p>"), line, F.lit("</p>")))
+    page = F.concat(F.lit("<html><style>x</style><body>" + links), F.array_join(body, ""), F.lit("</body></html>"))
+    return documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))
+
+
+@query(_bodies(heading="'Item ' || CAST(i + 1 AS STRING) || '. Section ' ||", least=3), "documents")
+def c6_toc_segment(documents):
+    pages = _filing_pages(documents.where(F.size(F.split("text", "\n")) >= 3), True)
+    found = parsing.toc_sections(parsing.page_events(pages)).where(~F.col("body").rlike(r"^Item \d\. Section$"))
+    return found.select("id", "section", F.md5("body").alias("digest"))
+
+
+@query(_bodies(), "documents")
+def c7_heading_segment(documents):
+    found = parsing.heading_sections(parsing.page_events(_filing_pages(documents, False)), F.lit("10-Q"))
+    return found.select("id", "section", F.md5("body").alias("digest"))
+
+
+@query(_bodies("'headings' AS method,"), "documents")
+def c10_parse_filings(documents):
+    found = parsing.parse_filings(_filing_pages(documents, False))
+    return found.select("id", "section", "method", F.md5("body").alias("digest"))
+
+
+@query("SELECT doc_id AS id, CAST(k + 2 AS STRING) AS item, 'I' AS part FROM documents, (VALUES (0), (1), (2)) v(k)", "documents")
+def c4_toc_anchors(documents):
+    return parsing.toc_anchors(parsing.page_events(_filing_pages(documents, True))).select("id", "item", "part")
 
 
 _ITEMS = "(SELECT conv_id, turn, CAST(1 + (turn * 2 + conv_id) % 6 AS STRING) || CASE WHEN (conv_id + turn) % 3 = 0 THEN 'A' ELSE '' END AS item FROM conversations)"
@@ -313,6 +351,14 @@ def d9_semantic_valleys(embeddings):
     return rows.select("label", "vec_id", "similarity", "valley")
 
 
+@query("SELECT doc_id, md5(text) AS digest, true AS within FROM documents", "documents")
+def d10_enforce_max(documents):
+    """The parts of every text joined give the text, and all stay within the limit."""
+    parts = chunking.enforce_max(documents.select("doc_id", "text"), 300, id_col="doc_id")
+    out = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "body"))).alias("c"), (F.max("n_tokens") <= 300).alias("within"))
+    return out.select("doc_id", F.md5(F.array_join(F.transform("c", lambda c: c["body"]), "")).alias("digest"), "within")
+
+
 @query(None, "documents")
 def d13_macro_units(documents):
     return documents.select("doc_id", F.size(chunking.macro_units(F.col("text"))).alias("n_units"))
@@ -326,6 +372,31 @@ def d16_group_sentences(documents):
     return chunking.group_sentences(documents, 60, 20, size=text.word_count).drop("body")
 
 
+@query(
+    "SELECT * FROM (" + _PACK.format("doc_id", "i0", "n0", "(SELECT doc_id, generate_subscripts(s, 1) AS i0, length(unnest(s)) AS n0 FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda w: w <> '') AS s FROM documents WHERE NOT contains(text, '|')))", 2000) + ") WHERE n_tokens >= 500",
+    "documents",
+)
+def d15_split_oversized(documents):
+    out = chunking.split_oversized(documents.where(~F.col("text").contains("|")), 2000, 500, size=F.length)
+    return out.select("doc_id", "block", F.col("n_items").alias("n_sentences"), "n_tokens")
+
+
+@query(None, "documents")
+def d17_parent_blocks(documents):
+    section = F.when(F.col("doc_id") % 3 == 0, "mda").otherwise("business")
+    out = chunking.parent_blocks(documents.select("doc_id", section.alias("section"), "text"), 200, 20)
+    return out.select("doc_id", "block", "n_tokens", F.md5("body").alias("digest"))
+
+
+@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, true AS large_enough FROM conversations GROUP BY conv_id", "conversations")
+def d11_merge_small(conversations):
+    """Merged groups cover all turns, and none is small unless it is the only one."""
+    rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("c"))
+    rows = rows.select("conv_id", F.transform("c", lambda c: c["n"]).alias("n")).withColumn("g", chunking.merge_small(F.col("n"), 300))
+    rows = rows.select("conv_id", F.inline(F.arrays_zip("n", "g"))).groupBy("conv_id", "g").agg(F.sum("n").alias("n"))
+    return rows.groupBy("conv_id").agg(F.sum("n").alias("n_chars"), ((F.min("n") >= 300) | (F.count("*") == 1)).alias("large_enough"))
+
+
 @query(None, "documents")
 def d18_detect_subsection(documents):
     section = F.when(F.col("doc_id") % 2 == 0, "mda").otherwise("properties")
