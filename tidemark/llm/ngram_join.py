@@ -9,12 +9,14 @@ least n - k parts, hence at least one signature that is neither empty nor *hot*
 by more than ``HOT`` sets), provided one of the two has more than k such parts. So:
 
 * sets that are short of non-empty parts also sign their single elements;
-* hot signatures only matter between sets that have k or fewer parts outside them.
+* hot signatures only matter between sets that have k or fewer parts outside them;
+  such sets are few and stand in dense groups, which are compared within by blocks.
 
 No pair is lost, and no group of a shared passage or of copies is expanded into pairs:
 sets that share a signature are first compared with the group's smallest id only; what
 that links is one component; only members of different components are compared further.
-Every comparison counts exactly. Sets are compared by 64-bit hashes of their n-grams.
+The argument also says how many cold signatures a linked pair shares at least, which
+leaves few pairs to compare. Every comparison counts exactly, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import anti_by_id, materialize, small_batches
 
 WORDS, PERCENT, HOT = 5, 75, 64
+#: Sets and elements in a block of a dense group, and distinct elements counted at a time.
+BLOCK, BLOCK_ELEMENTS, COLUMNS = 256, 250_000, 4_096
+#: Edges whose components one task may find.
+FEW_EDGES = 100_000
 #: Words whose hashes a worker keeps; a full table starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 
 class WordHashes(dict):
@@ -228,12 +234,36 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def smallest_reachable(edges: DataFrame) -> DataFrame:
+def components_of_few(edges: DataFrame) -> DataFrame:
+    """``(id, component)`` by union and find in one task; the caller has counted the edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent.setdefault(parent[x], parent[x])
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                u, v = root(u), root(v)
+                parent[max(u, v)] = min(u, v)
+        ids = sorted(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(i) for i in ids], pa.int64())], ["id", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def smallest_reachable(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """``(id, component)`` of every id in the edges ``(a, b)``: the smallest id of its connected component.
 
-    Alternating large-star and small-star steps; each needs one aggregation and one join, and no group meets in one task.
+    Up to ``few`` edges, counted before, go to one task. More take alternating large-star
+    and small-star steps; each needs one aggregation and one join, and no group meets in one task.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if now.limit(few + 1).count() <= few:
+        return materialize(components_of_few(now), "components")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -249,6 +279,64 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         state = new
 
 
+def dense_groups(hot_rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(id, dense)``: ids that are short of signatures outside hot ones, by groups that share hot signatures."""
+    rows = materialize(hot_rows.join(asked.where("short").select("id", "kind"), ["id", "kind"], "left_semi").select("sig", "id"), "short")
+    first = rows.groupBy("sig").agg(F.min("id").alias("b"))
+    meet = rows.join(first, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return smallest_reachable(meet).withColumnRenamed("component", "dense")
+
+
+def dense_links(dense: DataFrame, texts: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` within groups ``(id, dense, n)`` that connect what all links of a group connect.
+
+    A group is cut into blocks by a hash of the id; each pair of blocks is one task of
+    bounded size, which counts all overlaps by matrix products and returns a spanning
+    forest of its links, so that no pair is ever a row.
+    """
+    sets = sets_of(texts, dense, words)
+    sizes = dense.groupBy("dense").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    blocks = sizes.select("dense", F.ceil(F.greatest(F.col("c") / block, F.col("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    rows = dense.join(blocks, "dense").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("dense", "id", "own", "members", other).select("dense", "id", "members", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        sets = [np.frombuffer(table["members"][int(k)].as_buffer(), np.uint64) for k in order]
+        sizes = np.array([len(s) for s in sets])
+        who, (elements, place, n) = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = np.full(len(elements), -1)
+        often[n > 1] = np.arange(int((n > 1).sum()))
+        column, held = often[place], often[place] >= 0
+        column, who = column[held], who[held]
+        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int((n > 1).sum()), COLUMNS):
+            now = (column >= start) & (column < start + COLUMNS)
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[who[now], column[now] - start] = 1
+            overlap += m @ m.T
+        alike = np.triu(100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap), 1)
+        parent, out = list(range(len(sets))), []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(*map(np.ndarray.tolist, np.nonzero(alike))):
+            rx, ry = root(x), root(y)
+            if rx != ry:
+                parent[max(rx, ry)] = min(rx, ry)
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return rows.groupBy("dense", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id``.
 
@@ -270,26 +358,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     notes = found.where("note is not null").select("id", part[0].alias("t"), *[part[k + 1].cast("long").alias(c) for k, c in enumerate(("n", "even", "odd", "even1", "odd1"))])
     shared = found.where("note is null")
 
+    # per id and kind of signature: how many it must share, outside hot ones, with any partner
+    kind = F.col("sig").bitwiseAND(3)
+    sizes = notes.where("n > 0 and id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in ("n", "even", "odd", "even1", "odd1")])
+    heat = shared.groupBy("id", kind.alias("kind")).agg(F.count_if("hot").alias("n_hot"))
+    spare = F.element_at(F.array("even", "odd", "even1", "odd1"), (F.col("kind") + 1).cast("int")) - F.col("n_hot")
+    asked = materialize(heat.join(sizes, "id").select("id", "kind", "n", (F.greatest(spare, F.lit(0)) + 1).alias("need"), (spare < 0).alias("short")), "needs")
+
+    # first the groups' smallest ids, where enough signatures speak for them
     votes = shared.where("id <> pivot").groupBy("id", "pivot").count()
-    best = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("pivot"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
+    best = votes.groupBy("id").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("m"))
+    best = best.join(sizes, "id").where(F.col("m.count") * 8 >= F.col("n")).select(F.col("id").alias("a"), (-F.col("m.p")).alias("b"))
     edges = materialize(linked(best, texts, words, percent), "links")
+
+    # sets that may meet in hot signatures only: groups of these are compared within, block by block
+    dense = materialize(dense_groups(shared.where("hot").withColumn("kind", kind), asked), "dense")
+    within = materialize(dense_links(dense.join(sizes.select("id", "n"), "id"), texts, words, percent), "dense-links")
+    edges = materialize(edges.unionByName(within), "links")
     parts = smallest_reachable(edges)
 
-    # what is left: signatures that ids of different components share
-    placed = shared.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component", "pivot")
+    # then pairs of different components that share as many cold signatures as a linked pair must
+    placed = shared.where("not hot").join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).select("sig", "id", "c")
     open_sigs = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    placed = placed.join(open_sigs, "sig", "left_semi")
-    kind = F.col("sig").bitwiseAND(3)
-    heat = shared.where("hot").groupBy("id", kind.alias("kind")).agg(F.count("*").alias("n_hot"))
-    spare = F.element_at(F.array("even", "odd", "even1", "odd1"), (F.col("kind") + 1).cast("int"))
-    sizes = notes.groupBy("id").agg(*[F.min(c).alias(c) for c in ("n", "even", "odd", "even1", "odd1")])
-    short = heat.join(sizes, "id").where(F.col("n_hot") > spare).select("id", "kind")
-    cold_rows = placed.where("not hot").select("sig", "id", "c")
-    hot_rows = placed.where("hot").withColumn("kind", kind).join(short, ["id", "kind"], "left_semi").select("sig", "id", "c")
-    left = materialize(cold_rows.unionByName(hot_rows).join(sizes.select("id", "n"), "id"), "open")
-    a, b = (left.select("sig", F.col("id").alias(i), F.col("c").alias(f"c_{i}"), F.col("n").alias(f"n_{i}")) for i in ("a", "b"))
-    fits = (F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = materialize(a.join(b, "sig").where(fits).select("a", "b").distinct(), "pairs")
+    placed = placed.join(open_sigs, "sig", "left_semi").withColumn("kind", kind).join(asked, ["id", "kind"]).join(dense, "id", "left")
+    left = materialize(placed.select("sig", "kind", "id", "c", "n", "need", F.coalesce("dense", -1 - F.col("id")).alias("g")), "open")
+    a, b = (left.select("sig", "kind", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("c", "n", "need", "g")]) for i in ("a", "b"))
+    fits = (F.col("c_a") < F.col("c_b")) & (F.col("g_a") != F.col("g_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    counted = a.join(b.drop("kind"), "sig").where(fits).groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = materialize(counted.where("n >= need").select("a", "b").distinct(), "pairs")
     more = linked(pairs, texts, words, percent)
     parts = smallest_reachable(edges.unionByName(more))
 
