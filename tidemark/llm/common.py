@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes in an Arrow batch.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

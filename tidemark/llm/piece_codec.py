@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Entries kept per worker: of stretches in the newer and the older of two tables, and of pair tests.
-STRETCHES, PAIRS = 250_000, 400_000
+STRETCHES, PAIRS = 150_000, 200_000
 
 
 class PairTable(dict):
@@ -70,8 +70,9 @@ class PieceCodec:
         stretch = f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" + (f"|[{cut}]" if cut else "")
         self.stretches = re.compile(stretch).findall if apart else lambda text: [text]
         self.pairs = PairTable(self.compatible)
-        self.known: dict[str, tuple[list[int], str]] = {}
-        self.older: dict[str, tuple[list[int], str]] = {}
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges as they are defined: best score first, of equal ones the leftmost."""
@@ -125,18 +126,17 @@ class PieceCodec:
                 out += self.encode_known(part)
         return out
 
-    def look_up(self, text: str) -> tuple[list[int], str]:
-        """Ids and decimals of a stretch, from the tables where they have it."""
+    def look_up(self, text: str) -> tuple[int, ...]:
+        """Ids of a stretch, from the tables where they have it."""
         got = self.older.get(text)
         if got is None:
             end = text[-1]
             if not end.isalnum() and len(text) > 1 and (one := self.ids.get(end)) is not None:
-                ids, decimals = self.known.get(text[:-1]) or self.look_up(text[:-1])
+                ids = self.known.get(text[:-1]) or self.look_up(text[:-1])
                 if ids[-1] in self.joinable and self.pairs[ids[-1] << 20 | one]:
-                    got = (ids + [one], f"{decimals} {one}")
+                    got = (*ids, one)
             if got is None:
-                ids = self.encode_stretch(text)
-                got = (ids, " ".join(map(str, ids)))
+                got = tuple(self.encode_stretch(text))
         if len(text) <= 64:
             if len(self.known) >= STRETCHES:
                 self.older, self.known = self.known, {}
@@ -146,15 +146,11 @@ class PieceCodec:
     def encode(self, text: str) -> tuple[list[int], str]:
         """All ids with the end id, and the same as decimals joined by one space."""
         ids: list[int] = []
-        decimals: list[str] = []
         if text:
             for s in self.stretches(SPACE + text.replace(" ", SPACE)):
-                got = self.known.get(s) or self.look_up(s)
-                ids += got[0]
-                decimals.append(got[1])
+                ids += self.known.get(s) or self.look_up(s)
         ids.append(self.end)
-        decimals.append(str(self.end))
-        return ids, " ".join(decimals)
+        return ids, " ".join(map(self.decimals.__getitem__, ids))
 
 
 _codecs: dict[str, PieceCodec] = {}
