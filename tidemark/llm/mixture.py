@@ -23,7 +23,7 @@ from tidemark.llm.common import materialize, running_base
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, rows whose words are summed together, slots of an output shard, and bounds of what the driver holds.
-BLOCK, CELL_ROWS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES = 128, 2_000, 4_096, 4_096, 10_000
+BLOCK, CELL_ROWS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES = 128, 500, 4_096, 4_096, 10_000
 M64 = 0xFFFFFFFFFFFFFFFF
 
 
@@ -136,13 +136,13 @@ def mix_pieces(docs: DataFrame, *, id_col: str, text_col: str, source_col: str,
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     mix = decide({r["source"]: r["size"] for r in counted}, weights)
+    rows_of = {r["source"]: r["n"] for r in counted}
     table = spark.createDataFrame(
-        [(i, s, mix.sizes[i], float(mix.targets[i]), int(mix.length[i])) for i, s in enumerate(mix.sources)],
-        "s int, source string, source_size long, target double, length long",
+        [(i, s, mix.sizes[i], float(mix.targets[i]), int(mix.length[i]), max(1, rows_of[s] // CELL_ROWS)) for i, s in enumerate(mix.sources)],
+        "s int, source string, source_size long, target double, length long, cells long",
     )
-    cells = max(1, sum(r["n"] for r in counted) // CELL_ROWS)
     rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"])
-    rows = rows.withColumn("cell", F.pmod("h", F.lit(cells)))
+    rows = rows.withColumn("cell", F.pmod("h", "cells")).drop("cells")
     base = running_base(rows, ["s"], "cell", F.col("size"), "base")
     inside = Window.partitionBy("s", "cell").orderBy("h", "doc_id", "text_hash", "size")
     placed = rows.withColumn("r", F.row_number().over(inside)).withColumn("own", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
