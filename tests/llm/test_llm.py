@@ -245,6 +245,25 @@ def test_signatures_of_similar_sets_meet():
             assert any(kinds[k] >= max(spare_a[k], spare_b[k], 0) + 1 for k in kinds)
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_smallest_reachable(spark, few):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + k, 1001 + k) for k in range(40)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(ngram_join.smallest_reachable(spark.createDataFrame(edges, "a long, b long"), few).collect())
+    assert all(got.get(x, x) == root(x) for x in parent)
+    assert ngram_join.smallest_reachable(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
 def test_least_capacity():
     rng = random.Random(7)
     for _ in range(200):
