@@ -228,11 +228,11 @@ def g14_parent_siblings(chunks):
 
 @query(
     """SELECT c.chunk_id, md5(CASE WHEN p.n > 1 THEN p.full_text ELSE c.content END) AS digest FROM {chunks} c
-JOIN (SELECT parent_id, string_agg(content, '' ORDER BY chunk_index) AS full_text, count(*) AS n FROM {chunks} GROUP BY parent_id) p ON p.parent_id = c.parent_id WHERE c.chunk_index % 5 = 0 AND c.section = 'mda'""",
+JOIN (SELECT parent_id, string_agg(content, '' ORDER BY chunk_index) AS full_text, count(*) AS n FROM {chunks} GROUP BY parent_id) p ON p.parent_id = c.parent_id WHERE c.section = 'mda'""",
     "chunks",
 )
 def g15_expand_parents(chunks):
-    hits = chunks.where("chunk_index % 5 = 0 and section = 'mda'")
+    hits = chunks.where("section = 'mda'")
     return retrieval.expand_parents(hits, chunks).select("chunk_id", F.md5("parent_content").alias("digest"))
 
 
@@ -507,10 +507,10 @@ def k2_align_statements(conversations):
 _LINES = ("Revenue grew 10% this year.", "revenue grew 10% this year", "This year, revenue grew 10%.", "Revenue grew 10.5% this year.", "Revenue declined 10% this year.", "Revenue grew 90% this year.")
 
 
-@query("SELECT o_orderkey, [true, false, false, false, true, true][CASE WHEN o_orderkey % 7 = 6 THEN 1 ELSE o_orderkey % 7 + 1 END] OR o_orderkey % 7 = 6 AS shift FROM orders WHERE o_orderkey % 7 > 0".replace("[true, false, false, false, true, true]", "[false, false, false, false, true, true]"), "orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 4 THEN true WHEN 5 THEN true WHEN 6 THEN true ELSE false END AS shift FROM orders", "orders")
 def k3_detect_shift(orders):
     prior = F.when(F.col("o_orderkey") % 7 < 6, F.get(F.array(*[F.lit(x) for x in _LINES]), (F.col("o_orderkey") % 7).cast("int")))
-    return orders.where("o_orderkey % 7 > 0").select("o_orderkey", comparison.detect_shift(F.lit(_LINES[0]), prior).alias("shift"))
+    return orders.select("o_orderkey", comparison.detect_shift(F.lit(_LINES[0]), prior).alias("shift"))
 
 
 @query("SELECT conv_id, string_agg(CAST(turn AS STRING) || '=' || role, ',' ORDER BY CAST(turn AS STRING)) AS language FROM conversations GROUP BY conv_id", "conversations")
