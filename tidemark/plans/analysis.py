@@ -579,7 +579,14 @@ def m3_debate_evidence(documents, benchmark):
     return evidence.debate_evidence(_pairs(documents, benchmark).withColumn("doc_type", F.col("lang"))).select("query_id", F.md5("evidence").alias("digest"))
 
 
-@query(None, "orders", "lineitem")
+@query(
+    """SELECT o_orderkey AS run_id, md5('Company: ' || CAST(o_custkey AS STRING) || chr(10) || 'Run ID: ' || CAST(o_orderkey AS STRING) || chr(10) || repeat('=', 60) || chr(10)
+ || coalesce(nullif(o_orderpriority, ''), '(No report generated)') || chr(10) || repeat('=', 60) || chr(10) || 'NUMERIC VALIDATIONS' || chr(10) || coalesce(lines, '')) AS digest
+FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY claim, line) AS lines FROM (SELECT l_orderkey, 'line ' || CAST(l_linenumber AS STRING) AS claim,
+ CASE WHEN l_tax = l_discount THEN '✓' ELSE '✗' END || '  line ' || CAST(l_linenumber AS STRING) || '  —  stated: ' || CAST(l_tax AS STRING) || '  filing-derived: ' || CAST(l_discount AS STRING) AS line FROM lineitem) GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+    "orders",
+    "lineitem",
+)
 def m4_report_lines(orders, lineitem):
     runs = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").cast("string").alias("company"), F.nullif("o_orderpriority", F.lit("")).alias("report"))
     checks = lineitem.select(F.col("l_orderkey").alias("run_id"), (F.col("l_tax") == F.col("l_discount")).alias("match"), F.concat(F.lit("line "), F.col("l_linenumber")).alias("claim"), F.col("l_tax").alias("claimed_value"), F.col("l_discount").alias("value"))

@@ -188,9 +188,10 @@ def c2_list_items(pages):
     return pages.select("page_id", F.array_join(parsing.list_items(F.col("html")), "\n").alias("rows"))
 
 
-@query(None, "pages")
+@query("SELECT page_id AS id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6]\\b')) FROM pages) GROUP BY page_id", "pages")
 def c3_page_events(pages):
-    return parsing.page_events(pages).groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    """Headings of each page, by the parser."""
+    return parsing.page_events(pages).where("kind = 'heading'").groupBy("id").agg(F.count("*").alias("n"))
 
 
 def _bodies(method: str = "", heading: str = "", least: int = 1) -> str:
@@ -414,7 +415,16 @@ def d19_speaker_turns(conversations):
     return rows.select("conv_id", F.size("t").alias("n_turns"), F.array_join(F.transform("t", lambda t: t["speaker"]), ",").alias("speakers"))
 
 
-@query(None, "conversations")
+@query(
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, role, CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS INT) AS n FROM conversations),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n, role) AS i FROM t),
+w AS (SELECT conv_id, i, role, n, n AS used, 1 AS k, 0 AS g FROM s WHERE i = 1
+ UNION ALL SELECT s.conv_id, s.i, s.role, s.n, CASE WHEN w.k >= 4 OR w.used + s.n > 600 THEN s.n ELSE w.used + s.n END, CASE WHEN w.k >= 4 OR w.used + s.n > 600 THEN 1 ELSE w.k + 1 END,
+  w.g + CASE WHEN w.k >= 4 OR w.used + s.n > 600 THEN 1 ELSE 0 END FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1),
+m AS (SELECT *, max(g) OVER (PARTITION BY conv_id) + 1 AS chunk_total FROM w)
+SELECT conv_id, g AS chunk_index, chunk_total, arg_min(role, i) AS speaker, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS n_tokens FROM m GROUP BY conv_id, g, chunk_total HAVING sum(n) >= 80""",
+    "conversations",
+)
 def d20_group_turns(conversations):
     return chunking.group_turns(conversations, "conv_id", "turn")
 
