@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fiscal, folds, text, vectors
 from tidemark.operators import analytics, chunking, comparison, evaluation, facts, filters, guardrails, numeric, parsing, retrieval
+from tidemark.plans import analysis
 from tidemark.sources import landing, tables
 
 
@@ -199,3 +200,20 @@ def test_ttl_is_not_extended_by_hits(spark):
 def test_draft_ends_with_done(spark):
     rows = spark.createDataFrame([(1, 1, "token", "a"), (1, 2, "draft_reset", ""), (1, 3, "token", "b"), (1, 4, "done", ""), (1, 5, "token", "c")], "run long, n long, kind string, piece string")
     assert tuple(analytics.draft_fold(rows, "run", ["n"], "kind", "piece").first()) == (1, "b", True)
+
+
+def _corpus(spark, n=120):
+    """Documents of filler, each query's passage in one document whose id does not match modulo 40."""
+    filler = [(i, f"plain filler text number {i} about weather", "en") for i in range(n)]
+    filler[57] = (57, "Preface here. Nothing of note. " * 20 + "Quarterly copper revenue rose sharply across northern smelters.", "en")
+    filler[88] = (88, "Dividends on preferred shares were suspended after the audit.", "en")
+    documents = spark.createDataFrame(filler, "doc_id long, text string, lang string")
+    asked = [(1, "quarterly copper revenue rose sharply across northern smelters"), (2, "dividends on preferred shares were suspended after the audit")]
+    return documents, spark.createDataFrame(asked, "item_id long, text string")
+
+
+@pytest.mark.parametrize("name", ["g9_retrieved_rerank", "g10_retrieved_overlap", "g11_retrieved_boilerplate", "g12_retrieved_demotion", "j1_retrieved_candidates"])
+def test_pool_comes_from_all_documents(spark, name):
+    documents, benchmark = _corpus(spark)
+    found = {(r["query_id"], r["doc_id"]) for r in getattr(analysis, name)(documents, benchmark).collect()}
+    assert {(1, 57), (2, 88)} <= found

@@ -165,11 +165,35 @@ def _pairs(documents, benchmark):
     return rows.select("query_id", "query", "doc_id", "lang", F.col("text").alias("content"), rank.alias("rank"))
 
 
+def _asked(benchmark):
+    """Whole benchmark texts as queries."""
+    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _retrieved(documents, benchmark, k: int = 50):
+    """The pool of each query: its best documents of all by BM25, ids and scores first, texts joined to the k kept ones."""
+    asked = _asked(benchmark)
+    hits = retrieval.bm25(documents, asked, k, id_col="doc_id", text_col="text").withColumnRenamed("id", "doc_id")
+    texts = documents.select("doc_id", "lang", F.col("text").alias("content"))
+    return hits.join(texts, "doc_id").join(asked, "query_id").select("query_id", "query", "doc_id", "lang", "content", "rank", "score")
+
+
 @query(f"SELECT query_id, doc_id, score AS rerank_score, rerank_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INT) AS rerank_rank FROM (SELECT *, round(CAST({_PLAIN.format('query', 'text')} AS DOUBLE), 6) AS score FROM {_PAIRS})) WHERE rerank_rank <= 5", "documents", "benchmark")
 def g9_pair_rerank(documents, benchmark):
     return retrieval.pair_rerank(_pairs(documents, benchmark), 5).select("query_id", "doc_id", "rerank_score", "rerank_rank")
 
 
+@query(None, "documents", "benchmark")
+def g9_retrieved_rerank(documents, benchmark):
+    """The joint score over what a search of all documents finds; so with the other ``_retrieved_`` queries."""
+    return retrieval.pair_rerank(_retrieved(documents, benchmark), 5).select("query_id", "doc_id", "rerank_score", "rerank_rank")
+
+
+def _overlaps(pairs):
+    q, t = F.col("query"), F.col("content")
+    return pairs.select("query_id", "doc_id", F.round(text.overlap(q, t), 6).alias("overlap"), F.round(text.overlap(q, t, stopwords=False, empty=0.0), 6).alias("plain"))
+
+
 @query(
     f"""SELECT query_id, doc_id, round(CAST(CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, t)) / len(q) END AS DOUBLE), 6) AS overlap, round(CAST({_PLAIN.format('query', 'text')} AS DOUBLE), 6) AS plain
 FROM (SELECT *, list_filter({_TOK.format('query')}, lambda w: NOT list_contains({_STOP}, w)) AS q, {_TOK.format('text')} AS t FROM {_PAIRS})""",
@@ -177,23 +201,38 @@ FROM (SELECT *, list_filter({_TOK.format('query')}, lambda w: NOT list_contains(
     "benchmark",
 )
 def g10_topic_overlap(documents, benchmark):
-    q, t = F.col("query"), F.col("content")
-    return _pairs(documents, benchmark).select("query_id", "doc_id", F.round(text.overlap(q, t), 6).alias("overlap"), F.round(text.overlap(q, t, stopwords=False, empty=0.0), 6).alias("plain"))
+    return _overlaps(_pairs(documents, benchmark))
+
+
+@query(None, "documents", "benchmark")
+def g10_retrieved_overlap(documents, benchmark):
+    return _overlaps(_retrieved(documents, benchmark))
 
 
 _BOILER = f"(lang = 'en' AND rank - 1 BETWEEN 0 AND 3 AND CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, t)) / len(q) END < 0.25)"
 _FLAGGED = f"(SELECT *, {_BOILER} AS flag FROM (SELECT p.*, d.lang, list_filter({_TOK.format('query')}, lambda w: NOT list_contains({_STOP}, w)) AS q, {_TOK.format('p.text')} AS t FROM {_PAIRS} p JOIN documents d ON d.doc_id = p.doc_id))"
 
 
-def _flagged(documents, benchmark):
+def _flagged(pairs):
     kind = F.when(F.col("lang") == "en", "transcript").otherwise("filing")
     flag = retrieval.is_boilerplate(F.col("query"), F.col("rank") - 1, kind, F.lit("mda"), F.col("content"))
-    return _pairs(documents, benchmark).withColumn("flag", flag)
+    return pairs.withColumn("flag", flag)
 
 
 @query(f"SELECT query_id, doc_id, flag FROM {_FLAGGED}", "documents", "benchmark")
 def g11_is_boilerplate(documents, benchmark):
-    return _flagged(documents, benchmark).select("query_id", "doc_id", "flag")
+    return _flagged(_pairs(documents, benchmark)).select("query_id", "doc_id", "flag")
+
+
+@query(None, "documents", "benchmark")
+def g11_retrieved_boilerplate(documents, benchmark):
+    return _flagged(_retrieved(documents, benchmark)).select("query_id", "doc_id", "flag")
+
+
+def _demoted(flagged):
+    ranked = retrieval.pair_rerank(flagged, 1_000_000)
+    out = retrieval.demote_boilerplate(ranked, F.col("flag")).withColumn("rerank_score", F.round("rerank_score", 6))
+    return out.select("query_id", "doc_id", "rerank_score", "demoted_rank")
 
 
 @query(
@@ -203,9 +242,12 @@ SELECT *, s - CASE WHEN flag THEN 10 ELSE 0 END AS rs, row_number() OVER (PARTIT
     "benchmark",
 )
 def g12_demote_boilerplate(documents, benchmark):
-    ranked = retrieval.pair_rerank(_flagged(documents, benchmark), 1_000_000)
-    out = retrieval.demote_boilerplate(ranked, F.col("flag")).withColumn("rerank_score", F.round("rerank_score", 6))
-    return out.select("query_id", "doc_id", "rerank_score", "demoted_rank")
+    return _demoted(_flagged(_pairs(documents, benchmark)))
+
+
+@query(None, "documents", "benchmark")
+def g12_retrieved_demotion(documents, benchmark):
+    return _demoted(_flagged(_retrieved(documents, benchmark)))
 
 
 @query(
@@ -236,6 +278,14 @@ def g15_expand_parents(chunks):
     return retrieval.expand_parents(hits, chunks).select("chunk_id", F.md5("parent_content").alias("digest"))
 
 
+@query(None, "chunks", "benchmark")
+def g15_retrieved_parents(chunks, benchmark):
+    """Parents of the chunks that a search of all sections finds."""
+    found = retrieval.bm25(chunks, _asked(benchmark), 10).withColumnRenamed("id", "chunk_id")
+    hits = found.join(chunks.select("chunk_id", "parent_id", "content"), "chunk_id")
+    return retrieval.expand_parents(hits, chunks).select("query_id", "chunk_id", "rank", F.md5("parent_content").alias("digest"))
+
+
 @query("SELECT f.accession, g.accession AS prior_accession, g.n_orders FROM {filings} f JOIN {filings} g ON f.ticker = g.ticker AND g.fy * 4 + g.fq = f.fy * 4 + f.fq - 4", "filings")
 def g16_prior_period_search(filings):
     table = filings.select("ticker", "fiscal_label", F.col("accession").alias("prior_accession"), "n_orders")
@@ -445,16 +495,25 @@ def i7_unsupported_numbers(documents):
     return documents.select("doc_id", numeric.verify_reason(F.col("text"), F.lower(F.substring("text", 1, 4000)), asked).alias("reason"))
 
 
+def _typed(pairs):
+    return pairs.withColumn("doc_type", F.when(F.col("lang") == "en", "transcript").otherwise("filing"))
+
+
 @query(f"SELECT query_id, doc_id, place FROM (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST({_PLAIN.format('query', 'p.text')} AS DOUBLE), 6) DESC, rank) AS INT) AS place FROM (SELECT p.*, d.lang FROM {_PAIRS} p JOIN documents d ON d.doc_id = p.doc_id WHERE d.lang = 'en') p) WHERE place <= 8", "documents", "benchmark")
 def j1_sentiment_candidates(documents, benchmark):
-    rows = _pairs(documents, benchmark).withColumn("doc_type", F.when(F.col("lang") == "en", "transcript").otherwise("filing"))
-    return sentiment.sentiment_candidates(rows).select("query_id", "doc_id", "place")
+    return sentiment.sentiment_candidates(_typed(_pairs(documents, benchmark))).select("query_id", "doc_id", "place")
+
+
+@query(None, "documents", "benchmark")
+def j1_retrieved_candidates(documents, benchmark):
+    rows = _retrieved(documents.where("lang = 'en'"), benchmark)
+    return sentiment.sentiment_candidates(_typed(rows)).select("query_id", "doc_id", "place")
 
 
 @query(None, "documents", "benchmark")
 def j2_sentence_passages(documents, benchmark):
-    rows = _pairs(documents, benchmark).withColumn("doc_type", F.when(F.col("lang") == "en", "transcript").otherwise("filing"))
-    return sentiment.sentence_passages(sentiment.sentiment_candidates(rows)).select("query_id", "n", "overlap", F.md5("sentence").alias("digest"))
+    rows = _retrieved(documents.where("lang = 'en'"), benchmark)
+    return sentiment.sentence_passages(sentiment.sentiment_candidates(_typed(rows))).select("query_id", "n", "overlap", F.md5("sentence").alias("digest"))
 
 
 @query(
@@ -522,7 +581,7 @@ def k4_findings_to_map(conversations):
 
 @query(None, "documents", "benchmark")
 def k5_select_finding(documents, benchmark):
-    rows = _pairs(documents, benchmark).withColumn("statement", F.substring("content", 1, 400))
+    rows = _retrieved(documents, benchmark).withColumn("statement", F.substring("content", 1, 400))
     return comparison.select_finding(rows, "query_id", F.col("query"), F.col("content"), "statement", 0.1).select("query_id", "doc_id", "score", "grounded")
 
 
@@ -567,6 +626,13 @@ def m1_evidence_text(documents, benchmark):
     return evidence.evidence_text(rows).select("query_id", F.md5("evidence").alias("digest"))
 
 
+@query(None, "documents", "benchmark")
+def m1_retrieved_evidence(documents, benchmark):
+    """Whole texts of the best hits."""
+    rows = _retrieved(documents, benchmark, 8).withColumns({"parent_content": F.lit(""), "doc_type": F.col("lang")})
+    return evidence.evidence_text(rows).select("query_id", F.md5("evidence").alias("digest"))
+
+
 @query("SELECT conv_id, 'positive=' || CAST(count_if(turn % 3 = 0) AS STRING) || ' negative=' || CAST(count_if(turn % 3 = 1) AS STRING) || ' neutral=' || CAST(count_if(turn % 3 = 2) AS STRING) || ' across ' || CAST(count(*) AS STRING) || ' passages' AS line FROM conversations GROUP BY conv_id", "conversations")
 def m2_extra_evidence(conversations):
     label = F.when(F.col("turn") % 3 == 0, "positive").when(F.col("turn") % 3 == 1, "negative").otherwise("neutral")
@@ -579,6 +645,12 @@ def m3_debate_evidence(documents, benchmark):
     return evidence.debate_evidence(_pairs(documents, benchmark).withColumn("doc_type", F.col("lang"))).select("query_id", F.md5("evidence").alias("digest"))
 
 
+@query(None, "documents", "benchmark")
+def m3_retrieved_debate(documents, benchmark):
+    rows = _retrieved(documents, benchmark, 10).withColumn("doc_type", F.col("lang"))
+    return evidence.debate_evidence(rows).select("query_id", F.md5("evidence").alias("digest"))
+
+
 @query(
     """SELECT o_orderkey AS run_id, md5('Company: ' || CAST(o_custkey AS STRING) || chr(10) || 'Run ID: ' || CAST(o_orderkey AS STRING) || chr(10) || repeat('=', 60) || chr(10)
  || coalesce(nullif(o_orderpriority, ''), '(No report generated)') || chr(10) || repeat('=', 60) || chr(10) || 'NUMERIC VALIDATIONS' || chr(10) || coalesce(lines, '')) AS digest

@@ -157,9 +157,9 @@ def p17_coverage_report(golden):
 def p6_typed_answer(documents, benchmark):
     """Per claim the document sentence that answers it best, the most confident one of equal overlap."""
     from tidemark.operators import comparison
-    from tidemark.plans.analysis import _pairs
+    from tidemark.plans.analysis import _retrieved
 
-    rows = _pairs(documents, benchmark).withColumn("statement", F.substring("content", 1, 300))
+    rows = _retrieved(documents, benchmark).withColumn("statement", F.substring("content", 1, 300))
     return comparison.select_finding(rows, "query_id", F.col("query"), F.col("content"), "statement", 0.05).select("query_id", "doc_id", "score")
 
 
