@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fiscal, folds, text, vectors
 from tidemark.operators import analytics, chunking, comparison, evaluation, facts, filters, guardrails, numeric, parsing, retrieval
-from tidemark.plans import analysis
+from tidemark.plans import analysis, evaluation as evaluated, ingestion
 from tidemark.sources import landing, tables
 
 
@@ -217,3 +217,20 @@ def test_pool_comes_from_all_documents(spark, name):
     documents, benchmark = _corpus(spark)
     found = {(r["query_id"], r["doc_id"]) for r in getattr(analysis, name)(documents, benchmark).collect()}
     assert {(1, 57), (2, 88)} <= found
+
+
+def test_statements_are_sentences_of_whole_texts(spark):
+    documents, benchmark = _corpus(spark)
+    for found in (analysis.k5_select_finding(documents, benchmark), evaluated.p6_typed_answer(documents, benchmark)):
+        assert {r["query_id"]: (r["doc_id"], r["score"]) for r in found.collect()} == {1: (57, 1.0), 2: (88, 1.0)}
+
+
+@pytest.mark.parametrize("contents", [True, False])
+def test_pages_hold_all_lines(spark, contents):
+    lines = [f"Line {i} about matter {i * i}" for i in range(11)]
+    pages = ingestion._whole_pages(spark.createDataFrame([(1, "\n".join(lines)), (2, "only one line")], "doc_id long, text string"), contents)
+    events = parsing.page_events(pages)
+    found = parsing.toc_sections(events) if contents else parsing.heading_sections(events, F.lit("10-Q"))
+    said = " ".join(r["body"] for r in found.where("id = 1").collect())
+    assert all(line + " " in said + " " for line in lines)
+    assert any("only one line" in r["body"] for r in found.where("id = 2").collect())

@@ -93,7 +93,7 @@ def g2_rrf_fuse(events):
 @query(None, "documents", "embeddings", "benchmark")
 def g3_hybrid_search(documents, embeddings, benchmark):
     vecs = embeddings.select("vec_id", "embedding")
-    asked = _queries(benchmark).join(vecs.withColumnRenamed("vec_id", "query_id"), "query_id").withColumnRenamed("embedding", "vector")
+    asked = _asked(benchmark).join(vecs.withColumnRenamed("vec_id", "query_id"), "query_id").withColumnRenamed("embedding", "vector")
     return retrieval.hybrid_search(documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), vecs, asked, 12)
 
 
@@ -308,7 +308,7 @@ def g17_budget_concat(conversations):
 @query(None, "chunks", "benchmark")
 def g18_retrieve(chunks, benchmark):
     """Lexical pools of two passes, deduplicated, reranked, demoted, capped and expanded to parents."""
-    asked = _queries(benchmark)
+    asked = _asked(benchmark)
     body = chunks.withColumnRenamed("chunk_id", "id")
     every = retrieval.bm25(body, asked, 12, id_col="id").withColumnRenamed("id", "chunk_id")
     spoken = retrieval.bm25(body.where("doc_type = 'transcript'"), asked, 12, id_col="id").withColumnRenamed("id", "chunk_id")
@@ -579,10 +579,18 @@ def k4_findings_to_map(conversations):
     return rows.select("conv_id", F.array_join(pairs, ",").alias("language"))
 
 
+def _statements(documents, benchmark):
+    """Every sentence of each query's pool as ``statement``, one that occurs in several documents in the best of them."""
+    rows = _retrieved(documents, benchmark)
+    said = rows.select("query_id", "doc_id", "rank", F.explode(text.sentences(F.col("content"))).alias("statement"))
+    said = said.groupBy("query_id", "statement").agg(F.min_by("doc_id", "rank").alias("doc_id")).join(_asked(benchmark), "query_id")
+    # a sentence of a document is grounded in it, so it is its own context
+    return said.withColumn("content", F.col("statement"))
+
+
 @query(None, "documents", "benchmark")
 def k5_select_finding(documents, benchmark):
-    rows = _retrieved(documents, benchmark).withColumn("statement", F.substring("content", 1, 400))
-    return comparison.select_finding(rows, "query_id", F.col("query"), F.col("content"), "statement", 0.1).select("query_id", "doc_id", "score", "grounded")
+    return comparison.select_finding(_statements(documents, benchmark), "query_id", F.col("query"), F.col("content"), "statement").select("query_id", "doc_id", "score", "grounded")
 
 
 @query(None, "documents", "benchmark")

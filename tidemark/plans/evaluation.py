@@ -155,12 +155,11 @@ def p17_coverage_report(golden):
 
 @query(None, "documents", "benchmark")
 def p6_typed_answer(documents, benchmark):
-    """Per claim the document sentence that answers it best, the most confident one of equal overlap."""
+    """Per claim the document sentence that answers it best, the first in order of text of equal overlap."""
     from tidemark.operators import comparison
-    from tidemark.plans.analysis import _retrieved
+    from tidemark.plans.analysis import _statements
 
-    rows = _retrieved(documents, benchmark).withColumn("statement", F.substring("content", 1, 300))
-    return comparison.select_finding(rows, "query_id", F.col("query"), F.col("content"), "statement", 0.05).select("query_id", "doc_id", "score")
+    return comparison.select_finding(_statements(documents, benchmark), "query_id", F.col("query"), F.col("content"), "statement").select("query_id", "doc_id", "score")
 
 
 @query("SELECT event_id, 'search::' || substr(sha256(lower(trim(event_type)) || '::' || upper(CAST(user_id AS STRING)) || '::Q1::all'), 1, 16) AS cache_key FROM events", "events")

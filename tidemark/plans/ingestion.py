@@ -213,6 +213,35 @@ def _filing_pages(documents, contents: bool):
     return documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))
 
 
+def _whole_pages(documents, contents: bool):
+    """Filing pages whose three sections hold all lines of a document, every third line in the same one."""
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(safe, "\n")
+    links = "".join(f'<a href="#s{k}">Item {k + 2}. Section</a>' for k in range(3)) if contents else ""
+    part = lambda k: F.array_join(F.transform(F.filter(lines, lambda line, i: i % 3 == k), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), "")
+    body = [F.concat(F.lit(f'<h2 id="s{k}">Item {k + 2}. Section</h2>'), part(k)) for k in range(3)]
+    page = F.concat(F.lit("<html><style>x</style><body>" + links), *body, F.lit("</body></html>"))
+    return documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))
+
+
+@query(None, "documents")
+def c6_whole_pages(documents):
+    """All lines of all documents; so with the other ``_whole_`` queries."""
+    return parsing.toc_sections(parsing.page_events(_whole_pages(documents, True))).select("id", "section", F.md5("body").alias("digest"))
+
+
+@query(None, "documents")
+def c7_whole_pages(documents):
+    found = parsing.heading_sections(parsing.page_events(_whole_pages(documents, False)), F.lit("10-Q"))
+    return found.select("id", "section", F.md5("body").alias("digest"))
+
+
+@query(None, "documents")
+def c10_whole_pages(documents):
+    found = parsing.parse_filings(_whole_pages(documents, False))
+    return found.select("id", "section", "method", F.md5("body").alias("digest"))
+
+
 @query(_bodies(heading="'Item ' || CAST(i + 1 AS STRING) || '. Section ' ||", least=3), "documents")
 def c6_toc_segment(documents):
     pages = _filing_pages(documents.where(F.size(F.split("text", "\n")) >= 3), True)
@@ -234,7 +263,7 @@ def c10_parse_filings(documents):
 
 @query("SELECT doc_id AS id, CAST(k + 2 AS STRING) AS item, 'I' AS part FROM documents, (VALUES (0), (1), (2)) v(k)", "documents")
 def c4_toc_anchors(documents):
-    return parsing.toc_anchors(parsing.page_events(_filing_pages(documents, True))).select("id", "item", "part")
+    return parsing.toc_anchors(parsing.page_events(_whole_pages(documents, True))).select("id", "item", "part")
 
 
 _ITEMS = "(SELECT conv_id, turn, CAST(1 + (turn * 2 + conv_id) % 6 AS STRING) || CASE WHEN (conv_id + turn) % 3 = 0 THEN 'A' ELSE '' END AS item FROM conversations)"
