@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -163,6 +164,34 @@ def test_vectors_recall_and_exact_scores(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["derived", "normal"])
+def test_vectors_recall_with_pruning(spark, kind):
+    rng = np.random.default_rng(1)
+    if kind == "normal":
+        v = rng.normal(size=(20_000, 64))
+    else:
+        x = duckdb.sql("select embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchnumpy()["embedding"]
+        x = np.array(x.tolist(), float)
+        v = x[rng.integers(0, len(x), 20_000)]
+        v = v + rng.normal(size=v.shape) * 0.5 * x.std()
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    got = defaultdict(set)
+    for r in vector_search.nearest(frame, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, len(v), 100):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit / (10 * len(got)) >= 0.9
+
+
+def test_vectors_repeated_ids_take_no_places(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 12 + [(i, [1.0, 0.1 * i]) for i in range(2, 6)]
+    got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3]
+
+
 def test_vectors_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))

@@ -29,7 +29,9 @@ class Settings:
     ``list_rows``: vectors in a list, as far as the sample's size allows. ``replicas``: lists
     that hold a boundary vector at most, each within ``boundary`` times the distance of the
     nearest. ``ratio``: a query reads lists within that many times the nearest centroid's
-    distance, and the ``least`` nearest ones always.
+    distance, however many, and the ``least`` nearest ones always; the README has the recall
+    measured. ``beam`` bounds only the graph's search: a query with more lists within the
+    ratio looks through all centroids.
     """
 
     sample: int = 16_384
@@ -37,7 +39,7 @@ class Settings:
     list_rows: int = 100
     replicas: int = 4
     boundary: float = 1.15
-    ratio: float = 1.25
+    ratio: float = 1.2
     least: int = 24
     degree: int = 16
     beam: int = 96
@@ -130,7 +132,12 @@ class CentroidGraph:
     def lists_for(self, q: np.ndarray) -> list[list[int]]:
         at, d = self.search(q, max(self.s.beam, self.s.least))
         keep = (d <= self.s.ratio * d[:, :1]) | (np.arange(at.shape[1]) < self.s.least)
-        return [[int(i) for i in at[k][keep[k] & (at[k] >= 0)]] for k in range(len(q))]
+        out = [[int(i) for i in at[k][keep[k] & (at[k] >= 0)]] for k in range(len(q))]
+        for k in np.flatnonzero(keep[:, -1] & (at[:, -1] >= 0)) if at.shape[1] < len(self.c) else ():
+            every = np.sqrt(((self.c - q[k]) ** 2).sum(1))
+            order = np.argsort(every, kind="stable")
+            out[k] = order[: max(self.s.least, int((every <= self.s.ratio * every.min()).sum()))].tolist()
+        return out
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
@@ -189,10 +196,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, *, id_col: str = "
         if len(left) and len(right):
             ids = left["id"].to_numpy()
             x = np.frombuffer(b"".join(left["v"].to_pylist()), float).reshape(-1, dim)
+            repeats = len(np.unique(ids)) < len(ids)
             for q, raw in zip(right["q_id"].to_pylist(), right["q_v"].to_pylist()):
                 d = np.sqrt(((x - np.frombuffer(raw, float)) ** 2).sum(1))
                 d[ids == q] = np.inf
-                best = np.lexsort((ids, d))[: k + 1]
+                best = np.lexsort((ids, d))
+                if repeats:
+                    best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+                best = best[: k + 1]
                 best = best[np.isfinite(d[best])]
                 out.append((np.full(len(best), q), ids[best], d[best]))
         cols = [np.concatenate([o[i] for o in out]) if out else [] for i in range(3)]
