@@ -170,6 +170,34 @@ def test_require_fields(spark):
     assert [r["id"] for r in good.collect()] == [1] and bad.first()["error"] == "missing: company, query"
 
 
+def test_vector_blocks_of_rows_and_queries(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 6)).round(1)
+    v[20:30] = v[5]
+    frame = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = frame.selectExpr("vec_id as query_id", "embedding as vector")
+    got = retrieval.vector_top_k(frame, asked, 4, block_rows=16, block_queries=7).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = (unit @ unit.T).round(9)
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got} == {(q, n + 1): i for q in range(60) for n, i in enumerate(np.lexsort((np.arange(60), -s[q]))[:4].tolist())}
+
+
+def test_contexts_against_plain_fold(spark):
+    rng = np.random.default_rng(6)
+    hits = [(c, "Q1", i, "abcdefghij"[i % 10] * int(rng.integers(0, 60))) for c in "xy" for i in range(400)]
+    runs = spark.createDataFrame([(1, "x", "Q1"), (2, "y", "Q1"), (3, "x", "Q1"), (4, "z", "Q1")], "run_id long, company string, fiscal_label string")
+    found = comparison.prior_contexts(runs, spark.createDataFrame(hits, "company string, fiscal_label string, rank long, content string"), 100)
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString() and "row_number" in found._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {}
+    for c in "xy":
+        out = []
+        for _, _, _, t in (h for h in hits if h[0] == c):
+            if t and len("".join(out)) + len(t) <= 100:
+                out.append(t)
+        wanted[c] = "\n\n".join(out)
+    assert {r["run_id"]: r["context"] for r in found.collect()} == {1: wanted["x"], 2: wanted["y"], 3: wanted["x"]}
+
+
 def test_mmr_against_plain_loop(spark):
     rng = np.random.default_rng(1)
     q, v = rng.normal(size=8), rng.normal(size=(12, 8))

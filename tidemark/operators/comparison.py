@@ -13,11 +13,21 @@ DOWN = ("decrease", "decreased", "declined", "decline", "lower", "down", "weaken
 
 
 def prior_contexts(runs: DataFrame, hits: DataFrame, budget: int = 2000) -> DataFrame:
-    """Per run and earlier label the retrieved texts in rank order within a budget of characters; empty ones are left out."""
+    """Per run and earlier label the retrieved texts in rank order within a budget of characters; empty ones are left out.
+
+    A group brings as many rows together as can fit by their lengths, whatever its size.
+    """
     from tidemark.functions.folds import budget_concat
 
-    rows = runs.join(hits, ["company", "fiscal_label"]).groupBy("run_id", "fiscal_label").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c"))
-    return rows.select("run_id", "fiscal_label", budget_concat(F.transform("c", lambda c: c["content"]), budget).alias("context")).where("context <> ''")
+    keys = ["company", "fiscal_label"]
+    rows = hits.join(runs.select(*keys).distinct(), keys, "left_semi").withColumn("_l", F.length("content")).where(F.col("_l").between(1, budget))
+    # what is used only grows, so of one length the first ones fit, at most budget / length: first within parts of a group, then over them
+    for part in ([F.pmod(F.xxhash64("rank", "content"), F.lit(64))], []):
+        n = F.row_number().over(Window.partitionBy(*keys, "_l", *part).orderBy("rank", "content"))
+        rows = rows.withColumn("_n", n).where(F.col("_n") * F.col("_l") <= budget).drop("_n")
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c"))
+    rows = rows.select(*keys, budget_concat(F.transform("c", lambda c: c["content"]), budget).alias("context")).where("context <> ''")
+    return runs.join(rows, keys).select("run_id", "fiscal_label", "context")
 
 
 def align_statements(current: DataFrame, prior: DataFrame, by: str, floor: float = 0.3) -> DataFrame:

@@ -44,27 +44,33 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_
     return top_k(scored, k, F.desc("score"), F.col("id"))
 
 
-def vector_top_k(vecs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
-    """``query_id, id, score, rank``: exact nearest by cosine, all queries against all rows in blocks.
+def vector_top_k(vecs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32_768, block_queries: int = 8_192) -> DataFrame:
+    """``query_id, id, score, rank``: exact nearest by cosine, all queries against all rows in blocks of about the given sizes.
 
     ``queries`` holds ``query_id`` and ``vector``. Rows and queries go to a grid of blocks,
-    each block pair is one matrix product that keeps its k best, and these are merged.
+    each block pair takes matrix products of 256 queries and keeps the k best, and these are merged.
     """
-    rows = vecs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_block"))
+    blocks, turns = (max(1, -(-t.count() // size)) for t, size in ((vecs, block_rows), (queries, block_queries)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vecs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), dealt(id_col, blocks).alias("block"), every(turns).alias("turn"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), every(blocks).alias("q_block"), dealt("query_id", turns).alias("q_turn"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         x, q = np.stack(left["v"].to_numpy()), np.stack(right["q"].to_numpy())
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s, ids, out = unit(q) @ unit(x).T, left["id"].to_numpy(), []
-        for i, query_id in enumerate(right["query_id"]):
-            best = np.lexsort((ids, -s[i].round(9)))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": s[i][best].round(9)}))
-        return pd.concat(out)
-
-    found = rows.groupBy("block").cogroup(asked.groupBy("q_block")).applyInPandas(compare, "query_id long, id long, score double")
+        x, q, ids, asking = unit(x), unit(q), left["id"].to_numpy(), right["query_id"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for start in range(0, len(q), 256):
+            for query_id, s in zip(asking[start : start + 256], (q[start : start + 256] @ x.T).round(9)):
+                near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                best = near[np.lexsort((ids[near], -s[near]))[:k]]
+                out.append((np.full(len(best), query_id), ids[best], s[best]))
+        return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "id", "score"))})
+
+    found = rows.groupBy("block", "turn").cogroup(asked.groupBy("q_block", "q_turn")).applyInPandas(compare, "query_id long, id long, score double")
     return top_k(found, k, F.desc("score"), F.col("id"))
 
 

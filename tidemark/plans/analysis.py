@@ -593,13 +593,12 @@ def k5_select_finding(documents, benchmark):
     return comparison.select_finding(_statements(documents, benchmark), "query_id", F.col("query"), F.col("content"), "statement").select("query_id", "doc_id", "score", "grounded")
 
 
-@query(None, "documents", "benchmark")
-def k1_prior_contexts(documents, benchmark):
-    hits = _pairs(documents, benchmark).withColumns({"company": F.col("lang"), "fiscal_label": F.concat(F.lit("FY2025-Q"), (F.col("doc_id") % 4 + 1).cast("string")), "rank": F.col("doc_id")})
+@query(None, "documents")
+def k1_prior_contexts(documents):
+    hits = documents.withColumn("content", F.col("text")).withColumns({"company": F.col("lang"), "fiscal_label": F.concat(F.lit("FY2025-Q"), (F.col("doc_id") % 4 + 1).cast("string")), "rank": F.col("doc_id")})
     runs = documents.select(F.col("lang").alias("company")).distinct().withColumn("run_id", F.col("company"))
     runs = runs.withColumn("fiscal_label", F.explode(F.array(*[F.lit(f"FY2025-Q{q}") for q in (1, 2)])))
-    ranked = hits.select("company", "fiscal_label", "rank", "content").distinct()
-    return comparison.prior_contexts(runs, ranked).select("run_id", "fiscal_label", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+    return comparison.prior_contexts(runs, hits.select("company", "fiscal_label", "rank", "content")).select("run_id", "fiscal_label", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
 
 
 def _re(patterns):
