@@ -10,7 +10,7 @@ prefix's last token. The ids are then read backwards from the last prefix.
 Pieces never hold a space mark after another character in the models this was
 made for, so a text falls into independent stretches at such places; the
 encoder checks the model for this and keeps the ids of frequent stretches. A
-stretch that ends in a sign continues the kept result of the prefix before it.
+stretch that ends in a few signs continues the kept result of the prefix before them.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Entries kept per worker: of stretches in the newer and the older of two tables, and of pair tests.
 STRETCHES, PAIRS = 150_000, 200_000
+#: Signs at the end of a stretch that may continue kept ids; more of them are encoded with the stretch.
+TAIL = 3
 
 
 class PairTable(dict):
@@ -127,14 +129,20 @@ class PieceCodec:
         return out
 
     def look_up(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch, from the tables where they have it."""
+        """Ids of a stretch, from the tables where they have it.
+
+        A stretch that ends in signs continues the kept ids of what stands before up to
+        ``TAIL`` of them, as long as each sign is compatible with the token before it.
+        """
         got = self.older.get(text)
         if got is None:
-            end = text[-1]
-            if not end.isalnum() and len(text) > 1 and (one := self.ids.get(end)) is not None:
-                ids = self.known.get(text[:-1]) or self.look_up(text[:-1])
-                if ids[-1] in self.joinable and self.pairs[ids[-1] << 20 | one]:
-                    got = (*ids, one)
+            for cut in range(len(text) - 1, max(0, len(text) - 1 - TAIL), -1):
+                if text[cut].isalnum() or text[cut] not in self.ids:
+                    break
+                kept = self.known.get(text[:cut]) or self.older.get(text[:cut])
+                if kept:
+                    got = self.continued(kept, text[cut:])
+                    break
             if got is None:
                 got = tuple(self.encode_stretch(text))
         if len(text) <= 64:
@@ -143,6 +151,15 @@ class PieceCodec:
             self.known[text] = got
         return got
 
+    def continued(self, ids: tuple[int, ...], signs: str) -> tuple[int, ...] | None:
+        """``ids`` and one id for each sign, or None where a sign would merge with what stands before it."""
+        for sign in signs:
+            one = self.ids[sign]
+            if ids[-1] not in self.joinable or not self.pairs[ids[-1] << 20 | one]:
+                return None
+            ids = (*ids, one)
+        return ids
+
     def encode(self, text: str) -> tuple[list[int], str]:
         """All ids with the end id, and the same as decimals joined by one space."""
         ids: list[int] = []
