@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,18 +9,32 @@ from pyspark.sql import functions as F
 
 #: Bytes in an Arrow batch.
 ARROW_BYTES = 2 << 20
+#: A key is hot with more than one in so many of all rows, and more rows than this.
+HOT_KEYS, HOT_ROWS = 500, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that the session was given.
+
+    In a session of one machine without either, it is a folder in the warehouse; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The names wanted, each with as many underscores in front as it takes to differ from all that are taken, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,11 +59,31 @@ def anti_by_id(df: DataFrame, gone: DataFrame, keys: list[str], most: int = 1_00
     otherwise both sides are shuffled.
     """
     ids = gone.select(*keys)
-    if ids.limit(most + 1).count() <= most:
+    if ids.count() <= most:
         ids = F.broadcast(ids)
     return df.join(ids, keys, "left_anti")
 
 
+def hot_keys(rows: DataFrame, key: str, hot: int = HOT_KEYS) -> list:
+    """The keys with more than one in ``hot`` of all rows and more than ``HOT_ROWS``: fewer than ``hot``, whatever the table holds."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    return [r[0] for r in counts.where(F.col("n") > max(HOT_ROWS, total // hot)).where(F.col(key).isNotNull()).collect()]
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``table`` of the same key, of which there is one at most.
+
+    Keys in ``hot`` (see :func:`hot_keys`) meet theirs by broadcast, so that no task gathers
+    the rows of such a key; all others are shuffled.
+    """
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how)
+    return rows.where(~is_hot).join(table.where(~is_hot), key, how).unionByName(few)
+
+
 def running_base(rows: DataFrame, group: list[str], cell: str, value: Column, name: str) -> DataFrame:
     """Per group and cell the sum of ``value`` over the group's smaller cells, as ``name``.
 
