@@ -5,9 +5,9 @@ import math
 import random
 import re
 import tarfile
-import io
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -422,17 +422,51 @@ def test_media(spark, odd, empty):
     assert media.media_columns(empty).count() == 0
 
 
-def test_archives_are_tar(spark):
+def archives(folder):
+    return sorted(Path(folder.removeprefix("file://")).glob("*.tar"))
+
+
+def test_archives_are_tar(spark, tmp_path):
+    folder = f"file://{tmp_path}/media"
     payloads = spark.createDataFrame([(f"{k:064x}", bytes([k % 256]) * 576) for k in range(50)], "digest string, payload binary")
-    seen = set()
-    for shard in media.pack(payloads).collect():
-        with tarfile.open(fileobj=io.BytesIO(bytes(shard["tar"]))) as tar:
-            for m, at in zip(tar.getmembers(), shard["members"]):
+    members = {(r["shard"], r["digest"]): r for r in media.pack(payloads, folder).collect()}
+    seen = 0
+    for shard in archives(folder):
+        with tarfile.open(shard) as tar:
+            for m in tar.getmembers():
                 image = tar.extractfile(m).read()
-                assert (m.offset_data, m.size, m.name) == (at["offset"], at["length"], at["digest"] + ".png")
+                at = members[shard.stem, m.name.removesuffix(".png")]
+                assert (m.offset_data, m.size) == (at["offset"], at["length"])
                 assert media.from_png(image).tobytes() == bytes([int(at["digest"], 16) % 256]) * 576
-                seen.add(at["digest"])
-    assert len(seen) == 50
+                seen += 1
+    assert seen == len(members) == 50 and all(hashlib.sha256(a.read_bytes()).hexdigest() == a.stem for a in archives(folder))
+
+
+def test_headers_are_read_by_ranges(spark, tmp_path):
+    """33 bytes of each member, however large the members are."""
+    folder = f"file://{tmp_path}/media"
+    rng = random.Random(2)
+    payloads = spark.createDataFrame([(f"{k:064x}", rng.randbytes(576 * 200)) for k in range(30)], "digest string, payload binary")
+    members = media.pack(payloads, folder).collect()
+    ranges = media.Ranges(folder)
+    for m in members:
+        assert media.header_of(ranges.read(m["shard"], m["offset"], media.HEADER)) == (576, 200, 8)
+    assert ranges.bytes == 33 * len(members) and sum(a.stat().st_size for a in archives(folder)) > 100_000 * len(members)
+    found = media.header_columns(spark.createDataFrame(members), folder).collect()
+    assert {(r["width"], r["height"], r["bits"]) for r in found} == {(576, 200, 8)}
+
+
+def test_each_payload_is_stored_once(spark, tmp_path):
+    """Also with equal rows, null ids and a group of copies that is most of the table."""
+    folder = f"file://{tmp_path}/media"
+    rows = [(1, "equal rows")] * 20 + [(k, "a copy") for k in range(300)] + [(None, "no id")] * 5 + [(None, "a copy"), (7, None), (8, ""), (9, None)] + [(k, f"text {k}") for k in range(400)]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder=folder).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    names = []
+    for a in archives(folder):
+        with tarfile.open(a) as tar:
+            names += tar.getnames()
+    assert len(names) == len(set(names)) == len({t or "" for _, t in rows}) == len({(r["shard"], r["offset"]) for r in got})
 
 
 def plain_glob(glob):
