@@ -164,8 +164,9 @@ def test_vectors_recall_and_exact_scores(spark):
     assert hit / total >= 0.9
 
 
-@pytest.mark.parametrize("kind", ["derived", "normal"])
-def test_vectors_recall_with_pruning(spark, kind):
+@pytest.mark.parametrize("kind,most", [("derived", 0.25), ("normal", 1.0)])
+def test_vectors_recall_with_pruning(spark, kind, most):
+    """20,000 vectors in 200 lists: recall against brute force, copies of boundary vectors, and the share of vectors that a query reads."""
     rng = np.random.default_rng(1)
     if kind == "normal":
         v = rng.normal(size=(20_000, 64))
@@ -178,12 +179,68 @@ def test_vectors_recall_with_pruning(spark, kind):
     got = defaultdict(set)
     for r in vector_search.nearest(frame, F.col("vec_id") % 100 == 0).collect():
         got[r["query_id"]].add(r["vec_id"])
+        assert abs(r["score"] - np.sqrt(((v[r["vec_id"]] - v[r["query_id"]]) ** 2).sum())) < 1e-12
     hit = 0
     for q in range(0, len(v), 100):
         d = ((v - v[q]) ** 2).sum(1)
         d[q] = np.inf
         hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
-    assert hit / (10 * len(got)) >= 0.9
+    assert len(got) == 200 and hit / (10 * len(got)) >= 0.9
+
+    s = vector_search.Settings()
+    graph = vector_search.CentroidGraph(vector_search.balanced_centroids(v[:4800], 200), s)
+    near = [(i, v[j]) for i in range(64) for j in np.argsort(((v - v[4800 + i]) ** 2).sum(1))[1:11]]
+    lists = graph.lists_for(v[::100], vector_search.measured_ratio(v[4800:4864], near, graph, s))
+    homes, held = graph.homes(v)
+    assert held.sum() > 1.2 * len(v)
+    read = [(np.isin(homes, one) & held).any(1).mean() for one in lists]
+    assert np.mean(read) <= most
+
+
+def test_graph_finds_the_nearest_centroids():
+    rng = np.random.default_rng(5)
+    c, x = rng.normal(size=(300, 16)), rng.normal(size=(400, 16))
+    at, d = vector_search.CentroidGraph(c, vector_search.Settings()).search(x, 32)
+    every = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
+    assert (np.diff(d) >= -1e-6).all() and np.allclose(d, np.take_along_axis(every, at, 1))
+    assert (at[:, 0] == every.argmin(1)).mean() > 0.97 and all(len(set(r)) == 32 for r in at.tolist())
+
+
+@pytest.mark.parametrize("lists", [1, 5])
+def test_block_against_brute_force(lists):
+    """With clusters of its own (one list) and with several lists of which a query reads some; repeated ids and equal vectors too."""
+    rng, s = np.random.default_rng(7), vector_search.Settings()
+    centres = rng.normal(size=(8, 6)) * 5
+    x = centres[rng.integers(0, 8, 900)] + rng.normal(size=(900, 6))
+    x[:20] = x[20]
+    for ids in (np.arange(900), rng.integers(0, 300, 900)):
+        at = rng.integers(0, lists, 900)
+        q, asking = x[::30], ids[::30]
+        reads = [set(rng.choice(lists, rng.integers(1, lists + 1), replace=False).tolist()) for _ in q]
+        block = vector_search.Block(ids, x, at, s)
+        assert (block.clusters is not None) == (lists == 1)
+        got = {}
+        for k, (i, found, d) in enumerate(block.nearest(asking, q, reads, 10)):
+            own = {}
+            for f, g in sorted(zip(found.tolist(), d.tolist()), key=lambda p: p[1]):
+                own.setdefault(f, g)
+            got[k] = sorted((g, f) for f, g in own.items())[:10]
+        for k in range(len(q)):
+            every = {}
+            for f, v, a in zip(ids.tolist(), x, at.tolist()):
+                if a in reads[k] and f != asking[k]:
+                    every[f] = min(every.get(f, np.inf), float(np.sqrt(((v - q[k]) ** 2).sum())))
+            assert got.get(k, []) == sorted((g, f) for f, g in every.items())[:10]
+
+
+def test_vectors_of_odd_sizes(spark):
+    """Squares beyond the range of doubles, tiny vectors, and other dimensions: all take part."""
+    rows = [(0, [1e200, 0.0]), (1, [-1e200, 0.0]), (2, [1e200, 1e200]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0]), (100, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 5.0])]
+    found = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 3, 100)).collect()
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in found}
+    assert len(got) == 9 and got[100, 5] == 2.0
+    assert got[0, 2] == pytest.approx(1e200) and got[0, 1] == pytest.approx(2e200) and got[3, 4] == pytest.approx(2e-200)
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 3][0] == 4
 
 
 def test_vectors_repeated_ids_take_no_places(spark):
