@@ -323,14 +323,37 @@ def test_signatures_of_similar_sets_meet():
         r = np.unique(np.concatenate([s[gone:], rng.integers(0, 2**63, int(rng.integers(0, gone + 2))).astype(np.uint64)]))
         common = len(np.intersect1d(s, r))
         if len(r) and 100 * common >= 75 * (len(s) + len(r) - common):
-            a, spare_a = ngram_join.signatures(s)
-            b, spare_b = ngram_join.signatures(r)
-            both = np.intersect1d(a, b).astype(np.uint64)
+            a, kinds_a, spare_a = ngram_join.signatures(s)
+            b, kinds_b, spare_b = ngram_join.signatures(r)
+            both = set(zip(a.tolist(), kinds_a.tolist())) & set(zip(b.tolist(), kinds_b.tolist()))
             assert len(both)
-            kinds = Counter((both & np.uint64(3)).tolist())
+            kinds = Counter(k for _, k in both)
             assert any(kinds[k] >= max(spare_a[k], spare_b[k], 0) + 1 for k in kinds)
 
 
+def test_subsets_are_signed():
+    """Sets that differ in one element of a first-level part share the signature of its two other parts."""
+    rng = np.random.default_rng(6)
+    s = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64) << np.uint64(1))
+    n = ngram_join.first_level(ngram_join.bands(len(s), 75)[1], 75)
+    for gone in range(0, len(s), 17):
+        r = np.delete(s, gone)
+        if ngram_join.bands(len(r), 75) != ngram_join.bands(len(s), 75):
+            continue
+        a, b = (set(ngram_join.signatures(x)[0].tolist()) for x in (s, r))
+        # of each instance, two of the three subsets of one first-level part change
+        assert len(a - b) <= 4 and len(a & b) >= 2 * n
+
+
+def test_packs():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        values = np.sort(rng.integers(0, 2**50, n))
+        ids, counts = rng.integers(-(2**62), 2**62, n), np.where(rng.random(n) < 0.1, rng.integers(2, 90, n), 1)
+        got = ngram_join.unpacked(ngram_join.packed(values, ids, counts))
+        assert all((x == y).all() for x, y in zip(got, (values, ids, counts)))
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_smallest_reachable(spark, few):
     rng = random.Random(3)

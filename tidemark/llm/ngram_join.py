@@ -3,20 +3,28 @@
 Two sets of sizes a and b with a Jaccard similarity of at least t % differ in at most
 (a + b)(100 - t) / (100 + t) elements. Sizes fall into bands, so that a partner is in the
 same or a neighbouring band; a set takes part in its own band's instance of the scheme and
-in the next one. An instance partitions the domain of elements by hash into n parts and
-signs the content of each part that is not empty. A pair within distance k shares at
-least n - k parts, hence at least one signature that is neither empty nor *hot* (shared
-by more than ``HOT`` sets), provided one of the two has more than k such parts. So:
-
-* sets that are short of non-empty parts also sign their single elements;
-* hot signatures only matter between sets that have k or fewer parts outside them;
-  such sets are few and stand in dense groups, which are compared within by blocks.
+in the next one. An instance partitions the domain of elements by hash, in two levels: n1
+parts of ``SECOND`` = 3 each. A first-level part in which a pair differs in at most one
+element has two or more second-level parts that are equal; so every subset of two of the
+three is signed. A pair within distance k differs in two elements or more in at most k / 2
+of the first-level parts, hence shares a signature of each of the n1 - k / 2 others. What
+is shared must be neither empty nor *hot* (shared by more than ``HOT`` sets), which holds
+for one of them at least if one of the two sets has fewer than n1 - k / 2 first-level
+parts that have an empty or hot signature. So:
+
+* sets that are short of other parts also sign their single elements;
+* hot signatures only matter between sets that are short of parts without them; such
+  sets are few and stand in dense groups, which are compared within by blocks.
 
 No pair is lost, and no group of a shared passage or of copies is expanded into pairs:
 sets that share a signature are first compared with the group's smallest id only; what
 that links is one component; only members of different components are compared further.
 The argument also says how many cold signatures a linked pair shares at least, which
 leaves few pairs to compare. Every comparison counts exactly, by 64-bit hashes.
+
+Signatures move as packs: a task sorts its signatures, cuts them into ranges (buckets)
+and writes each range as one row of differences. A signature that many sets of a task
+have goes to its bucket once, and its ids come after it as one row.
 """
 
 from __future__ import annotations
@@ -29,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import anti_by_id, materialize, small_batches
+from tidemark.llm.common import anti_by_id, hot_keys, join_hot, materialize, small_batches
 
-WORDS, PERCENT, HOT = 5, 75, 64
+WORDS, PERCENT, HOT, SECOND = 5, 75, 64, 3
+#: Signatures a task sorts together, signatures of a bucket, ids of a signature that a pack holds, and bits by which signatures exceed their number.
+FLUSH, BUCKET, GROUP, SPARE_BITS = 1_000_000, 1_000_000, 4, 16
 #: Sets and elements in a block of a dense group, and distinct elements counted at a time.
 BLOCK, BLOCK_ELEMENTS, COLUMNS = 256, 250_000, 4_096
 #: Edges whose components one task may find.
@@ -82,16 +92,16 @@ def bands(size: int, percent: int) -> tuple[int, int, int]:
 _bands: dict[tuple[int, int], tuple[int, int, int]] = {}
 
 
-def parts_of(top: int, percent: int) -> int:
-    """Parts of the instance whose band ends at ``top``: enough to exceed the distance by a margin for empty ones."""
-    most = 2 * top * (100 - percent) // (100 + percent)
-    return max(most + 1, int(most * 1.155 + 0.35 * top**0.5) + 1)
+def first_level(top: int, percent: int) -> int:
+    """First-level parts of the instance whose band ends at ``top``: enough to exceed those that a pair may differ in by a margin for empty ones."""
+    most = 2 * top * (100 - percent) // (100 + percent) // 2
+    return max(most + 1, int(most * 1.1 + 0.25 * top**0.5) + 1)
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
-    """Signatures of a set, and how many parts (own instance, next one) or elements (likewise) it can spare.
+def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Hashes and kinds of a set's signatures, and how many first-level parts (own instance, next one) or elements (likewise) it can spare.
 
-    The lowest bit of a signature is its instance's parity, the next one tells single elements.
+    The lowest bit of a kind is its instance's parity, the next one tells single elements.
     """
     m = len(s)
     if (m, percent) not in _bands:
@@ -99,114 +109,190 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[
             _bands.clear()
         _bands[m, percent] = bands(m, percent)
     number, *tops = _bands[m, percent]
-    found, spare, spare_single = [], [], []
+    found, kinds, spare, spare_single = [], [], [], []
     for j, top in enumerate(tops):
         instance = number + j
-        n = parts_of(top, percent)
+        n = first_level(top, percent)
         most = (m + min(top, m * 100 // percent)) * (100 - percent) // (100 + percent)
-        part = (s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # rises with the sorted hashes
+        part = ((s >> np.uint64(32)) * np.uint64(SECOND * n) >> np.uint64(32)).astype(np.int64)  # rises with the sorted hashes
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        content = np.add.reduceat(mixed(s + np.uint64(instance)), starts)
-        own = mixed(content + mixed(part[starts] + np.uint64(instance << 32)))
-        found.append(own & ~np.uint64(3) | np.uint64(instance & 1))
-        spare.append(len(starts) - most - 1)
+        content = np.zeros(SECOND * n, np.uint64)
+        content[part[starts]] = np.add.reduceat(mixed(s + np.uint64(instance)), starts)
+        filled = np.zeros(SECOND * n, bool)
+        filled[part[starts]] = True
+        content, filled = mixed(content + np.uint64(instance)).reshape(n, SECOND), filled.reshape(n, SECOND)
+        where = mixed(np.arange(n, dtype=np.uint64) + np.uint64(instance << 32))
+        for x, y in ((0, 1), (0, 2), (1, 2)):
+            held = filled[:, x] | filled[:, y]
+            found.append(mixed(mixed(content[held, x] + np.uint64(x * SECOND + y)) + content[held, y] + where[held]))
+            kinds.append(np.full(len(found[-1]), instance & 1, np.uint64))
+        spare.append(n - most // 2 - 1 - int((filled.sum(1) <= 1).sum()))
         spare_single.append(m - most - 1)
         if spare[-1] < 0:
-            found.append(mixed(s + np.uint64(instance << 32)) & ~np.uint64(3) | np.uint64(2 | instance & 1))
+            found.append(mixed(s + np.uint64(instance << 32)))
+            kinds.append(np.full(m, 2 | instance & 1, np.uint64))
     if number & 1:  # spare numbers by parity: even instance first
         spare.reverse()
         spare_single.reverse()
-    return np.concatenate(found), spare + spare_single
+    return np.concatenate(found), np.concatenate(kinds), spare + spare_single
+
+
+def packed(values: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted signatures, their ids and, where it is not 1, the number of ids each stands for, as the bytes that differ."""
+    steps = np.diff(values, prepend=values[:1]).astype(np.uint64)
+    low = int(ids.min())
+    many = np.flatnonzero(counts > 1).astype(np.uint32)
+    out = [np.array([len(values), len(many), values[0], low], np.int64).tobytes()]
+    for column in (steps, (ids - low).astype(np.uint64)):
+        width = max(1, (int(column.max()).bit_length() + 7) // 8)
+        out += [bytes([width]), column.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join([*out, many.tobytes(), counts[many].astype(np.uint32).tobytes()])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, n_many, first, low = np.frombuffer(data, np.int64, 4).tolist()
+    at, columns = 32, []
+    for _ in range(2):
+        width = data[at]
+        column = np.zeros((n, 8), np.uint8)
+        column[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
+        columns.append(column.view(np.int64)[:, 0])
+        at += 1 + n * width
+    counts = np.ones(n, np.int64)
+    counts[np.frombuffer(data, np.uint32, n_many, at)] = np.frombuffer(data, np.uint32, n_many, at + 4 * n_many)
+    return columns[0].cumsum() + first, columns[1] + low, counts
+
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal sorted values begin, and their lengths."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.concatenate([starts, [len(values)]]))
 
 
-def sign(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(sig, id, note)``: a row per signature, and one per text whose note has its set size and spare numbers."""
+def sign(texts: DataFrame, words: int, percent: int, buckets: int, bits: int) -> DataFrame:
+    """Rows by ``bucket`` and ``kind``: 0 packs of signatures, 1 the ids (``data``) of one signature, 2 a text's note of its set size and spare numbers.
+
+    A signature is ``bits`` bits of a hash and two bits of kind.
+    """
+
+    def bucket_of(values: np.ndarray) -> np.ndarray:
+        return (values >> 2 >> max(0, bits - 30)) * buckets >> min(bits, 30)
+
+    def flush(values: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(values, kind="stable")
+        values, ids = values[order], ids[order]
+        counts, keep = np.ones(len(values), np.int64), np.ones(len(values), bool)
+        starts, sizes = runs_of(values)
+        for at, n in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist()):
+            own = np.unique(ids[at : at + n])
+            if len(own) > GROUP:
+                yield int(bucket_of(values[at : at + 1])[0]), 1, int(values[at]), own.tobytes(), None, None
+                ids[at], counts[at], keep[at + 1 : at + n] = own[0], len(own), False
+        values, ids, counts = values[keep], ids[keep], counts[keep]
+        for own in np.split(np.arange(len(values)), runs_of(bucket_of(values))[0][1:]):
+            if len(own):
+                yield int(bucket_of(values[own[:1]])[0]), 0, None, packed(values[own], ids[own], counts[own]), None, None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["bucket", "kind", "sig", "data", "id", "note"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ids, held = [], [], 0
         for batch in batches:
-            sigs, ids, note_sig, note_id, notes = [], [], [], [], []
+            notes = []
             for i, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingle_set(text.as_py(), words)
                 note = [len(s), 0, 0, 0, 0]
                 if len(s) and i is not None:
-                    sig, spare = signatures(s, percent)
-                    sigs.append(sig)
-                    ids.append(np.full(len(sig), i, np.int64))
-                    note[1:] = spare
-                note_sig.append(xxhash.xxh3_64_intdigest(t))
-                note_id.append(i)
-                notes.append(f"{t}|{'|'.join(map(str, note))}")
-            sig = np.concatenate([*sigs, np.array(note_sig, np.uint64)]).view(np.int64)
-            n = len(sig) - len(notes)
-            all_ids = pa.concat_arrays([pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(note_id, pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(sig), all_ids, pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(notes, pa.string())])], ["sig", "id", "note"])
-
-    return texts.select("id", "t", "text").mapInArrow(run, "sig long, id long, note string")
-
-
-def shared_signatures(signed: DataFrame, hot: int) -> DataFrame:
-    """Rows of signatures that two or more ids have, with the smallest of these as ``pivot``, and all notes.
-
-    Rows arrive sorted and are read as a stream: a signature of any number of ids needs no more memory than ``hot`` of them.
+                    found, kinds, note[1:] = signatures(s, percent)
+                    values.append((found >> np.uint64(64 - bits) << np.uint64(2) | kinds).view(np.int64))
+                    ids.append(np.full(len(found), i, np.int64))
+                    held += len(found)
+                notes.append((xxhash.xxh3_64_intdigest(t) % buckets, 2, None, None, i, f"{t}|{'|'.join(map(str, note))}"))
+                if held >= FLUSH:
+                    yield batch_of(list(flush(np.concatenate(values), np.concatenate(ids))))
+                    values, ids, held = [], [], 0
+            if notes:
+                yield batch_of(notes)
+        if held:
+            yield batch_of(list(flush(np.concatenate(values), np.concatenate(ids))))
+
+    return texts.select("id", "t", "text").mapInArrow(run, "bucket int, kind int, sig long, data binary, id long, note string")
+
+
+def shared_signatures(signed: DataFrame, hot: int, parts: int) -> DataFrame:
+    """``sig, ids, pivot, hot`` of signatures that two or more ids have, ``pivot`` being the smallest of these, and ``id, note`` of all notes.
+
+    Rows arrive by bucket: its packs, of about ``BUCKET`` signatures in all, are held
+    together; the ids of frequent signatures and the notes stream by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "id", "pivot", "hot", "note"]
-
-        def out(sig, ids, pivot, is_hot) -> pa.RecordBatch:
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids), pa.array(pivot), pa.array(is_hot), pa.nulls(n, pa.string())], names)
+        names = ["sig", "ids", "pivot", "hot", "id", "note"]
+
+        def out(sig, sizes, ids, pivot, is_hot) -> pa.RecordBatch:
+            n, offsets = len(sig), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), lists, pa.array(pivot, pa.int64()), pa.array(is_hot, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names)
+
+        packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        frequent: dict[int, tuple[int, bool]] = {}
+        bucket = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """What the packs of a bucket share; of signatures whose ids follow, pivot and heat are kept."""
+            if not packs:
+                return
+            values, ids, counts = (np.concatenate(c) for c in zip(*packs))
+            packs.clear()
+            order = np.lexsort((-counts, ids, values))
+            values, ids, counts = values[order], ids[order], counts[order]
+            new = np.concatenate([[True], (values[1:] != values[:-1]) | (ids[1:] != ids[:-1]) | (counts[1:] > 1)])
+            values, ids, counts = values[new], ids[new], counts[new]
+            starts, sizes = runs_of(values)
+            total = np.add.reduceat(counts, starts)
+            grouped = np.maximum.reduceat(counts, starts) > 1
+            for at in np.flatnonzero(grouped).tolist():
+                frequent[int(values[starts[at]])] = (int(ids[starts[at]]), bool(total[at] > hot))
+            many = np.repeat(total > 1, sizes) & (counts == 1)
+            if many.any():
+                left = np.add.reduceat(many.astype(np.int64), starts)
+                some = left > 0
+                yield out(values[starts[some]], left[some], ids[many], ids[starts[some]], total[some] > hot)
 
-        kept_sig, kept_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        streaming: tuple[int, int, int] | None = None  # signature, pivot and last id of a hot run that goes on
         for batch in batches:
-            noted = batch.filter(batch.column(2).is_valid())
-            if noted.num_rows:
-                n = noted.num_rows
-                yield pa.RecordBatch.from_arrays([noted.column(0), noted.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), noted.column(2)], names)
-            plain = batch.filter(batch.column(2).is_null())
-            sig = np.concatenate([kept_sig, plain.column(0).to_numpy()])
-            ids = np.concatenate([kept_id, plain.column(1).to_numpy()])
-            if streaming and len(sig):
-                n = int(np.searchsorted(sig, streaming[0], "right"))
-                own = ids[:n][np.concatenate([[streaming[2]], ids[: n - 1]]) != ids[:n]] if n else ids[:0]
-                if len(own):
-                    yield out(np.full(len(own), streaming[0]), own, np.full(len(own), streaming[1]), np.ones(len(own), bool))
-                    streaming = (streaming[0], streaming[1], int(own[-1]))
-                if n < len(sig):
-                    streaming = None
-                sig, ids = sig[n:], ids[n:]
-            if not len(sig):
-                kept_sig, kept_id = sig, ids
-                continue
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
-            sig, ids = sig[new], ids[new]
-            last = int(np.searchsorted(sig, sig[-1], "left"))
-            kept_sig, kept_id = sig[last:], ids[last:]
-            yield from runs(sig[:last], ids[:last], out)
-            if len(kept_id) > hot:
-                yield out(kept_sig, kept_id, np.full(len(kept_id), kept_id[0]), np.ones(len(kept_id), bool))
-                streaming = (int(kept_sig[0]), int(kept_id[0]), int(kept_id[-1]))
-                kept_sig, kept_id = kept_sig[:0], kept_id[:0]
-        yield from runs(kept_sig, kept_id, out)
-
-    def runs(sig, ids, out) -> Iterator[pa.RecordBatch]:
-        if len(sig) < 2:
-            return
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.concatenate([starts, [len(sig)]]))
-        many = np.repeat(size > 1, size)
-        if many.any():
-            yield out(sig[many], ids[many], np.repeat(ids[starts], size)[many], np.repeat(size > hot, size)[many])
-
-    ordered = signed.repartition("sig").sortWithinPartitions("sig", "id")
-    return ordered.mapInArrow(run, "sig long, id long, pivot long, hot boolean, note string")
+            kinds = batch.column(1).to_numpy()
+            noted = batch.filter(pa.array(kinds == 2))
+            n = noted.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), noted.column(4), noted.column(5)], names)
+            groups: list[tuple[int, np.ndarray, int, bool]] = []
+            for at in np.flatnonzero(kinds < 2).tolist():
+                if (own := batch.column(0)[at].as_py()) != bucket:
+                    yield from close()
+                    frequent.clear()
+                    bucket = own
+                data = batch.column(3)[at].as_py()
+                if kinds[at] == 0:
+                    packs.append(unpacked(data))
+                else:
+                    yield from close()
+                    sig = batch.column(2)[at].as_py()
+                    groups.append((sig, np.frombuffer(data, np.int64), *frequent[sig]))
+            if groups:
+                sig, ids, pivot, is_hot = zip(*groups)
+                yield out(sig, [len(i) for i in ids], np.concatenate(ids), pivot, is_hot)
+        yield from close()
+
+    dealt = signed.repartition(parts, "bucket") if parts else signed.repartition("bucket")
+    return dealt.sortWithinPartitions("bucket", "kind").mapInArrow(run, "sig long, ids array<long>, pivot long, hot boolean, id long, note string")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, words: int, most: int = 500_000) -> DataFrame:
     """``(id, members)``: the n-gram sets, as bytes, of the texts whose id is wanted."""
     ids = wanted.select("id").distinct()
-    if ids.limit(most + 1).count() <= most:
+    if ids.count() <= most:
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +317,8 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     sets = materialize(sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), words), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    met = join_hot(join_hot(pairs.select("a", "b"), left, "a", hot_keys(pairs, "a")), right, "b", hot_keys(pairs, "b"))
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components_of_few(edges: DataFrame) -> DataFrame:
@@ -262,13 +349,14 @@ def smallest_reachable(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     and small-star steps; each needs one aggregation and one join, and no group meets in one task.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    if now.limit(few + 1).count() <= few:
+    if now.count() <= few:
         return materialize(components_of_few(now), "components")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hot = hot_keys(both, "u")
+        large = join_hot(both.where("v > u"), low, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
@@ -283,7 +371,7 @@ def dense_groups(hot_rows: DataFrame, asked: DataFrame) -> DataFrame:
     """``(id, dense)``: ids that are short of signatures outside hot ones, by groups that share hot signatures."""
     rows = materialize(hot_rows.join(asked.where("short").select("id", "kind"), ["id", "kind"], "left_semi").select("sig", "id"), "short")
     first = rows.groupBy("sig").agg(F.min("id").alias("b"))
-    meet = rows.join(first, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    meet = join_hot(rows, first, "sig", hot_keys(rows, "sig")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     return smallest_reachable(meet).withColumnRenamed("component", "dense")
 
 
@@ -346,17 +434,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component. Repeated rows stay repeated; an empty table gives an empty result; only
     the two columns named are read, so other columns cannot clash.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     text_key = F.coalesce(F.sha2(text_col, 256), F.lit("null"))
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), text_key.alias("t")), "keys")
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), text_key.alias("t"), F.octet_length(text_col).alias("size")), "keys")
     first = rows.groupBy("t").agg(F.min("id").alias("rep"))
-    copies = rows.join(first, "t").where("id <> rep").select("id", "t").distinct()
+    hot_texts = hot_keys(rows, "t")
+    copies = join_hot(rows, first, "t", hot_texts).where("id <> rep").select("id", "t").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key.alias("t"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = anti_by_id(texts, copies, ["id", "t"])
-    found = materialize(shared_signatures(sign(texts, words, percent), hot), "shared")
+    expected = max(1_000, (rows.agg(F.sum("size")).first()[0] or 0) // 4)  # about 1.3 signatures a word
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(16 * tasks, -(-expected // BUCKET))
+    signed = sign(texts, words, percent, buckets, min(60, expected.bit_length() + SPARE_BITS))
+    found = materialize(shared_signatures(signed, hot, buckets // 16 if buckets > 16 * tasks else 0), "shared")
     part = F.split("note", r"\|")
     notes = found.where("note is not null").select("id", part[0].alias("t"), *[part[k + 1].cast("long").alias(c) for k, c in enumerate(("n", "even", "odd", "even1", "odd1"))])
-    shared = found.where("note is null")
+    shared = found.where("note is null").select("sig", F.explode("ids").alias("id"), "pivot", "hot")
 
     # per id and kind of signature: how many it must share, outside hot ones, with any partner
     kind = F.col("sig").bitwiseAND(3)
@@ -392,4 +486,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = first.join(notes.select("id", "t", "n").distinct(), (first["rep"].eqNullSafe(notes["id"])) & (first["t"] == notes["t"])).select(first["t"], "rep", "n")
     classes = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("t", "rep", "n", "component")
     own = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep"))
-    return rows.join(classes, "t").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    classes = materialize(classes, "classes")
+    return join_hot(rows, classes, "t", hot_texts).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
