@@ -111,7 +111,20 @@ _FITS = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
     for h, p in (name.split("/", 1) for _, name in sorted(URL_RULES, key=lambda r: -len(r[1])))
 )
-_BLOCKED = " OR ".join(f"'.' || host || path LIKE '{r.glob.replace('**', '%')}'" for r in url_filter.DEFAULTS)
+_BLOCKED = " OR ".join(f"url LIKE '{r.glob.replace('**', '%')}'" for r in url_filter.DEFAULTS)
+
+
+def _plain(text: str) -> str:
+    """SQL for a text in which unreserved characters are not in percent form, letters and signs before digits, and what stays is in capitals."""
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-._~0123456789"
+    for c in chars:
+        for form in sorted({f"%{ord(c):02x}", f"%{ord(c):02X}"}):
+            text = f"replace({text}, '{form}', '{c}')"
+    for form in sorted({f"{a}{b}" for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF" if (a + b) != (a + b).upper()}):
+        text = f"replace({text}, '%{form}', '%{form.upper()}')"
+    return text
+
+
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": f"""
 WITH parsed AS (
@@ -119,9 +132,14 @@ WITH parsed AS (
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages),
-ruled AS (SELECT *, CASE {_FITS} END AS rule FROM parsed)
+ruled AS (SELECT *, CASE {_FITS} END AS rule,
+  CASE WHEN contains(host, '%') THEN {_plain('host')} ELSE host END AS h, CASE WHEN contains(path, '%') THEN {_plain('path')} ELSE path END AS p FROM parsed),
+canon AS (SELECT page_id, host, path, rule,
+  '.' || translate(rtrim(regexp_replace(regexp_replace(h, '^.*@', '', 's'), ':[0-9]*$', ''), '.'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  || CASE WHEN p = '' THEN '' ELSE list_reduce(string_split(p, '/')[2:], lambda acc, s: CASE s WHEN '.' THEN acc WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '', 's') ELSE acc || '/' || s END, '') || CASE WHEN p LIKE '%/.' OR p LIKE '%/..' THEN '/' ELSE '' END END AS url
+  FROM ruled)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ({", ".join(f"'{n}'" for v, n in URL_RULES if v == "allow")}) THEN 'allow'
             WHEN rule IS NOT NULL OR {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled""",
+FROM canon""",
 }

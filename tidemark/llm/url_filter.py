@@ -11,6 +11,7 @@ Globs: ``?`` is any character, ``*`` any run without ``/``, ``**`` any run.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -67,8 +68,9 @@ class Automaton:
                     stays[-1] = "**" if run > 1 or stays[-1] == "**" else "*"
                     k += run
                     continue
-                k += glob[k] == "\\" and k + 1 < len(glob)
-                takes.append(None if glob[k] == "?" and (k == 0 or glob[k - 1] != "\\") else glob[k])
+                escaped = glob[k] == "\\" and k + 1 < len(glob)
+                k += escaped
+                takes.append(None if glob[k] == "?" and not escaped else glob[k])
                 stays.append("")
                 k += 1
             self.ends.append(len(takes) - 1)
@@ -125,30 +127,57 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+UNRESERVED = re.compile("%(2[dDeE]|3[0-9]|4[1-9a-fA-F]|5[0-9aA]|5[fF]|6[1-9a-fA-F]|7[0-9aAeE])")
+
+
+def canonical(host: str, path: str) -> str:
+    """``.host/path`` without user, port and the host's trailing dots, in which no unreserved character is in percent form and no segment is ``.`` or ``..``.
+
+    Hosts are in lower case A-Z; percent forms that stay are in capitals.
+    """
+    plain = lambda t: re.sub("%[0-9a-fA-F]{2}", lambda m: m[0].upper(), UNRESERVED.sub(lambda m: chr(int(m[1], 16)), t))
+    host = re.sub(":[0-9]*$", "", plain(host).rpartition("@")[2]).rstrip(".")
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    out: list[str] = []
+    first, *segments = plain(path).split("/")
+    for k, segment in enumerate(segments):
+        if segment == "..":
+            del out[-1:]
+        elif segment != ".":
+            out.append(segment)
+        if segment in (".", "..") and k == len(segments) - 1:
+            out.append("")
+    return f".{host}{first}" + "".join(f"/{segment}" for segment in out)
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url", prefix: str = "") -> DataFrame:
     """Append ``host``, ``path``, ``rule`` (null where a default or none decided) and ``verdict``.
 
-    The caller's rules come first, the defaults after them, ``allow`` where none fits. A
-    null or empty URL, or one without ``://``, has empty host and path. Long URLs are
-    matched whole, repeated rows stay repeated, other columns stay; equal ranks go to the
-    rule listed first. No row moves.
+    The caller's rules come first, over host and path as they stand; where none fits, the
+    defaults over the canonical URL; ``allow`` where none of these fits. A null or empty
+    URL, or one without ``://``, has empty host and path. Long URLs are matched whole,
+    repeated rows stay repeated, other columns stay; equal ranks go to the rule listed
+    first. No row moves.
     """
     names = [prefix + c for c in ("host", "path", "rule", "verdict")]
     if clash := [c for c in pages.columns if c in names]:
         raise ValueError(f"columns {clash} exist already; choose a prefix")
-    listed = sorted([*rules, *DEFAULTS], key=lambda r: -r.rank)
-    own = {r.name for r in rules}
+    listed = sorted(rules, key=lambda r: -r.rank)
     parsed = pages.withColumns({names[0]: host_of(F.col(url_col)), names[1]: path_of(F.col(url_col))})
     schema = T.StructType([*parsed.schema.fields, T.StructField(names[2], T.StringType()), T.StructField(names[3], T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([r.glob for r in listed])
+        named, common = Automaton([r.glob for r in listed]), Automaton([r.glob for r in DEFAULTS])
         for batch in batches:
             host, path = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            fits = automaton.run([f".{h}{p}" if h or p else "" for h, p in zip(host, path)])
-            first = np.where(fits.any(1), fits.argmax(1), -1) if len(host) else []
-            rule = [listed[i].name if i >= 0 and listed[i].name in own else None for i in first]
-            verdict = [listed[i].verdict if i >= 0 else "allow" for i in first]
+            fits = named.run([f".{h}{p}" if h or p else "" for h, p in zip(host, path)])
+            first = [int(f.argmax()) if f.any() else -1 for f in fits]
+            rest = [i for i, f in enumerate(first) if f < 0]
+            verdict = [listed[f].verdict if f >= 0 else "allow" for f in first]
+            for i, f in zip(rest, common.run([canonical(host[i], path[i]) for i in rest])):
+                if f.any():
+                    verdict[i] = DEFAULTS[int(f.argmax())].verdict
+            rule = [listed[f].name if f >= 0 else None for f in first]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[f.name for f in schema])
 
     return parsed.mapInArrow(run, schema)
