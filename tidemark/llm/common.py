@@ -40,6 +40,14 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def free_prefix(taken: list[str], *names: str) -> str:
+    """As many underscores as set all of ``names`` apart from the names taken, one at least."""
+    used, prefix = {c.lower() for c in taken}, "_"
+    while used & {prefix + n for n in names}:
+        prefix += "_"
+    return prefix
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

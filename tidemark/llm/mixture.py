@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, running_base
+from tidemark.llm.common import free_names, materialize, running_base
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, rows whose words are summed together, slots of an output shard, and bounds of what the driver holds.
@@ -122,6 +122,12 @@ def taken_blocks(docs: DataFrame, mix: Mix, seed: int = 11) -> DataFrame:
     return slots.groupBy("s", "block").agg(F.count("*").alias("times"))
 
 
+def row_hashes(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
+    """What orders the rows of a source, also those without an id or with the same one, and a hash of text and source."""
+    text_hash = F.xxhash64(text_col, source_col)
+    return F.xxhash64(F.col(id_col).cast("string"), text_hash, F.lit("mix order")), text_hash
+
+
 def mix_pieces(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weights: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """Rows (one per document, with ``key`` to tell repeated ones apart) and the pieces that blocks cut from them.
 
@@ -129,8 +135,8 @@ def mix_pieces(docs: DataFrame, *, id_col: str, text_col: str, source_col: str,
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long")
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("mix order"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order.alias("h"), F.xxhash64(text_col, source_col).alias("text_hash"))
+    h, text_hash = row_hashes(id_col, text_col, source_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), h.alias("h"), text_hash.alias("text_hash"))
     rows = materialize(rows, "word-counts")
     counted = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
@@ -198,15 +204,18 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if docs.isEmpty():
         return docs
     placed, pieces = mix_pieces(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights)
-    parts = pieces.groupBy("key").agg(F.collect_list(F.struct("first", "last", "times")).alias("_parts"))
-    again = Window.partitionBy("h", "text_hash")
-    chosen = placed.join(parts, "key").select(F.col("h").alias("_h"), F.col("text_hash").alias("_t"), F.row_number().over(again.orderBy("key")).alias("_n"), F.col("size").alias("_size"), "_parts")
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("mix order"))
-    rows = docs.withColumns({"_rh": order, "_rt": F.xxhash64(text_col, source_col)})
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_rh", "_rt").orderBy("_rh")))
+    h, t, n, size, parts, rh, rt, rn = free_names(docs.columns, "h", "t", "n", "words", "parts", "row_h", "row_t", "row_n")
+    cuts = pieces.groupBy("key").agg(F.collect_list(F.struct("first", "last", "times")).alias("cuts"))
+    again = F.row_number().over(Window.partitionBy("h", "text_hash").orderBy("key"))
+    chosen = placed.join(cuts, "key").select(F.col("h").alias(h), F.col("text_hash").alias(t), again.alias(n), F.col("size").alias(size), F.col("cuts").alias(parts))
+    hash_of, text_of = row_hashes(id_col, text_col, source_col)
+    rest = [c for c in docs.columns if c not in (id_col, text_col, source_col)]  # rows with equal id, text and source go by what else they hold
+    by = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+    rows = docs.withColumns({rh: hash_of, rt: text_of})
+    rows = rows.withColumn(rn, F.row_number().over(Window.partitionBy(rh, rt).orderBy(by)))
     # equality of the repeat numbers as two inequalities: the join's keys stay those of the window, and texts move once
-    met = rows.join(chosen, (F.col("_rh") == F.col("_h")) & (F.col("_rt") == F.col("_t")) & (F.col("_rn") <= F.col("_n")) & (F.col("_rn") >= F.col("_n")))
-    met = met.select(*docs.columns, "_size", "_parts")
+    met = rows.join(chosen, (F.col(rh) == F.col(h)) & (F.col(rt) == F.col(t)) & (F.col(rn) <= F.col(n)) & (F.col(rn) >= F.col(n)))
+    met = met.select(*docs.columns, size, parts)
     names, schema = docs.columns, docs.schema
     k, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
 

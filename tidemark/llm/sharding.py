@@ -87,7 +87,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     Returns ``id_col, size, text_crc32, shard, slot``. ``size`` is the text's UTF-8 bytes
     plus 1; a null text has 1 and checksum 0, and null texts form one group. Equal texts,
     and so repeated rows, share a shard; an empty table gives an empty result. Shards are
-    as even as whole groups allow. Slots go by a hash of the id, then the id.
+    as even as whole groups allow. Slots go by a hash of id and text, then the id.
     """
     o = F.xxhash64(F.coalesce(F.sha2(text_col, 256), F.lit("null")))
     rows = docs.select(
@@ -101,7 +101,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     starts = cuts(groups, shards)
     shard = sum((F.when(F.col("o") >= s, 1).otherwise(0) if s < 2**63 else F.lit(0) for s in starts), F.lit(0))
     cells = max(1, rows.count() // CELL_ROWS)
-    rows = rows.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("slot")), F.lit(cells)))
+    rows = rows.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "o", F.lit("slot")), F.lit(cells)))
     base = running_base(rows, ["shard"], "cell", F.lit(1), "base")
     inside = Window.partitionBy("shard", "cell").orderBy(id_col, "o")
     numbered = rows.withColumn("r", F.row_number().over(inside)).join(base, ["shard", "cell"])
