@@ -564,7 +564,7 @@ def plain_glob(glob):
 
 def test_automaton_against_patterns():
     rng = random.Random(6)
-    globs = ["".join(rng.choice(["a", "b", "/", ".", "?", "*", "**", "\\*", "\\?"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    globs = ["".join(rng.choice(["a", "b", "/", ".", "?", "*", "**", "\\*", "\\?", "\\\\"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
     texts = ["", "a" * 3000, "é/a", "*", "?"] + ["".join(rng.choice("ab/.*?") for _ in range(rng.randint(0, 12))) for _ in range(400)]
     got = url_filter.Automaton(globs).run(texts)
     for i, t in enumerate(texts):
@@ -572,6 +572,35 @@ def test_automaton_against_patterns():
             assert bool(got[i, j]) == bool(plain_glob(g).fullmatch(t)), (g, t)
 
 
+def test_canonical_urls():
+    wanted = {
+        ("user:pw@Example.com:8080", "/a"): ".example.com/a",
+        ("example.com.:443", ""): ".example.com",
+        ("ex%61mple.com..", "/%7euser/%2e%2E/x%2f%3F"): ".example.com/x%2F%3F",
+        ("h.org", "/a/./b/../c/."): ".h.org/a/c/",
+        ("h.org", "/../../a/.."): ".h.org/",
+        ("h.org", "//a//../b"): ".h.org//a/b",
+        ("h.org", "/%%34%31%zz"): ".h.org/%41%zz",
+        ("", ""): ".",
+    }
+    for (host, path), url in wanted.items():
+        assert url_filter.canonical(host, path) == url
+
+
+def test_url_sql_on_odd_urls(spark, tmp_path):
+    """The query and its SQL over URLs with users, ports, percent forms and dot segments."""
+    rng = random.Random(2)
+    hosts = ["h.org", "u@h.org", "H.org.", "h.org:80", "example.com", "u:p@x.net", "a%2Eorg", "%61.org", ""]
+    parts = ["login", "%6cogin", "x", ".", "..", "%2e%2E", "", "cart", "a.zip", "a%2Ezip", "es", "search", "%3f"]
+    urls = [f"http://{rng.choice(hosts)}" + "".join("/" + rng.choice(parts) for _ in range(rng.randint(0, 5))) + rng.choice(["", "?q=/login", "#x"]) for _ in range(1500)] + [None, "", "no"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.op10_url_filter(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(got, key=lambda r: r[0]) == sorted(con.sql(queries.ORACLE_SQL["op10_url_filter"]).fetchall())
+    assert {r[4] for r in got} == {"allow", "block"}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/1?x#y", "http://example.com", "http://a.example.com/en/2", "http://x.net/es/3", "http://x.net/fr", "http://notexample.com/en/", "ftp://h.org/login/x", "x://y://z/p", "http://x.org/" + "a" * 9000 + "/wp-admin/"]
     frame = spark.createDataFrame(list(enumerate(urls)) + [(5, urls[5])], "page_id long, url string")
@@ -587,6 +616,28 @@ def test_urls(spark):
         url_filter.judge(frame.withColumn("rule", F.lit(1)), rules)
 
 
+def test_pipeline_with_clashing_names(spark, odd):
+    import corpus_pipeline
+
+    rows, docs = odd
+    names = ["_lang_pred", "_score", "spans", "_spans", "_h", "h", "row_h", "parts", "words", "scanned", "t", "_t"]
+    docs = docs.where("text is not null").withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        kept = docs.collect()
+        assert kept and all(r[c] == k for r in kept for k, c in enumerate(names))
+
+
+def test_mix_of_rows_without_ids_agrees(spark):
+    """Rows that repeat id, text and source and differ elsewhere, and rows without an id: the same mix in any order of the input."""
+    rng = random.Random(4)
+    rows = [(1, "one two three four", "en", "a", k) for k in range(40)] + [(None, words(rng, 30), "en", "b", k) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    first = multiset(mixture.mixed_documents(docs, chars_col="").collect())
+    assert first == multiset(mixture.mixed_documents(docs.orderBy(F.desc("n_chars")).repartition(5), chars_col="").collect())
+    assert multiset(mixture.mix(docs).collect()) == multiset(mixture.mix(docs.repartition(7)).collect())
+
+
 def test_pipeline_stages_against_plain_versions(spark, sp):
     import corpus_pipeline
 
