@@ -10,21 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, mixture, ngram_join, piece_codec, secret_scan
-from tidemark.llm.common import anti_by_id, materialize, small_batches
+from tidemark.llm.common import anti_by_id, free_prefix, materialize, small_batches
 from tidemark.llm.queries import documents, piece_model
 from tidemark.session import ship
 
-#: A text of so many characters that is still ambiguous mixes languages.
-LONG_ENOUGH = 400
+#: A document goes if the codeword nearest to it has less than this share of the votes: then no language explains it.
+LEAST_SHARE = 0.3
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters go, and long ones that no single language explains."""
+    """Documents with a language, whatever their length: those without letters go, and those that no language explains."""
     ship(spark)
     model = language_id.fit(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    found = language_id.predict(docs, model, prefix="_")
-    mixed = F.col("_ambiguous") & (F.length("text") >= LONG_ENOUGH)
-    kept = found.where((F.col("_lang_pred") != language_id.UNDETERMINED) & ~mixed)
+    own = free_prefix(docs.columns, "lang_pred", "score", "ambiguous")
+    found = language_id.predict(docs, model, prefix=own)
+    kept = found.where((F.col(own + "lang_pred") != language_id.UNDETERMINED) & (F.col(own + "score") >= LEAST_SHARE))
     return (kept if model else docs).select(*docs.columns)
 
 
@@ -42,9 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    found = secret_scan.scan(docs, prefix="_")
-    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("_spans")))
-    return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = free_prefix(docs.columns, "base_spans", "spans")
+    found = secret_scan.scan(docs, prefix=own)
+    spans = F.col(own + "spans")
+    found = found.withColumn("text", secret_scan.redact(F.col("text"), spans))
+    return found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
