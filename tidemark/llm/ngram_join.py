@@ -89,7 +89,7 @@ def bands(size: int, percent: int) -> tuple[int, int, int]:
     return number, top, max(top + 1, (top + 1) * 100 // percent)
 
 
-_bands: dict[tuple[int, int], tuple[int, int, int]] = {}
+_bands: dict[tuple[int, int], list[tuple]] = {}
 
 
 def first_level(top: int, percent: int) -> int:
@@ -98,40 +98,52 @@ def first_level(top: int, percent: int) -> int:
     return max(most + 1, int(most * 1.1 + 0.25 * top**0.5) + 1)
 
 
+def scheme(m: int, percent: int) -> list[tuple]:
+    """Of both instances of a set of ``m`` elements: number, first-level parts, most that may differ, and what sets apart the subsets of each part."""
+    if (m, percent) not in _bands:
+        if len(_bands) > 100_000:
+            _bands.clear()
+        number, *tops = bands(m, percent)
+        _bands[m, percent] = found = []
+        for instance, top in ((number, tops[0]), (number + 1, tops[1])):
+            n = first_level(top, percent)
+            if (instance, n) not in _places:
+                _places[instance, n] = mixed(np.arange(SECOND * n, dtype=np.uint64) + np.uint64(instance << 32)).reshape(n, SECOND)
+            found.append((instance, n, (m + min(top, m * 100 // percent)) * (100 - percent) // (100 + percent), _places[instance, n]))
+    return _bands[m, percent]
+
+
+#: By place of a subset of two of three parts: its parts.
+ONE, OTHER = np.array([0, 0, 1]), np.array([1, 2, 2])
+_places: dict[tuple[int, int], np.ndarray] = {}
+
+
 def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Hashes and kinds of a set's signatures, and how many first-level parts (own instance, next one) or elements (likewise) it can spare.
 
     The lowest bit of a kind is its instance's parity, the next one tells single elements.
     """
     m = len(s)
-    if (m, percent) not in _bands:
-        if len(_bands) > 100_000:
-            _bands.clear()
-        _bands[m, percent] = bands(m, percent)
-    number, *tops = _bands[m, percent]
+    high, elements = s >> np.uint64(32), mixed(s)
     found, kinds, spare, spare_single = [], [], [], []
-    for j, top in enumerate(tops):
-        instance = number + j
-        n = first_level(top, percent)
-        most = (m + min(top, m * 100 // percent)) * (100 - percent) // (100 + percent)
-        part = ((s >> np.uint64(32)) * np.uint64(SECOND * n) >> np.uint64(32)).astype(np.int64)  # rises with the sorted hashes
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for instance, n, most, places in scheme(m, percent):
+        part = (high * np.uint64(SECOND * n) >> np.uint64(32)).astype(np.int64)  # rises with the sorted hashes
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
         content = np.zeros(SECOND * n, np.uint64)
-        content[part[starts]] = np.add.reduceat(mixed(s + np.uint64(instance)), starts)
-        filled = np.zeros(SECOND * n, bool)
-        filled[part[starts]] = True
-        content, filled = mixed(content + np.uint64(instance)).reshape(n, SECOND), filled.reshape(n, SECOND)
-        where = mixed(np.arange(n, dtype=np.uint64) + np.uint64(instance << 32))
-        for x, y in ((0, 1), (0, 2), (1, 2)):
-            held = filled[:, x] | filled[:, y]
-            found.append(mixed(mixed(content[held, x] + np.uint64(x * SECOND + y)) + content[held, y] + where[held]))
-            kinds.append(np.full(len(found[-1]), instance & 1, np.uint64))
-        spare.append(n - most // 2 - 1 - int((filled.sum(1) <= 1).sum()))
+        content[part[starts]] = mixed(np.add.reduceat(elements, starts))
+        content = content.reshape(n, SECOND)  # an empty part has 0
+        x, y = content[:, ONE], content[:, OTHER]
+        own = mixed(x * np.uint64(0xD6E8FEB86659FD93) + y * np.uint64(0xA0761D6478BD642F) + places)
+        empty = (x | y) == 0
+        n_empty = int(empty.sum())
+        found.append(own[~empty] if n_empty else own.ravel())
+        kinds.append(np.full(len(found[-1]), instance & 1, np.uint64))
+        spare.append(n - most // 2 - 1 - (int(empty.any(1).sum()) if n_empty else 0))
         spare_single.append(m - most - 1)
         if spare[-1] < 0:
             found.append(mixed(s + np.uint64(instance << 32)))
             kinds.append(np.full(m, 2 | instance & 1, np.uint64))
-    if number & 1:  # spare numbers by parity: even instance first
+    if scheme(m, percent)[0][0] & 1:  # spare numbers by parity: even instance first
         spare.reverse()
         spare_single.reverse()
     return np.concatenate(found), np.concatenate(kinds), spare + spare_single
@@ -368,11 +380,18 @@ def smallest_reachable(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
 
 
 def dense_groups(hot_rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(id, dense)``: ids that are short of signatures outside hot ones, by groups that share hot signatures."""
-    rows = materialize(hot_rows.join(asked.where("short").select("id", "kind"), ["id", "kind"], "left_semi").select("sig", "id"), "short")
+    """``(id, dense)``: ids that are short of signatures outside hot ones, by groups that share hot signatures.
+
+    Ids whose signature's pivot is short too meet in the pivot; those of other signatures in the smallest of them.
+    """
+    short = asked.where("short").select("id", "kind")
+    pivots = short.withColumnRenamed("id", "pivot")
+    met = hot_rows.select("id", "kind", "pivot").distinct().join(short, ["id", "kind"], "left_semi").join(pivots, ["pivot", "kind"], "left_semi")
+    rows = hot_rows.join(pivots, ["pivot", "kind"], "left_anti").join(short, ["id", "kind"], "left_semi")
+    rows = materialize(rows.select("sig", "id"), "short")
     first = rows.groupBy("sig").agg(F.min("id").alias("b"))
-    meet = join_hot(rows, first, "sig", hot_keys(rows, "sig")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    return smallest_reachable(meet).withColumnRenamed("component", "dense")
+    meet = join_hot(rows, first, "sig", hot_keys(rows, "sig")).select(F.col("id").alias("a"), "b")
+    return smallest_reachable(meet.unionByName(met.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).where("a <> b").distinct()).withColumnRenamed("component", "dense")
 
 
 def dense_links(dense: DataFrame, texts: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
