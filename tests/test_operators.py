@@ -8,6 +8,7 @@ from tidemark.functions import fiscal, folds, text, vectors
 from tidemark.operators import analytics, chunking, comparison, evaluation, facts, filters, guardrails, numeric, parsing, retrieval
 from tidemark.plans import analysis, evaluation as evaluated, ingestion
 from tidemark.sources import landing, tables
+from tidemark.streaming import streams
 
 
 def value(spark, column):
@@ -240,7 +241,7 @@ def _corpus(spark, n=120):
     return documents, spark.createDataFrame(asked, "item_id long, text string")
 
 
-@pytest.mark.parametrize("name", ["g9_retrieved_rerank", "g10_retrieved_overlap", "g11_retrieved_boilerplate", "g12_retrieved_demotion", "j1_retrieved_candidates"])
+@pytest.mark.parametrize("name", ["g9_pair_rerank", "g10_topic_overlap", "g11_is_boilerplate", "g12_demote_boilerplate", "j1_sentiment_candidates"])
 def test_pool_comes_from_all_documents(spark, name):
     documents, benchmark = _corpus(spark)
     found = {(r["query_id"], r["doc_id"]) for r in getattr(analysis, name)(documents, benchmark).collect()}
@@ -262,3 +263,37 @@ def test_pages_hold_all_lines(spark, contents):
     said = " ".join(r["body"] for r in found.where("id = 1").collect())
     assert all(line + " " in said + " " for line in lines)
     assert any("only one line" in r["body"] for r in found.where("id = 2").collect())
+
+
+def test_lexical_search_in_blocks_of_queries(spark):
+    """The same pools with all queries in one block and with one block for nearly every query."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS query_id", "text AS query")
+    one = retrieval.bm25(documents, asked, 5, id_col="doc_id", text_col="text").collect()
+    many = retrieval.bm25(documents.repartition(3), asked, 5, id_col="doc_id", text_col="text", block_queries=2).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) > 5
+
+
+def test_ingestion_over_several_batches(spark, tmp_path):
+    """Filings of one company in two files, a batch each, and a filing that comes again with other rows."""
+    for k, rows in enumerate(([("a1", "A", 1), ("a1", "A", 2), ("a2", "A", 3)], [("a3", "A", 4), ("a2", "A", 5)])):
+        spark.createDataFrame(rows, "accession string, company string, n int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("accession string, company string, n int").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    streams.ingest(stream, lambda b: b, f"{tmp_path}/table", f"{tmp_path}/state").awaitTermination()
+    stored = spark.read.parquet(f"{tmp_path}/table")
+    assert stored.select("batch").distinct().count() == 2
+    last = {r["accession"]: r["batch"] for r in stored.groupBy("accession").agg(F.max("batch").alias("batch")).collect()}
+    got = {(r["accession"], r["n"]) for r in streams.ingested(stored, "accession").collect()}
+    assert {("a1", 1), ("a1", 2), ("a3", 4)} <= got and {r["batch"] for r in stored.collect()} == {0, 1} and len([g for g in got if g[0] == "a2"]) == 1 and set(last) == {"a1", "a2", "a3"}
+
+
+def test_semantic_split_of_tables_and_prose(spark):
+    table = "".join(f"row {i} | {i * i} | x\n" for i in range(60))
+    prose = "".join(f"Sentence {i} speaks of matter {i % 7} at some length and goes on. " for i in range(80))
+    texts = {1: table + prose, 2: "short", 3: prose + "\n" + "word " * 900, 4: table}
+    got = chunking.semantic_split(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for i, t in texts.items():
+        own = sorted((r["child"], r["body"], r["n_tokens"]) for r in got if r["doc_id"] == i)
+        assert "".join(b for _, b, _ in own) == t
+        assert len(own) == 1 or min(n for *_, n in own) >= chunking.CHILD_MIN
+        assert len(own) >= 2 or i == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,15 +148,48 @@ def semantic_breaks(sentences: DataFrame, by: str, place: str, vector: str, toke
     limit = F.percentile("similarity", F.lit(percentile)).over(Window.partitionBy(by))
     rows = rows.withColumn("valley", F.coalesce(F.col("similarity") <= limit, F.lit(False)))
     packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(tokens).cast("int").alias("n"), F.col("valley").alias("v")))).alias("c"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("used"), F.array().cast("array<struct<p:bigint,g:int>>").alias("out"))
+    packed = packed.withColumn("g", folds.cut_long(least, most)(F.transform("c", lambda s: s["n"]), F.transform("c", lambda s: s["v"])))
+    groups = packed.select(by, F.inline(F.zip_with("c", "g", lambda s, g: F.struct(s["p"].alias(place), g.alias("child")))))
+    return rows.join(groups, [by, place])
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = (acc["used"] >= least) & (s["v"] | (acc["used"] + s["n"] > most))
-        g = acc["g"] + F.when(cut, 1).otherwise(0)
-        return F.struct(g.alias("g"), F.when(cut, s["n"]).otherwise(acc["used"] + s["n"]).alias("used"), F.concat(acc["out"], F.array(F.struct(s["p"].cast("bigint").alias("p"), g.alias("g")))).alias("out"))
 
-    groups = packed.select(by, F.inline(F.aggregate("c", start, step, lambda acc: acc["out"]))).withColumnsRenamed({"p": place, "g": "child"})
-    return rows.join(groups, [by, place])
+def semantic_split(blocks: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: int = CHILD, least: int = CHILD_MIN, most: int = CHILD_MAX, model=None) -> DataFrame:
+    """``id, child, n_tokens, body``: each block cut into children that joined give its text.
+
+    Runs of table lines are packed line by line to the target; runs of prose above the
+    target are cut at valleys between sentences. Children above ``most`` are then cut at
+    words, and neighbours merged until they have ``least`` tokens, so that a merged child
+    may exceed ``most``. An empty text has no child.
+    """
+    model = model or embed
+    joined = lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), "")
+    lines = blocks.select(id_col, F.posexplode(text.line_pieces(F.col(text_col))).alias("line", "piece")).withColumn("is_table", F.col("piece").contains("|"))
+    order = Window.partitionBy(id_col).orderBy("line")
+    new = F.coalesce(F.col("is_table") != F.lag("is_table").over(order), F.lit(True))
+    lines = lines.withColumn("run", F.sum(new.cast("int")).over(order))
+    runs = lines.groupBy(id_col, "run").agg(F.first("is_table").alias("is_table"), F.array_sort(F.collect_list(F.struct("line", "piece"))).alias("c"))
+    runs = runs.withColumn("body", joined(F.col("c"), "piece")).withColumn("s", text.sentence_pieces(F.col("body")))
+    whole = ~F.col("is_table") & ((F.size("s") <= 1) | (text.token_count(F.col("body")) <= target))
+    single = runs.where(whole).select(id_col, "run", F.lit(0).alias("part"), "body")
+
+    rows = runs.where("is_table").select(id_col, "run", F.transform("c", lambda c: c["piece"]).alias("p"))
+    rows = rows.withColumn("n", F.transform("p", lambda p: text.token_count(p).cast("int"))).withColumn("g", folds.pack_long(target)("n"))
+    rows = rows.select(id_col, "run", F.posexplode(F.arrays_zip("g", "p")).alias("place", "z")).groupBy(id_col, "run", F.col("z.g").alias("part"))
+    tables = rows.agg(F.array_sort(F.collect_list(F.struct("place", "z.p"))).alias("c")).select(id_col, "run", "part", joined(F.col("c"), "p").alias("body"))
+
+    said = runs.where(~F.col("is_table") & ~whole).select(F.struct(id_col, "run").alias("of"), F.posexplode("s").alias("place", "piece"))
+    said = model(said.withColumn("n", text.token_count(F.col("piece")).cast("int")), "piece")
+    cut = semantic_breaks(said, "of", "place", "embedding", "n", least=least, most=most)
+    prose = cut.groupBy("of", F.col("child").alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("c"))
+    prose = prose.select(F.col(f"of.{id_col}"), "of.run", "part", joined(F.col("c"), "piece").alias("body"))
+
+    pieces = single.unionByName(tables).unionByName(prose).select(F.struct(id_col, "run", "part").alias("at"), "body")
+    parts = enforce_max(pieces, most, id_col="at", text_col="body").select(F.col(f"at.{id_col}"), F.col("at.run"), F.col("at.part").alias("k"), F.col("part").alias("m"), "n_tokens", "body")
+    rows = parts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("run", "k", "m", "n_tokens", "body"))).alias("c"))
+    rows = rows.withColumn("g", merge_small(F.transform("c", lambda c: c["n_tokens"].cast("int")), least))
+    rows = rows.select(id_col, F.posexplode(F.arrays_zip("g", "c")).alias("place", "z"))
+    out = rows.groupBy(id_col, F.col("z.g").alias("child")).agg(F.sum("z.c.n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "z.c.body"))).alias("c"))
+    return out.select(id_col, "child", "n_tokens", joined(F.col("c"), "body").alias("body"))
 
 
 def speaker_turns(body: Column) -> Column:
@@ -202,9 +237,16 @@ def embed(texts: DataFrame, column: str, dims: int = 64) -> DataFrame:
     """Append ``embedding``: hashed bag of words of unit length, the default where no model is given."""
     words = F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0))
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.aggregate(places, F.array_repeat(F.lit(0.0), dims), lambda acc, p: F.transform(acc, lambda v, k: v + F.when(k == p, 1.0).otherwise(0.0)))
-    length = F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v)
-    return texts.withColumn("embedding", F.transform(counts, lambda v: (v / F.greatest(F.sqrt(length), F.lit(1e-12))).cast("float")))
+
+    @F.pandas_udf("array<float>")
+    def counted(found: pd.Series) -> pd.Series:
+        def one(at) -> np.ndarray:
+            n = np.bincount(at, minlength=dims).astype(float) if at is not None and len(at) else np.zeros(dims)
+            return (n / max(np.sqrt((n * n).sum()), 1e-12)).astype(np.float32)
+
+        return found.map(one)
+
+    return texts.withColumn("embedding", counted(places))
 
 
 def embed_distinct(texts: DataFrame, known: DataFrame, column: str, model) -> DataFrame:

@@ -5,8 +5,12 @@ Rank first on narrow columns, join texts afterwards; a query's pool is small, th
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,28 +24,85 @@ PREAMBLES = ("other than the risk factors listed below", "item 1a. risk factors"
 TERM = "[a-z0-9]+"
 
 
-def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return scored.withColumn(rank, n).where(F.col(rank) <= k)
+def top_k(scored: DataFrame, k: int | None, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
+    ranked = scored.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_id", text_col: str = "content", query_col: str = "query") -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_id", text_col: str = "content", query_col: str = "query", block_queries: int = 4_096) -> DataFrame:
     """``query_id, id, score, rank``: the k best chunks of each query by BM25.
 
-    Postings are cut to the queries' terms before anything is joined or shuffled by
-    chunk; document lengths and frequencies cover the whole corpus.
+    Each chunk becomes one row of its weights for the queries' terms; document lengths and
+    frequencies cover the whole corpus. Queries are broadcast in blocks of a fixed number.
+    A task adds up a batch of chunks term by term and keeps the k best of each query, so
+    that no row stands for a pair, however frequent a term is.
     """
+    spark = chunks.sparkSession
     asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query_col), F.lit(TERM), F.lit(0)))).alias("term"))
-    words = chunks.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)).alias("w"))
-    total = chunks.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text_col), F.lit(TERM))).alias("mean_length"))
-    postings = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "term").crossJoin(total)  # one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = rows.select("term", "id", weight.alias("w")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k, F.desc("score"), F.col("id"))
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0))
+    totals = chunks.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text_col), F.lit(TERM))).alias("mean_length"))
+    terms = asked.select("term").distinct()
+    frequent = chunks.select(F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = frequent.crossJoin(totals).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")  # one row of totals
+    kind = chunks.schema[id_col].dataType.simpleString()
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    body = chunks.select(F.col(id_col).alias("id"), words.alias("w"))
+    found = None
+    blocks = max(1, -(-queries.count() // block_queries))
+    for block in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = own.join(known, "term").select("query_id", "term", "idf", "mean_length").collect()
+        part = body.mapInArrow(_best_of(spark.sparkContext.broadcast(_asked_terms(rows)), k), f"query_id {query_kind}, id {kind}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k, F.desc("score"), F.col("id"))
+
+
+def _asked_terms(rows) -> tuple[list, dict[str, tuple[float, np.ndarray]], float]:
+    """The queries' ids, per term its idf and the places of the queries that have it, and the mean length."""
+    ids = sorted({r["query_id"] for r in rows})
+    place, of_term = {q: i for i, q in enumerate(ids)}, {}
+    for r in rows:
+        of_term.setdefault(r["term"], (r["idf"], []))[1].append(place[r["query_id"]])
+    return ids, {t: (idf, np.array(sorted(at))) for t, (idf, at) in of_term.items()}, rows[0]["mean_length"] if rows else 1.0
+
+
+def _best_of(shared, k: int):
+    """A task's best k chunks for each query, of batches of at most 512 chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, of_term, mean_length = shared.value
+        best: list[list[tuple[float, object]]] = [[] for _ in queries]
+        schema = None
+        for whole in batches:
+            schema = schema or whole.schema
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                chunk_ids, score = batch.column(0).to_pylist(), np.zeros((len(queries), batch.num_rows))
+                postings: dict[str, tuple[list[int], list[float]]] = {}
+                for at, found in enumerate(batch.column(1)):
+                    found = found.as_py() or ()
+                    norm = K1 * (1 - B + B * len(found) / mean_length)
+                    for term, n in Counter(w for w in found if w in of_term).items():
+                        ats, weights = postings.setdefault(term, ([], []))
+                        ats.append(at)
+                        weights.append(n * (K1 + 1) / (n + norm))
+                for term in sorted(postings):
+                    idf, asking = of_term[term]
+                    ats, weights = postings[term]
+                    score[np.ix_(asking, ats)] += idf * np.array(weights)
+                score = score.round(6)
+                for q in range(len(queries)):
+                    some = np.flatnonzero(score[q] > 0)
+                    if len(best[q]) == k:
+                        some = some[score[q, some] >= best[q][-1][0]]
+                    if len(some):
+                        best[q] = sorted(best[q] + [(float(score[q, i]), chunk_ids[i]) for i in some], key=lambda p: (-p[0], p[1]))[:k]
+        out = [(q, i, s) for q, own in zip(queries, best) for s, i in own]
+        if out:
+            q, i, s = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i, schema.field(0).type), pa.array(s)], ["query_id", "id", "score"])
+
+    return run
 
 
 def vector_top_k(vecs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32_768, block_queries: int = 8_192) -> DataFrame:
@@ -132,8 +193,8 @@ def mmr_rerank(pool: DataFrame, k: int, lam: float = 0.5) -> DataFrame:
     return pool.groupBy("query_id").applyInPandas(pick, "query_id long, id long, mmr_rank int")
 
 
-def pair_rerank(pairs: DataFrame, k: int, score: Column | None = None) -> DataFrame:
-    """Top k of each query by a joint score of query and passage with six decimals; the default is the share of query words that occur.
+def pair_rerank(pairs: DataFrame, k: int | None, score: Column | None = None) -> DataFrame:
+    """Top k of each query (all of them with None) by a joint score of query and passage with six decimals; the default is the share of query words that occur.
 
     ``score`` may be any expression, such as a pandas UDF around a model.
     """

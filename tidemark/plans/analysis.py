@@ -55,11 +55,12 @@ def f6_embedding_manifest(embeddings):
     return embeddings.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims"))
 
 
-def _queries(benchmark):
-    return benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+def _asked(benchmark):
+    """Whole benchmark texts as queries."""
+    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_Q = "(SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query FROM benchmark)"
+_Q = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 _BM25 = f"""WITH q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {_Q}),
 w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 t AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w),
@@ -73,7 +74,7 @@ ranked AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY quer
 
 @query(f"{_BM25} SELECT query_id, id, rank, score FROM ranked WHERE rank <= 10", "documents", "benchmark")
 def g1_bm25_topk(documents, benchmark):
-    return retrieval.bm25(documents, _queries(benchmark), 10, id_col="doc_id", text_col="text")
+    return retrieval.bm25(documents, _asked(benchmark), 10, id_col="doc_id", text_col="text")
 
 
 @query(
@@ -155,19 +156,13 @@ def g8_mmr_rerank(embeddings):
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 _PLAIN = f"CASE WHEN len({_TOK.format('{0}')}) = 0 THEN 0 ELSE len(list_intersect({_TOK.format('{0}')}, {_TOK.format('{1}')})) / len({_TOK.format('{0}')}) END"
-_PAIRS = f"(SELECT query_id, query, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM {_Q} q JOIN documents ON doc_id % 40 = query_id % 40)"
-
+def _pool(documents: str = "documents", k: int = 50) -> str:
+    """SQL for :func:`_retrieved`."""
+    return f"({_BM25.replace('FROM documents', f'FROM {documents}')} SELECT query_id, query, doc_id, lang, text, rank, score FROM (SELECT query_id, id AS doc_id, rank, score FROM ranked WHERE rank <= {k}) JOIN documents USING (doc_id) JOIN {_Q} USING (query_id))"
 
-def _pairs(documents, benchmark):
-    q = _queries(benchmark).withColumn("k", F.col("query_id") % 40)
-    rows = documents.withColumn("k", F.col("doc_id") % 40).join(q, "k")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    return rows.select("query_id", "query", "doc_id", "lang", F.col("text").alias("content"), rank.alias("rank"))
 
-
-def _asked(benchmark):
-    """Whole benchmark texts as queries."""
-    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+_PAIRS = _pool()
+_ENGLISH = "(SELECT * FROM documents WHERE lang = 'en')"
 
 
 def _retrieved(documents, benchmark, k: int = 50):
@@ -178,14 +173,8 @@ def _retrieved(documents, benchmark, k: int = 50):
     return hits.join(texts, "doc_id").join(asked, "query_id").select("query_id", "query", "doc_id", "lang", "content", "rank", "score")
 
 
-@query(f"SELECT query_id, doc_id, score AS rerank_score, rerank_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INT) AS rerank_rank FROM (SELECT *, round(CAST({_PLAIN.format('query', 'text')} AS DOUBLE), 6) AS score FROM {_PAIRS})) WHERE rerank_rank <= 5", "documents", "benchmark")
+@query(f"SELECT query_id, doc_id, s AS rerank_score, rerank_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INT) AS rerank_rank FROM (SELECT *, round(CAST({_PLAIN.format('query', 'text')} AS DOUBLE), 6) AS s FROM {_PAIRS})) WHERE rerank_rank <= 5", "documents", "benchmark")
 def g9_pair_rerank(documents, benchmark):
-    return retrieval.pair_rerank(_pairs(documents, benchmark), 5).select("query_id", "doc_id", "rerank_score", "rerank_rank")
-
-
-@query(None, "documents", "benchmark")
-def g9_retrieved_rerank(documents, benchmark):
-    """The joint score over what a search of all documents finds; so with the other ``_retrieved_`` queries."""
     return retrieval.pair_rerank(_retrieved(documents, benchmark), 5).select("query_id", "doc_id", "rerank_score", "rerank_rank")
 
 
@@ -201,16 +190,11 @@ FROM (SELECT *, list_filter({_TOK.format('query')}, lambda w: NOT list_contains(
     "benchmark",
 )
 def g10_topic_overlap(documents, benchmark):
-    return _overlaps(_pairs(documents, benchmark))
-
-
-@query(None, "documents", "benchmark")
-def g10_retrieved_overlap(documents, benchmark):
     return _overlaps(_retrieved(documents, benchmark))
 
 
 _BOILER = f"(lang = 'en' AND rank - 1 BETWEEN 0 AND 3 AND CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, t)) / len(q) END < 0.25)"
-_FLAGGED = f"(SELECT *, {_BOILER} AS flag FROM (SELECT p.*, d.lang, list_filter({_TOK.format('query')}, lambda w: NOT list_contains({_STOP}, w)) AS q, {_TOK.format('p.text')} AS t FROM {_PAIRS} p JOIN documents d ON d.doc_id = p.doc_id))"
+_FLAGGED = f"(SELECT *, {_BOILER} AS flag FROM (SELECT p.*, list_filter({_TOK.format('query')}, lambda w: NOT list_contains({_STOP}, w)) AS q, {_TOK.format('p.text')} AS t FROM {_PAIRS} p))"
 
 
 def _flagged(pairs):
@@ -221,16 +205,11 @@ def _flagged(pairs):
 
 @query(f"SELECT query_id, doc_id, flag FROM {_FLAGGED}", "documents", "benchmark")
 def g11_is_boilerplate(documents, benchmark):
-    return _flagged(_pairs(documents, benchmark)).select("query_id", "doc_id", "flag")
-
-
-@query(None, "documents", "benchmark")
-def g11_retrieved_boilerplate(documents, benchmark):
     return _flagged(_retrieved(documents, benchmark)).select("query_id", "doc_id", "flag")
 
 
 def _demoted(flagged):
-    ranked = retrieval.pair_rerank(flagged, 1_000_000)
+    ranked = retrieval.pair_rerank(flagged, None)
     out = retrieval.demote_boilerplate(ranked, F.col("flag")).withColumn("rerank_score", F.round("rerank_score", 6))
     return out.select("query_id", "doc_id", "rerank_score", "demoted_rank")
 
@@ -242,11 +221,6 @@ SELECT *, s - CASE WHEN flag THEN 10 ELSE 0 END AS rs, row_number() OVER (PARTIT
     "benchmark",
 )
 def g12_demote_boilerplate(documents, benchmark):
-    return _demoted(_flagged(_pairs(documents, benchmark)))
-
-
-@query(None, "documents", "benchmark")
-def g12_retrieved_demotion(documents, benchmark):
     return _demoted(_flagged(_retrieved(documents, benchmark)))
 
 
@@ -270,12 +244,11 @@ def g14_parent_siblings(chunks):
 
 @query(
     """SELECT c.chunk_id, md5(CASE WHEN p.n > 1 THEN p.full_text ELSE c.content END) AS digest FROM {chunks} c
-JOIN (SELECT parent_id, string_agg(content, '' ORDER BY chunk_index) AS full_text, count(*) AS n FROM {chunks} GROUP BY parent_id) p ON p.parent_id = c.parent_id WHERE c.section = 'mda'""",
+JOIN (SELECT parent_id, string_agg(content, '' ORDER BY chunk_index) AS full_text, count(*) AS n FROM {chunks} GROUP BY parent_id) p ON p.parent_id = c.parent_id""",
     "chunks",
 )
 def g15_expand_parents(chunks):
-    hits = chunks.where("section = 'mda'")
-    return retrieval.expand_parents(hits, chunks).select("chunk_id", F.md5("parent_content").alias("digest"))
+    return retrieval.expand_parents(chunks, chunks).select("chunk_id", F.md5("parent_content").alias("digest"))
 
 
 @query(None, "chunks", "benchmark")
@@ -487,25 +460,21 @@ def i6_numeric_tokens(documents):
 
 @query(
     f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'recommendation' WHEN doc_id % 10 = 1 THEN 'precision' WHEN len(d) = 0 THEN 'no numbers'
-WHEN len(list_filter(d, lambda n: NOT list_contains(e, n))) > 0 THEN 'unsupported' ELSE 'clean' END AS reason FROM (SELECT doc_id, {_NUMS.format('text')} AS d, {_NUMS.format("lower(substr(text, 1, 4000))")} AS e FROM documents)""",
+WHEN len(list_filter(d, lambda n: NOT list_contains(e, n))) > 0 THEN 'unsupported' ELSE 'clean' END AS reason FROM (SELECT doc_id, {_NUMS.format('text')} AS d, {_NUMS.format("substr(text, CAST(instr(text, chr(10)) + 1 AS BIGINT))")} AS e FROM documents)""",
     "documents",
 )
 def i7_unsupported_numbers(documents):
+    """Each text against all of it but its first line."""
     asked = F.when(F.col("doc_id") % 10 == 0, "Should I buy this?").when(F.col("doc_id") % 10 == 1, "What is it exactly?").otherwise("What was revenue?")
-    return documents.select("doc_id", numeric.verify_reason(F.col("text"), F.lower(F.substring("text", 1, 4000)), asked).alias("reason"))
+    return documents.select("doc_id", numeric.verify_reason(F.col("text"), F.substr("text", F.instr("text", F.lit("\n")) + 1), asked).alias("reason"))
 
 
 def _typed(pairs):
     return pairs.withColumn("doc_type", F.when(F.col("lang") == "en", "transcript").otherwise("filing"))
 
 
-@query(f"SELECT query_id, doc_id, place FROM (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST({_PLAIN.format('query', 'p.text')} AS DOUBLE), 6) DESC, rank) AS INT) AS place FROM (SELECT p.*, d.lang FROM {_PAIRS} p JOIN documents d ON d.doc_id = p.doc_id WHERE d.lang = 'en') p) WHERE place <= 8", "documents", "benchmark")
+@query(f"SELECT query_id, doc_id, place FROM (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST({_PLAIN.format('query', 'p.text')} AS DOUBLE), 6) DESC, rank) AS INT) AS place FROM {_pool(_ENGLISH)} p) WHERE place <= 8", "documents", "benchmark")
 def j1_sentiment_candidates(documents, benchmark):
-    return sentiment.sentiment_candidates(_typed(_pairs(documents, benchmark))).select("query_id", "doc_id", "place")
-
-
-@query(None, "documents", "benchmark")
-def j1_retrieved_candidates(documents, benchmark):
     rows = _retrieved(documents.where("lang = 'en'"), benchmark)
     return sentiment.sentiment_candidates(_typed(rows)).select("query_id", "doc_id", "place")
 
@@ -624,17 +593,11 @@ def l2_classify_query(conversations):
 
 @query(
     """SELECT query_id, md5(string_agg('[' || upper(lang) || '] ' || body, chr(10) || chr(10) ORDER BY rank)) AS digest FROM (
-SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY rank) AS n FROM (SELECT p.query_id, p.rank, d.lang, substr(p.text, 1, 200) AS body FROM """ + _PAIRS + """ p JOIN documents d ON d.doc_id = p.doc_id WHERE rank <= 8)) WHERE n = 1 GROUP BY query_id""",
+SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY rank) AS n FROM (SELECT query_id, rank, lang, text AS body FROM """ + _pool(k=8) + """)) WHERE n = 1 GROUP BY query_id""",
     "documents",
     "benchmark",
 )
 def m1_evidence_text(documents, benchmark):
-    rows = _pairs(documents, benchmark).withColumns({"content": F.substring("content", 1, 200), "parent_content": F.lit(""), "doc_type": F.col("lang")})
-    return evidence.evidence_text(rows).select("query_id", F.md5("evidence").alias("digest"))
-
-
-@query(None, "documents", "benchmark")
-def m1_retrieved_evidence(documents, benchmark):
     """Whole texts of the best hits."""
     rows = _retrieved(documents, benchmark, 8).withColumns({"parent_content": F.lit(""), "doc_type": F.col("lang")})
     return evidence.evidence_text(rows).select("query_id", F.md5("evidence").alias("digest"))
@@ -647,15 +610,9 @@ def m2_extra_evidence(conversations):
     return rows.select("conv_id", evidence.sentiment_line(F.col("positive"), F.col("negative"), F.col("neutral")).alias("line"))
 
 
-@query("SELECT query_id, md5(string_agg('[' || lang || '] ' || substr(text, 1, 300), chr(10) ORDER BY rank)) AS digest FROM (SELECT p.*, d.lang FROM " + _PAIRS + " p JOIN documents d ON d.doc_id = p.doc_id) WHERE rank <= 10 GROUP BY query_id", "documents", "benchmark")
+@query("SELECT query_id, md5(string_agg('[' || lang || '] ' || substr(text, 1, 300), chr(10) ORDER BY rank)) AS digest FROM " + _pool(k=10) + " WHERE rank <= 10 GROUP BY query_id", "documents", "benchmark")
 def m3_debate_evidence(documents, benchmark):
-    return evidence.debate_evidence(_pairs(documents, benchmark).withColumn("doc_type", F.col("lang"))).select("query_id", F.md5("evidence").alias("digest"))
-
-
-@query(None, "documents", "benchmark")
-def m3_retrieved_debate(documents, benchmark):
-    rows = _retrieved(documents, benchmark, 10).withColumn("doc_type", F.col("lang"))
-    return evidence.debate_evidence(rows).select("query_id", F.md5("evidence").alias("digest"))
+    return evidence.debate_evidence(_retrieved(documents, benchmark, 10).withColumn("doc_type", F.col("lang"))).select("query_id", F.md5("evidence").alias("digest"))
 
 
 @query(

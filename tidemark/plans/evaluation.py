@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import analytics, evaluation
-from tidemark.plans.registry import QUERIES, query
+from tidemark.plans.registry import QUERIES, query, shared_path
 from tidemark.plans.views import view
 from tidemark.streaming import streams
 
@@ -239,10 +237,7 @@ def q9_dedup_requests(requests):
 
 
 def _checkpoint(spark) -> str:
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
@@ -273,13 +268,14 @@ def q6_stream_drafts(spark, sf_dir):
 
 
 def q10_incremental_ingest(spark, sf_dir):
-    """Documents arrive as files, each batch replaces its sources' rows; reading the table after a second run of the same batch changes nothing."""
+    """Documents arrive as files, one or more to a batch; a document that comes again replaces its rows."""
     folder = _checkpoint(spark)
     schema = view(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    query = streams.ingest(stream, lambda b: b.select("doc_id", "lang", "source", F.length("text").alias("chars")), f"{folder}/table", "source", f"{folder}/state")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/documents.parquet*")
+    query = streams.ingest(stream, lambda b: b.select("doc_id", "lang", "source", F.length("text").alias("chars")), f"{folder}/table", f"{folder}/state")
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/table").groupBy("source").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
+    rows = streams.ingested(spark.read.parquet(f"{folder}/table"), "doc_id")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
 
 
 QUERIES |= {f.__name__: f for f in (q2_stream_ttl_hits, q4_stream_stage_durations, q6_stream_drafts, q10_incremental_ingest)}

@@ -6,12 +6,51 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fiscal, text
 from tidemark.operators import chunking, filters, parsing
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, shared_path
 from tidemark.sources import landing, tables
 
 FISCAL = "(SELECT DISTINCT ticker, cik, fye_month, day, fy, fq, fiscal_label FROM {fiscal_orders})"
 
 
+def _written(rows, name: str, by: str) -> str:
+    """Writes a table's ``value`` texts to a new place in the shared folder, a folder for each value of ``by``."""
+    path = shared_path(rows.sparkSession, name)
+    rows.repartition(by).write.partitionBy(by).text(path)
+    return path
+
+
+_MANIFEST = "SELECT ticker, cik, fiscal_label, form, CAST(report_date AS STRING) AS report_date, accession FROM {filings}"
+
+
+@query(_MANIFEST, "filings")
+def a1_a4_manifest(filings):
+    """A stage's manifest written and read again by the next stage."""
+    path = shared_path(filings.sparkSession, "manifest")
+    landing.write_manifest(landing.with_provenance(filings.withColumn("report_date", F.col("report_date").cast("string"))), path)
+    return landing.with_provenance(landing.read_manifest(filings.sparkSession, path, "filings"))
+
+
+@query(_MANIFEST, "filings")
+def a5_filings_manifest(filings):
+    """A manifest of each company, as an array or as an object that holds one under either name."""
+    rows = landing.with_provenance(filings.withColumn("report_date", F.col("report_date").cast("string")))
+    array = F.to_json(F.collect_list(F.struct(*rows.columns)))
+    kind = F.crc32("ticker") % 3
+    rows = rows.groupBy("ticker").agg(array.alias("a")).select("ticker", F.when(kind == 0, F.col("a")).otherwise(F.concat(F.lit('{"'), F.when(kind == 1, "filings").otherwise("documents"), F.lit('": '), "a", F.lit("}"))).alias("value"))
+    return landing.with_provenance(landing.read_filings_manifest(filings.sparkSession, _written(rows.withColumnRenamed("ticker", "company"), "filings", "company")))
+
+
+@query("SELECT claim_id, claim_type, text FROM {golden} WHERE claim_type <> 'absence'", "golden")
+def a14_load_claims(golden):
+    """Claim files by type, one of a single object each where the type is sentiment; the file of one type is broken and left out."""
+    claim = F.to_json(F.struct("claim_id", "claim_type", "text"))
+    rows = golden.select(F.when(F.col("claim_type") == "sentiment", F.concat_ws("-", "claim_type", "claim_id")).otherwise(F.col("claim_type")).alias("file"), "claim_type", claim.alias("c"))
+    whole = F.array_join(F.sort_array(F.collect_list("c")), ",")
+    rows = rows.groupBy("file", "claim_type").agg(whole.alias("w")).select("file", F.when(F.col("claim_type") == "sentiment", F.col("w")).when(F.col("claim_type") == "absence", "[{not json").otherwise(F.concat(F.lit("["), "w", F.lit("]"))).alias("value"))
+    path = _written(rows, "claims", "file")
+    return landing.read_claims(golden.sparkSession, f"{path}/*", golden.select("claim_id", "claim_type", "text").schema)
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)", "part", "lineitem")
 def a2_existing_only(part, lineitem):
     files = lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
@@ -194,23 +233,13 @@ def c3_page_events(pages):
     return parsing.page_events(pages).where("kind = 'heading'").groupBy("id").agg(F.count("*").alias("n"))
 
 
-def _bodies(method: str = "", heading: str = "", least: int = 1) -> str:
-    """SQL for the sections of the pages that :func:`_filing_pages` makes of documents with at least ``least`` lines."""
-    plain = "trim(regexp_replace(line, '\\s+', ' ', 'g'))"
+def _bodies(method: str = "", heading: str = "''") -> str:
+    """SQL for the sections of the pages that :func:`_whole_pages` makes of documents."""
     return f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-e AS (SELECT doc_id, generate_subscripts(l[1:3], 1) AS i, unnest(l[1:3]) AS line FROM d WHERE len(l) >= {least})
-SELECT doc_id AS id, CASE i WHEN 1 THEN 'mda' WHEN 2 THEN 'quantitative_qualitative_disclosures' ELSE 'controls_and_procedures' END AS section,
- {method} md5({heading} {plain}) AS digest FROM e WHERE {plain} <> ''"""
-
-
-def _filing_pages(documents, contents: bool):
-    """Filing pages whose three sections are the first lines of a document."""
-    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    lines = F.slice(F.split(safe, "\n"), 1, 3)
-    links = "".join(f'<a href="#s{k}">Item {k + 2}. Section</a>' for k in range(3)) if contents else ""
-    body = F.transform(lines, lambda line, k: F.concat(F.lit('<h2 id="s'), k.cast("string"), F.lit('">Item '), (k + 2).cast("string"), F.lit(". Section</h2><p>"), line, F.lit("</p>")))
-    page = F.concat(F.lit("<html><style>x</style><body>" + links), F.array_join(body, ""), F.lit("</body></html>"))
-    return documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))
+e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, trim(regexp_replace(unnest(l), '\\s+', ' ', 'g')) AS line FROM d),
+b AS (SELECT doc_id, i % 3 AS k, string_agg(line, ' ' ORDER BY i) AS body FROM e WHERE line <> '' GROUP BY doc_id, i % 3)
+SELECT doc_id AS id, CASE k WHEN 0 THEN 'mda' WHEN 1 THEN 'quantitative_qualitative_disclosures' ELSE 'controls_and_procedures' END AS section,
+ {method} md5({heading} || body) AS digest FROM b"""
 
 
 def _whole_pages(documents, contents: bool):
@@ -224,40 +253,25 @@ def _whole_pages(documents, contents: bool):
     return documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))
 
 
-@query(None, "documents")
-def c6_whole_pages(documents):
-    """All lines of all documents; so with the other ``_whole_`` queries."""
-    return parsing.toc_sections(parsing.page_events(_whole_pages(documents, True))).select("id", "section", F.md5("body").alias("digest"))
-
-
-@query(None, "documents")
-def c7_whole_pages(documents):
-    found = parsing.heading_sections(parsing.page_events(_whole_pages(documents, False)), F.lit("10-Q"))
-    return found.select("id", "section", F.md5("body").alias("digest"))
-
-
-@query(None, "documents")
-def c10_whole_pages(documents):
-    found = parsing.parse_filings(_whole_pages(documents, False))
-    return found.select("id", "section", "method", F.md5("body").alias("digest"))
-
-
-@query(_bodies(heading="'Item ' || CAST(i + 1 AS STRING) || '. Section ' ||", least=3), "documents")
+@query(_bodies(heading="'Item ' || CAST(k + 2 AS STRING) || '. Section '"), "documents")
 def c6_toc_segment(documents):
-    pages = _filing_pages(documents.where(F.size(F.split("text", "\n")) >= 3), True)
-    found = parsing.toc_sections(parsing.page_events(pages)).where(~F.col("body").rlike(r"^Item \d\. Section$"))
+    """All lines of all documents; a section without any line is left out."""
+    found = parsing.toc_sections(parsing.page_events(_whole_pages(documents, True))).where(~F.col("body").rlike(r"^Item \d\. Section$"))
     return found.select("id", "section", F.md5("body").alias("digest"))
 
 
 @query(_bodies(), "documents")
 def c7_heading_segment(documents):
-    found = parsing.heading_sections(parsing.page_events(_filing_pages(documents, False)), F.lit("10-Q"))
+    found = parsing.heading_sections(parsing.page_events(_whole_pages(documents, False)), F.lit("10-Q"))
     return found.select("id", "section", F.md5("body").alias("digest"))
 
 
-@query(_bodies("'headings' AS method,"), "documents")
+@query(_bodies("CASE WHEN doc_id % 2 = 0 THEN 'toc' ELSE 'headings' END AS method,", "CASE WHEN doc_id % 2 = 0 THEN 'Item ' || CAST(k + 2 AS STRING) || '. Section ' ELSE '' END"), "documents")
 def c10_parse_filings(documents):
-    found = parsing.parse_filings(_filing_pages(documents, False))
+    """Every other page has a table of contents."""
+    even = F.col("doc_id") % 2 == 0
+    pages = _whole_pages(documents.where(even), True).unionByName(_whole_pages(documents.where(~even), False))
+    found = parsing.parse_filings(pages).where(~F.col("body").rlike(r"^Item \d\. Section$"))
     return found.select("id", "section", "method", F.md5("body").alias("digest"))
 
 
@@ -389,6 +403,28 @@ def d10_enforce_max(documents):
     return out.select("doc_id", F.md5(F.array_join(F.transform("c", lambda c: c["body"]), "")).alias("digest"), "within")
 
 
+@query("SELECT doc_id, md5(text) AS digest, true AS large_enough FROM documents WHERE text <> ''", "documents")
+def d12_semantic_split(documents):
+    """The children of every text joined give the text, and none is small unless it is the only one."""
+    parts = chunking.semantic_split(documents.where("text <> ''").select("doc_id", "text"))
+    out = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("child", "body"))).alias("c"), ((F.min("n_tokens") >= chunking.CHILD_MIN) | (F.count("*") == 1)).alias("large_enough"))
+    return out.select("doc_id", F.md5(F.array_join(F.transform("c", lambda c: c["body"]), "")).alias("digest"), "large_enough")
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i, length(text) AS n FROM conversations),
+w AS (SELECT conv_id, i, n, n AS used, 0 AS g FROM s WHERE i = 1
+ UNION ALL SELECT s.conv_id, s.i, s.n, CASE WHEN w.used < 300 AND w.used + s.n <= 700 THEN w.used + s.n ELSE s.n END, w.g + CASE WHEN w.used < 300 AND w.used + s.n <= 700 THEN 0 ELSE 1 END FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1)
+SELECT conv_id, CAST(g AS INT) AS unit, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS n_chars FROM w GROUP BY conv_id, g""",
+    "conversations",
+)
+def d14_coalesce_units(conversations):
+    rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("c"))
+    rows = rows.select("conv_id", F.transform("c", lambda c: c["n"]).alias("n")).withColumn("g", chunking.coalesce_units(F.col("n"), 300, 700))
+    items = rows.select("conv_id", F.inline(F.arrays_zip("n", "g")))
+    return items.groupBy("conv_id", F.col("g").alias("unit")).agg(F.count("*").alias("n_turns"), F.sum("n").alias("n_chars"))
+
+
 @query(None, "documents")
 def d13_macro_units(documents):
     return documents.select("doc_id", F.size(chunking.macro_units(F.col("text"))).alias("n_units"))

@@ -9,14 +9,16 @@ from pyspark.sql import types as T
 from tidemark.functions import fiscal
 
 #: The keys that every stage of ingestion hands on unchanged.
-PROVENANCE = ("ticker", "cik", "fiscal_label", "report_date", "form", "accession")
+PROVENANCE = ("ticker", "cik", "fiscal_label", "form", "report_date", "accession")
 MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in (*PROVENANCE, "filing_date", "primary_document", "source_url", "local_path", "_corrupt_record")])
 
 
 def read_manifest(spark: SparkSession, path: str, label: str, schema: T.StructType = MANIFEST) -> DataFrame:
-    """A stage's manifest, a JSON array of flat records; an error that names the stage if it is missing."""
+    """A stage's manifest, JSON arrays of flat records or, as :func:`write_manifest` has it, a record on each line; an error that names the stage if it is missing."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        first = spark.read.text(path).where("trim(value) <> ''").first()
+        lines = first is not None and first[0].strip().startswith("{") and first[0].strip().endswith("}")
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
     except Exception as e:
         raise FileNotFoundError(f"no {label} manifest at {path}: run the stage before") from e
 

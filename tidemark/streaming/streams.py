@@ -74,19 +74,24 @@ def event_counts(events: DataFrame, ts: str, by: str, window: str = "1 hour", de
     return rows.groupBy(F.window(ts, window), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
 
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, accession: str, checkpoint: str, trigger: dict | None = None):
-    """Incremental ingestion: each batch of new filings is transformed and replaces the rows of its accessions.
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None):
+    """Incremental ingestion: each batch of new filings is transformed and stored under its number; see :func:`ingested`.
 
-    The table is partitioned by accession and overwritten by partition, so a batch that runs again changes nothing.
+    A batch that runs again overwrites itself, so that nothing is stored twice.
     """
 
-    def load(batch: DataFrame, _: int) -> None:
-        rows = transform(batch)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(accession).parquet(path)
+    def load(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def ingested(rows: DataFrame, accession: str) -> DataFrame:
+    """Of what :func:`ingest` stored, each accession's rows of the last batch that has any: a later filing replaces an earlier one, whatever else its batch holds."""
+    last = rows.groupBy(accession).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [accession, "batch"], "left_semi")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """All output of a stream over the data that is there now, written as Parquet beside its checkpoint and read back."""
     out = f"{checkpoint}/{name}-rows"
