@@ -179,16 +179,17 @@ def predict(docs: DataFrame, model: CodeModel | None, *, text_col="text", ambigu
             lang, score, unsure = [UNDETERMINED] * n, np.zeros(n), np.ones(n, bool)
             if own is not None and n:
                 hasher = NgramHasher(own.weights.shape[0])
-                rows, x = [], []
-                for i, text in enumerate(batch.column(k)):
-                    v = hasher(text.as_py())
-                    if v is not None:
-                        rows.append(i)
-                        x.append(v)
-                if rows:
-                    best, share, gap = own.decode(np.stack(x))
-                    for j, i in enumerate(rows):
-                        lang[i], score[i], unsure[i] = own.languages[best[j]], share[j], gap[j] < ambiguous_gap
+                for start in range(0, n, 256):  # features are wide, a batch of short texts has many rows
+                    rows, x = [], []
+                    for i, text in enumerate(batch.column(k).slice(start, 256), start):
+                        v = hasher(text.as_py())
+                        if v is not None:
+                            rows.append(i)
+                            x.append(v)
+                    if rows:
+                        best, share, gap = own.decode(np.stack(x))
+                        for j, i in enumerate(rows):
+                            lang[i], score[i], unsure[i] = own.languages[best[j]], share[j], gap[j] < ambiguous_gap
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)

@@ -41,7 +41,7 @@ from tidemark.llm.common import anti_by_id, hot_keys, join_hot, materialize, sma
 
 WORDS, PERCENT, HOT, SECOND = 5, 75, 64, 3
 #: Signatures a task sorts together, signatures of a bucket, ids of a signature that a pack holds, and bits by which signatures exceed their number.
-FLUSH, BUCKET, GROUP, SPARE_BITS = 1_000_000, 1_000_000, 4, 16
+FLUSH, BUCKET, GROUP, SPARE_BITS = 250_000, 1_000_000, 4, 16
 #: Sets and elements in a block of a dense group, and distinct elements counted at a time.
 BLOCK, BLOCK_ELEMENTS, COLUMNS = 256, 250_000, 4_096
 #: Edges whose components one task may find.

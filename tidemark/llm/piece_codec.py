@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Entries kept per worker: of stretches in the newer and the older of two tables, and of pair tests.
-STRETCHES, PAIRS = 150_000, 200_000
+STRETCHES, PAIRS = 80_000, 100_000
 #: Signs at the end of a stretch that may continue kept ids; more of them are encoded with the stretch.
 TAIL = 3
 
