@@ -226,6 +226,31 @@ def test_ttl_is_not_extended_by_hits(spark):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False}
 
 
+def test_ttl_of_nulls_repeated_rows_and_a_hot_key(spark):
+    rows = [("k", i, i) for i in range(5_000)] + [("k", 4_999, 4_999), ("j", None, 1), ("j", 7, 2), (None, 3, 3)]
+    rows = spark.createDataFrame(rows, "key string, s long, id long").withColumn("ts", F.timestamp_seconds("s")).withColumn("_at", F.lit("own"))
+    got = analytics.ttl_hits(rows, "key", "ts", "id", 100)
+    assert got.columns == ["key", "s", "id", "ts", "_at", "hit"]
+    found = [(r["key"], r["id"], r["hit"]) for r in got.collect()]
+    assert sorted(i for k, i, hit in found if k == "k" and not hit) == list(range(0, 5_000, 100))
+    assert len(found) == 5_003 and {f for f in found if f[0] == "j"} == {("j", 1, False), ("j", 2, False)}
+    assert analytics.ttl_hits(rows.limit(0), "key", "ts", "id", 100).count() == 0
+
+
+def test_children_of_a_long_parent(spark):
+    rows = [("a", i, [1.0, float(i % 7)], 30) for i in range(1_000)] + [("b", 0, [1.0, 0.0], 500), (None, 0, [1.0, 0.0], 1)]
+    got = chunking.semantic_breaks(spark.createDataFrame(rows, "of string, place long, v array<double>, n int"), "of", "place", "v", "n", least=80, most=375)
+    by = {(r["of"], r["place"]): r for r in got.collect()}
+    assert len(by) == 1_001 and by["b", 0]["child"] == 0
+    child, used = 0, 0
+    for i in range(1_000):
+        if used >= 80 and (by["a", i]["valley"] or used + 30 > 375):
+            child, used = child + 1, 0
+        used += 30
+        assert by["a", i]["child"] == child
+    assert child > 10
+
+
 def test_draft_ends_with_done(spark):
     rows = spark.createDataFrame([(1, 1, "token", "a"), (1, 2, "draft_reset", ""), (1, 3, "token", "b"), (1, 4, "done", ""), (1, 5, "token", "c")], "run long, n long, kind string, piece string")
     assert tuple(analytics.draft_fold(rows, "run", ["n"], "kind", "piece").first()) == (1, "b", True)

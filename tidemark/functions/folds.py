@@ -40,25 +40,6 @@ def pack_long(budget: int):
     return pack
 
 
-def cut_long(least: int, most: int):
-    """Group number of each item of arrays of sizes and of cuts wanted: a new group where a cut is wanted or the item would exceed ``most``, once the group has ``least``."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cut(sizes: pd.Series, wanted: pd.Series) -> pd.Series:
-        def one(row, cuts) -> list[int]:
-            out, group, used = [], 0, 0
-            for n, v in zip(row, cuts):
-                if used >= least and (v or used + n > most):
-                    group, used = group + 1, 0
-                used += int(n)
-                out.append(group)
-            return out
-
-        return pd.Series([one(row, cuts) for row, cuts in zip(sizes, wanted)])
-
-    return cut
-
-
 def budget_concat(texts: Column, budget: int, separator: str = "\n\n") -> Column:
     """Texts in order within a budget of characters; one that would exceed it is skipped, later ones may still fit. Separators do not count."""
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cache_key(prefix: str, query: Column, company: Column, quarter: Column, doc_type: Column, size: int = 16) -> Column:
@@ -21,22 +25,33 @@ def ttl_hits(requests: DataFrame, key: str, ts: str, order: str, seconds: int) -
     """Replay of requests against a cache: append ``hit``.
 
     A request hits if an entry lives; a miss sets one, which expires a fixed time after
-    it was set, whatever hits it. A key's requests are cut into stretches whose gaps
-    exceed the lifetime: each begins with a miss, so a fold never runs over more than one.
+    it was set, whatever hits it. Sorted rows stream by, and a task holds no more than one
+    key and the time its entry was set; rows without a key are left out, and one without a
+    time never hits.
     """
-    w = Window.partitionBy(key).orderBy(ts, order)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = requests.withColumn("_t", at).withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(w) >= seconds * 1_000_000, F.lit(True)).cast("int"))
-    rows = rows.withColumn("_run", F.sum("_new").over(w))
-    runs = rows.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("_t", order))).alias("c"))
-    start = F.struct(F.lit(None).cast("bigint").alias("set"), F.array().cast(f"array<struct<o:{dict(requests.dtypes)[order]},hit:boolean>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        hit = F.coalesce(r["_t"] - acc["set"] < seconds * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, acc["set"]).otherwise(r["_t"]).alias("set"), F.concat(acc["out"], F.array(F.struct(r[order].alias("o"), hit.alias("hit")))).alias("out"))
-
-    found = runs.select(key, F.inline(F.aggregate("c", start, step, lambda acc: acc["out"]))).withColumnRenamed("o", order)
-    return requests.join(found, [key, order])
+    at = "_at"
+    while at in requests.columns:
+        at = "_" + at
+    rows = requests.where(F.col(key).isNotNull()).withColumn(at, F.unix_micros(F.col(ts).cast("timestamp")))
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, at, order)
+    names, lifetime = requests.columns, seconds * 1_000_000
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, set_at = None, None
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist()):
+                if k != now:
+                    now, set_at = k, None
+                hit = set_at is not None and t is not None and t - set_at < lifetime
+                if not hit and t is not None:
+                    set_at = t
+                hits.append(hit)
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.bool_())], [*names, "hit"])
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("hit", T.BooleanType())])
+    return sorted_rows.mapInArrow(replay, schema)
 
 
 def cache_stats(hits: DataFrame, level: str) -> DataFrame:

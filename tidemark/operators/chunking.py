@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import folds, text
 
@@ -139,18 +143,33 @@ def semantic_breaks(sentences: DataFrame, by: str, place: str, vector: str, toke
     """Append ``similarity`` to the sentence before, ``valley`` (at or below the parent's percentile) and ``child``.
 
     A child ends before a valley, or where the next sentence would exceed ``most``, once it
-    has ``least`` tokens; what is left over stays with the last one.
+    has ``least`` tokens; what is left over stays with the last one. Sorted rows stream by
+    with the child's number and size; rows without a parent are left out.
     """
     from tidemark.functions.vectors import cosine
 
     order = Window.partitionBy(by).orderBy(place)
-    rows = sentences.withColumn("similarity", F.round(cosine(F.lag(vector).over(order), F.col(vector)), 9))
+    rows = sentences.where(F.col(by).isNotNull()).withColumn("similarity", F.round(cosine(F.lag(vector).over(order), F.col(vector)), 9))
     limit = F.percentile("similarity", F.lit(percentile)).over(Window.partitionBy(by))
     rows = rows.withColumn("valley", F.coalesce(F.col("similarity") <= limit, F.lit(False)))
-    packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(tokens).cast("int").alias("n"), F.col("valley").alias("v")))).alias("c"))
-    packed = packed.withColumn("g", folds.cut_long(least, most)(F.transform("c", lambda s: s["n"]), F.transform("c", lambda s: s["v"])))
-    groups = packed.select(by, F.inline(F.zip_with("c", "g", lambda s, g: F.struct(s["p"].alias(place), g.alias("child")))))
-    return rows.join(groups, [by, place])
+    sizes = rows.withColumn("_n", F.col(tokens).cast("int")).repartition(by).sortWithinPartitions(by, place)
+    names = rows.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, child, used = None, 0, 0
+        for batch in batches:
+            children = []
+            for k, n, wanted in zip(*(batch.column(c).to_pylist() for c in (by, "_n", "valley"))):
+                if k != now:
+                    now, child, used = k, 0, 0
+                if used >= least and (wanted or used + n > most):
+                    child, used = child + 1, 0
+                used += n
+                children.append(child)
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(children, pa.int32())], [*names, "child"])
+
+    return sizes.mapInArrow(cut, T.StructType([*rows.schema.fields, T.StructField("child", T.IntegerType())]))
 
 
 def semantic_split(blocks: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: int = CHILD, least: int = CHILD_MIN, most: int = CHILD_MAX, model=None) -> DataFrame:
