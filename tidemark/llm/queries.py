@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, license_scan, media, mixture, ngram_join, piece_codec, secret_scan, sharding, url_filter, vector_search
+from tidemark.llm import language_id, license_scan, media, mixture, ngram_join, piece_codec, quality, resampling, secret_scan, sharding, url_filter, vector_search, whitening
 from tidemark.llm.common import small_batches
 
 
@@ -91,6 +91,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: A document is called good from this score on.
+GOOD = 0.3
+
+
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("id").cast("string")) % 5 == 0
+    described = quality.describe(documents(spark, sf_dir))
+    model = quality.fit(described, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    scored = quality.score(described, model)
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 16)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS LONG)"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +126,9 @@ QUERIES = {
         op8_mixing,
         op9_media_columns,
         op10_url_filter,
+        op11_quality,
+        op12_whitening,
+        op13_resampling,
     )
 }
 
