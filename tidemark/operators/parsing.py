@@ -1,15 +1,14 @@
-"""Filing pages to sections: one pass of a standard HTML parser per page, everything around it native."""
+"""Filing pages to sections: events of each page (see :mod:`tidemark.operators.pages`), everything around them native."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators.filters import drop_canonical_sections
+from tidemark.operators.pages import HIDDEN_TAGS, extract_tables, page_events  # noqa: F401
+from tidemark.staging import written
 
 #: Sections of an annual report by item.
 ITEMS_10K = {
@@ -41,9 +40,10 @@ TITLES_10K = (
     ("directors, executive officers", "10"), ("executive compensation", "11"), ("security ownership", "12"),
     ("certain relationships", "13"), ("principal accountant fees", "14"), ("exhibits", "15"),
 )
-HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-HIDDEN_TAGS = ("script", "style", "ix:header", "ix:hidden", "ix:references", "ix:resources")
-VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Fixed value: a title with this in it is a part marker of a quarterly report's contents, whatever follows it.
+TITLE_MARKER = "part i"
+#: Numbers of parts in links' targets.
+PARTS = {"I": "I", "II": "II", "III": "III", "IV": "IV", "1": "I", "2": "II", "3": "III", "4": "IV"}
 
 
 def strip_noise(html: Column) -> Column:
@@ -54,100 +54,6 @@ def strip_noise(html: Column) -> Column:
     return out
 
 
-class PageReader(HTMLParser):
-    """Events of a page in order: ``(kind, text, target)`` with kinds anchor, link, heading, title, bold, row and text.
-
-    Headings, links and bold runs stand before the texts within them.
-
-    A table row is one event with its filled cells joined by `` | ``, so that its texts count once.
-    """
-
-    def __init__(self):
-        super().__init__()
-        self.events: list[tuple[str, str, str]] = []
-        self.hidden: list[str] = []
-        self.open: list[tuple[str, str, int]] = []
-        self.cells: list[str] | None = None
-        self.cell: list[str] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID_TAGS:
-            return
-        have = {k: v or "" for k, v in attrs}
-        style = have.get("style", "").replace(" ", "").lower()
-        if self.hidden or tag in HIDDEN_TAGS or "display:none" in style:
-            self.hidden.append(tag)
-            return
-        name = have.get("id") or have.get("name")
-        if name:
-            self.events.append(("anchor", "", name))
-        if tag == "tr":
-            self.cells = []
-        elif tag in ("td", "th") and self.cells is not None:
-            self.cell = []
-        elif tag == "a" and have.get("href", "").startswith("#"):
-            self.open.append((tag, have["href"][1:], len(self.events)))
-        elif tag in HEADING_TAGS or tag in ("b", "strong"):
-            self.open.append((tag, "", len(self.events)))
-
-    def handle_endtag(self, tag):
-        if self.hidden:
-            if tag in self.hidden:
-                while self.hidden.pop() != tag:
-                    pass
-            return
-        if tag in ("td", "th") and self.cell is not None:
-            if joined := " ".join(self.cell):
-                self.cells.append(joined)
-            self.cell = None
-        elif tag == "tr" and self.cells is not None:
-            if self.cells:
-                self.events.append(("row", " | ".join(self.cells), ""))
-            self.cells = None
-        elif self.open and self.open[-1][0] == tag:
-            _, target, start = self.open.pop()
-            inner = " ".join(e[1] for e in self.events[start:] if e[0] == "text")
-            kind = "link" if tag == "a" else "heading" if tag in HEADING_TAGS else "bold"
-            if inner and not (kind == "bold" and len(inner) > 300):
-                if kind == "heading":  # its texts belong to no section's body
-                    self.events[start:] = [("title", *e[1:]) if e[0] == "text" else e for e in self.events[start:]]
-                self.events.insert(start, (kind, inner, target))
-
-    def handle_data(self, data):
-        words = " ".join(data.split())
-        if not words or self.hidden:
-            return
-        if self.cell is not None:
-            self.cell.append(words)
-        else:
-            self.events.append(("text", words, ""))
-
-
-def page_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id, place, kind, content, target``: what a page holds, in document order. One parse per page; a page that fails gives no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, html in zip(batch[id_col], batch[html_col]):
-                reader = PageReader()
-                try:
-                    reader.feed(html or "")
-                    reader.close()
-                except (AssertionError, ValueError):
-                    continue
-                out += [(i, n, *e) for n, e in enumerate(reader.events)]
-            yield pd.DataFrame(out, columns=["id", "place", "kind", "content", "target"])
-
-    return pages.select(id_col, html_col).mapInPandas(run, "id long, place int, kind string, content string, target string")
-
-
-def extract_tables(events: DataFrame) -> DataFrame:
-    """``id, rows``: table rows of each page joined by line breaks."""
-    rows = events.where("kind = 'row'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("r"))
-    return rows.select("id", F.array_join(F.transform("r", lambda r: r["content"]), "\n").alias("rows"))
-
-
 def list_items(html: Column) -> Column:
     """Texts of the page's list items, empty ones left out."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
@@ -187,68 +93,131 @@ def item_ordinal(item: Column) -> Column:
     return F.regexp_extract(item, r"^(\d+)", 1).cast("int") * 10 + F.when(letter == "", 0).otherwise(F.ascii(letter) - 64)
 
 
+def carried_parts(items: DataFrame, by: str, place: str, marker: Column) -> DataFrame:
+    """Append ``part``, in order of ``place``: the last ``marker`` (I before any), and under I the part is II from the first item on
+    whose ordinal does not exceed that of the item before it. A marker starts the count of ordinals anew; rows without an item count for nothing."""
+    order = Window.partitionBy(by).orderBy(place)
+    rows = items.withColumn("_marker", marker).withColumn("_since", F.count("_marker").over(order)).withColumn("_base", F.coalesce(F.last("_marker", True).over(order), F.lit("I")))
+    within = Window.partitionBy(by, "_since").orderBy(place)
+    rows = rows.withColumn("_o", item_ordinal(F.col("item")))
+    before = F.last("_o", True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_reset", F.coalesce(F.col("_o") <= before, F.lit(False)))
+    again = F.max("_reset").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("part", F.when(again & (F.col("_base") == "I"), "II").otherwise(F.col("_base"))).drop("_marker", "_since", "_base", "_o", "_reset")
+
+
 def ordinal_reset(items: DataFrame, by: str, place: str) -> DataFrame:
     """Append ``part``: II from the first item on whose ordinal does not exceed the one before, else I."""
-    order = Window.partitionBy(by).orderBy(place)
-    o = item_ordinal(F.col("item"))
-    reset = F.coalesce(o <= F.lag(o).over(order), F.lit(False)).cast("int")
-    rows = items.withColumn("_reset", reset)
-    ever = F.max("_reset").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("part", F.when(ever == 1, "II").otherwise("I")).drop("_reset")
-
-
-def heading_sections(events: DataFrame, form: Column) -> DataFrame:
-    """``id, section, body``: sections under headings ``Item N``; repeated running headers continue a section, the first of equal sections wins."""
-    kinds = events.where(F.col("kind").isin("heading", "bold", "row", "text"))
-    heads = kinds.withColumn("item", F.when(F.col("kind").isin("heading", "bold"), F.upper(F.regexp_extract("content", r"(?i)^item\s+(\d{1,2}[A-C]?)[.\s]", 1))))
-    heads = heads.withColumn("item", F.nullif("item", F.lit("")))
-    marked = ordinal_reset(heads.where("item is not null"), "id", "place").select("id", "place", "part")
-    rows = heads.join(marked, ["id", "place"], "left")
+    return carried_parts(items, by, place, F.lit(None).cast("string"))
+
+
+def _valid(form: str) -> list[str]:
+    return sorted({i for _, i in ITEMS_10Q} if form == "10-Q" else set(ITEMS_10K))
+
+
+def _blank(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _part_name(c: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])[F.upper(c)]
+
+
+def text_between(events: DataFrame, key: Column, kinds: tuple[str, ...] = ("text", "title", "table")) -> DataFrame:
+    """``id, start, key, body``: from each event with a ``key`` that is not null to the next one, what the kinds say in document order.
+
+    Tables keep their rows; of a table that the section begins in, the rest comes text by
+    text. The section's start is carried along the events, so a page is sorted once and
+    nothing is joined.
+    """
     order = Window.partitionBy("id").orderBy("place")
-    key = F.when(F.col("item").isNotNull(), F.concat_ws("/", "part", "item"))
-    rows = rows.withColumn("key", F.last(key, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("key is not null")
-    rows = rows.withColumn("new", F.coalesce(F.col("key") != F.lag("key").over(order), F.lit(True)).cast("int"))
-    rows = rows.withColumn("run", F.sum("new").over(order))
-    body = rows.where("kind in ('row', 'text') and item is null").groupBy("id", "run", "key").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("c"))
-    part, item = F.split("key", "/")[0], F.split("key", "/")[1]
-    body = body.select("id", "run", canonical_section(form, part, item).alias("section"), F.array_join(F.transform("c", lambda c: c["content"]), " ").alias("body"))
-    first = F.row_number().over(Window.partitionBy("id", "section").orderBy("run"))
-    return body.where("section is not null and body <> ''").withColumn("_n", first).where("_n = 1").drop("_n", "run")
+    begun = F.last(F.when(key.isNotNull(), F.struct(F.col("place").alias("start"), key.alias("key"))), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = events.withColumn("_in", begun).where("_in is not null")
+    start = F.col("_in.start")
+    said = (F.col("place") > start) & (F.col("kind").isin(*kinds) | (F.col("kind") == "cell") & (F.col("inside") < start))
+    found = rows.groupBy("id", start.alias("start"), F.col("_in.key").alias("key")).agg(F.array_sort(F.collect_list(F.when(said, F.struct("place", "content")))).alias("said"))
+    return found.select("id", "start", "key", F.array_join(F.transform("said", lambda c: c["content"]), " ").alias("body"))
+
+
+def _first_of_section(bodies: DataFrame, form: Column) -> DataFrame:
+    """``id, section, body`` of ``key`` part and item, by the form: the first of equal sections, empty ones and unknown items left out."""
+    named = bodies.withColumn("section", canonical_section(form, F.col("key.part"), F.col("key.item"))).where("section is not null and body <> ''")
+    first = F.row_number().over(Window.partitionBy("id", "section").orderBy("start"))
+    return named.withColumn("_n", first).where("_n = 1").select("id", "section", "body")
+
+
+def heading_sections(events: DataFrame, form: Column, valid: list[str] | None = None) -> DataFrame:
+    """``id, section, body``: sections under headings ``Item N`` (a heading, or a bold run) to the next one, under the part that
+    ``Part N`` headings or the ordinals tell; repeated running headers continue a section, the first of equal sections wins."""
+    heads = events.where(F.col("kind").isin("heading", "bold")).select("id", "place", "content")
+    part = _part_name(_blank(F.regexp_extract("content", r"(?i)^\s*part\s+(i{1,3}|iv)\b", 1)))
+    item = _blank(F.upper(F.regexp_extract("content", r"(?i)^(?:item|part)\s+(\d{1,2}[A-C]?)[.\s]", 1)))
+    heads = heads.select("id", "place", part.alias("marker"), F.when(part.isNull(), item).alias("item"))
+    heads = heads.where(F.col("marker").isNotNull() | (F.col("item").isin(*(valid or sorted(set(ITEMS_10K) | {i for _, i in ITEMS_10Q})))))
+    order = Window.partitionBy("id").orderBy("place")
+    marked = carried_parts(heads, "id", "place", F.col("marker")).where("item is not null").withColumn("key", F.struct("part", "item"))
+    marked = marked.withColumn("_new", F.coalesce(F.col("key") != F.lag("key").over(order), F.lit(True))).where("_new")
+    return _first_of_section(text_between(_keyed(events, marked), F.col("key"), ("text", "table")), form)
+
+
+def _keyed(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """``events`` with the ``key`` of the start at their place; pages without a start go. The starts of a page come as one row, so that events are dealt by page alone."""
+    of_page = starts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "key"))).alias("_keys"))
+    return events.join(of_page, "id").withColumn("key", F.try_element_at("_keys", F.col("place"))).drop("_keys")
 
 
 def toc_anchors(events: DataFrame, form: str = "10-Q") -> DataFrame:
-    """In-page links that name an item, by text, by the link's target or by its title: ``id, place, target, part, item``."""
-    links = events.where("kind = 'link'")
-    blank = lambda c: F.nullif(c, F.lit(""))
-    by_text = blank(F.upper(F.regexp_extract("content", r"(?i)item\s+(1[ABC]?|[2-9][ABC]?|1[0-5])\b", 1)))
-    by_slug = blank(F.upper(F.regexp_extract("target", r"(?i)item[_-](\d{1,2}[a-c]?)(?:[_-]|$)", 1)))
-    by_title = title_item(F.lit(form), F.col("content"))
-    by_title = F.element_at(F.split(by_title, "/"), -1)
-    rows = links.withColumn("item", F.coalesce(by_text, by_slug, by_title)).where("item is not null")
-    valid = {i for _, i in ITEMS_10Q} if form == "10-Q" else set(ITEMS_10K)
-    return ordinal_reset(rows.where(F.col("item").isin(*sorted(valid))), "id", "place").select("id", "place", "target", "part", "item")
+    """Links of a page's contents that name an item: ``id, place, target, part, item, at``.
+
+    An item is named by the link's text, its target or its title. The part is the one that a
+    "Part N" link names before it, or that the ordinals tell (see :func:`carried_parts`);
+    a title has a part of its own. Of links to the same item the last whose target is on the
+    page counts; ``at`` is the target's place.
+    """
+    some = events.where(F.col("kind").isin("link", "anchor", "name")).select("id", "place", "kind", "content", "target")
+    spot = Window.partitionBy("id", "target")
+    by_id, by_name = (F.min(F.when(F.col("kind") == kind, F.col("place"))).over(spot) for kind in ("anchor", "name"))
+    links = some.withColumn("at", F.coalesce(by_id, by_name)).where("kind = 'link'")
+    marker = F.coalesce(
+        _blank(F.regexp_extract("content", r"(?i)^\s*part\s+(i{1,3}|iv)\b", 1)),
+        _blank(F.regexp_extract("target", r"(?i)part[_-](i{1,3}|iv|1|2|3|4)(?:[_-]|$)", 1)),
+    )
+    by_text = _blank(F.upper(F.regexp_extract("content", r"(?i)item\s+(1[ABC]?|[2-9][ABC]?|1[0-5])\b", 1)))
+    by_slug = _blank(F.upper(F.regexp_extract("target", r"(?i)item[_-](\d{1,2}[a-c]?)(?:[_-]|$)", 1)))
+    links = links.withColumn("marker", _part_name(marker)).withColumn("numbered", F.coalesce(by_text, by_slug))
+    untold = F.col("marker").isNull() & F.col("numbered").isNull()
+    title = F.when(untold, title_item(F.lit(form), F.col("content")))
+    if form == "10-Q":
+        links = links.withColumn("marker", F.when(untold & text.normalize_title(F.col("content")).contains(TITLE_MARKER), "I").otherwise(F.col("marker")))
+        title = F.when(F.col("marker").isNull(), title)
+        own_part, titled = F.get(F.split(title, "/"), 0), F.get(F.split(title, "/"), 1)
+    else:
+        own_part, titled = F.lit(None).cast("string"), title
+    links = links.withColumn("own_part", own_part).withColumn("item", F.when(F.col("marker").isNull(), F.coalesce("numbered", titled)))
+    links = links.where(F.col("marker").isNotNull() | F.col("item").isin(*_valid(form)))
+    # titles with a part of their own leave the others' ordinals alone
+    told = links.withColumn("_item", F.col("item")).withColumn("item", F.when(F.col("own_part").isNull() & F.lit(form == "10-Q"), F.col("item")))
+    found = carried_parts(told, "id", "place", F.col("marker")).withColumn("item", F.col("_item")).where("item is not null and at is not null")
+    found = found.withColumn("part", F.coalesce("own_part", "part"))
+    last = F.row_number().over(Window.partitionBy("id", "part", "item").orderBy(F.desc("place")))
+    return found.withColumn("_n", last).where("_n = 1").select("id", "place", "target", "part", "item", "at")
 
 
 def toc_sections(events: DataFrame, form: str = "10-Q", least: int = 3) -> DataFrame:
-    """``id, section, body`` between the targets of at least ``least`` items' links; the first of equal sections wins."""
+    """``id, section, body`` from the target of each item in the contents to the next item's, where the contents name ``least`` items; the first of equal sections wins."""
     links = toc_anchors(events, form)
-    enough = links.groupBy("id").agg(F.countDistinct("target").alias("n")).where(F.col("n") >= least).select("id")
-    targets = links.join(enough, "id", "left_semi").groupBy("id", "target").agg(F.min_by(F.struct("part", "item"), "place").alias("k"))
-    at = events.where("kind = 'anchor'").groupBy("id", "target").agg(F.min("place").alias("at"))
-    starts = targets.join(at, ["id", "target"]).withColumn("next", F.lead("at").over(Window.partitionBy("id").orderBy("at")))
-    e = events.where("kind in ('row', 'text', 'title')").select(F.col("id").alias("e_id"), "place", "content")
-    inside = starts.join(e, (F.col("id") == F.col("e_id")) & (F.col("place") >= F.col("at")) & (F.col("place") < F.coalesce("next", F.lit(2**31 - 1))))
-    body = inside.groupBy("id", "at", canonical_section(F.lit(form), F.col("k.part"), F.col("k.item")).alias("section")).agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("c"))
-    body = body.where("section is not null").withColumn("_n", F.row_number().over(Window.partitionBy("id", "section").orderBy("at"))).where("_n = 1")
-    return body.select("id", "section", F.array_join(F.transform("c", lambda c: c["content"]), " ").alias("body"))
+    links = links.withColumn("_n", F.count("*").over(Window.partitionBy("id"))).where(F.col("_n") >= least)
+    starts = links.groupBy("id", F.col("at").alias("place")).agg(F.min_by(F.struct("part", "item"), "place").alias("key"))
+    return _first_of_section(text_between(_keyed(events, starts), F.col("key")), F.lit(form))
 
 
 def parse_filings(pages: DataFrame, form: str = "10-Q", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id, section, body, method``: by the table of contents where it names enough items, else by headings; dropped sections are left out."""
-    from tidemark.operators.filters import drop_canonical_sections
-
-    events = page_events(pages, id_col, html_col).persist()
-    toc = toc_sections(events, form)
-    heads = heading_sections(events.join(toc.select("id").distinct(), "id", "left_anti"), F.lit(form))
-    found = toc.withColumn("method", F.lit("toc")).unionByName(heads.withColumn("method", F.lit("headings")))
-    return drop_canonical_sections(found)
+    """``id, section, body, method``: by the table of contents where that gives any section to keep, else by headings; dropped sections are left out.
+
+    Pages are parsed once; their events are a table in the shared folder, of which the
+    contents and the headings read a few rows and two columns.
+    """
+    events = written(page_events(pages, id_col, html_col), "events")
+    toc = written(drop_canonical_sections(toc_sections(events, form)), "sections")
+    heads = drop_canonical_sections(heading_sections(events.join(toc.select("id").distinct(), "id", "left_anti"), F.lit(form), _valid(form)))
+    return toc.withColumn("method", F.lit("toc")).unionByName(heads.withColumn("method", F.lit("headings")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import analytics, evaluation
-from tidemark.plans.registry import QUERIES, query, shared_path
+from tidemark.plans.registry import QUERIES, query
+from tidemark.staging import shared_path
 from tidemark.plans.views import view
 from tidemark.streaming import streams
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fiscal, text
 from tidemark.operators import chunking, filters, parsing
-from tidemark.plans.registry import query, shared_path
+from tidemark.plans.registry import query
+from tidemark.staging import shared_path
 from tidemark.sources import landing, tables
 
 FISCAL = "(SELECT DISTINCT ticker, cik, fye_month, day, fy, fq, fiscal_label FROM {fiscal_orders})"
@@ -233,6 +234,80 @@ def c3_page_events(pages):
     return parsing.page_events(pages).where("kind = 'heading'").groupBy("id").agg(F.count("*").alias("n"))
 
 
+def _cells_page(documents):
+    """A page with one table for each document: a row for each line, a cell for each word, in four forms of HTML by the id."""
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    cell = lambda before, after: lambda line: F.array_join(F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(before), w, F.lit(after))), "")
+    row = lambda before, words, after: F.array_join(F.transform(F.split(safe, "\n"), lambda line: F.concat(F.lit(before), words(line), F.lit(after))), "")
+    form = F.col("doc_id") % 4
+    rows = (
+        F.when(form == 0, row("<tr>", cell("<td>", "</td>"), "</tr>"))
+        .when(form == 1, row("<tr>", cell("<td>", ""), ""))
+        .when(form == 2, row("<tbody><tr><td></td>", cell("<th>", "</th><td> </td>"), ""))
+        .otherwise(row("<tr><td><table>", cell("<td>", ""), "</table></td></tr>"))
+    )
+    return documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><body><p>before<table>"), rows, F.lit("</table>after</body></html>")).alias("html"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, generate_subscripts(l, 1) AS i, list_filter(regexp_split_to_array(unnest(l), '\\s+'), lambda x: x <> '') AS w FROM l),
+r AS (SELECT doc_id, i, array_to_string(w, ' | ') AS r, array_to_string(w, ' ') AS whole FROM w WHERE len(w) > 0)
+SELECT doc_id AS id, CAST(count(*) * CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS BIGINT) AS n,
+ md5(string_agg(CASE WHEN doc_id % 4 = 3 THEN whole || ' | ' || r || chr(10) || r ELSE r END, chr(10) ORDER BY i)) AS digest FROM r GROUP BY doc_id""",
+    "documents",
+)
+def c2_extract_tables(documents):
+    """Tables with all words of all documents: closed, without end tags, with empty cells, and nested."""
+    found = parsing.extract_tables(parsing.page_events(_cells_page(documents)))
+    return found.select("id", F.size(F.split("rows", "\n")).cast("long").alias("n"), F.md5("rows").alias("digest"))
+
+
+def _unescaped(html: str) -> str:
+    """SQL for a page's text without the few references that the pages hold."""
+    return f"regexp_replace(replace(replace(replace({html}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+_AFTER_HEADING = "regexp_replace(regexp_replace(split_part(html, '<h1>', 2), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')"
+
+
+@query(f"SELECT page_id AS id, md5(trim(regexp_replace(html_unescaped, '\\s+', ' ', 'g'))) AS digest FROM (SELECT page_id, {_unescaped(_AFTER_HEADING)} AS html_unescaped FROM pages)", "pages")
+def c3_after_heading(pages):
+    """All that the pages say from their heading on."""
+    events = parsing.page_events(pages)
+    return parsing.text_between(events, F.when(F.col("kind") == "heading", F.col("content"))).select("id", F.md5("body").alias("digest"))
+
+
+def _anchored_pages(documents):
+    """Pages with all lines of each document: of four lines one follows an anchor, two are paragraphs and one a table of its first word and the rest, with an anchor on the rest."""
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first, rest = (lambda line: F.regexp_extract(line, r"^\s*(\S*)", 1)), (lambda line: F.regexp_replace(line, r"^\s*\S*", ""))
+
+    def html(line, i):
+        n = i.cast("string")
+        anchored = F.concat(F.lit('<a name="n'), n, F.lit('"></a><p>'), line)
+        table = F.concat(F.lit("<table><tr><td>"), first(line), F.lit('<td id="t'), n, F.lit('">'), rest(line), F.lit("</table>"))
+        return F.when(i % 4 == 0, anchored).when(i % 4 == 2, table).otherwise(F.concat(F.lit("<p>"), line))
+
+    return documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.split(safe, "\n"), html), ""), F.lit("</body></html>")).alias("html"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, trim(regexp_replace(unnest(l), '\\s+', ' ', 'g')) AS line FROM l),
+c AS (SELECT *, split_part(line, ' ', 1) AS a, trim(substr(line, length(split_part(line, ' ', 1)) + 1)) AS b FROM e),
+said AS (SELECT doc_id, 'n' || CAST(i - i % 4 AS STRING) AS key, i, CASE i % 4 WHEN 2 THEN CASE WHEN b = '' THEN a ELSE a || ' | ' || b END ELSE line END AS t FROM c WHERE i % 4 < 3
+ UNION ALL SELECT doc_id, 't' || CAST(i - i % 2 AS STRING), i, CASE i % 4 WHEN 2 THEN b ELSE line END FROM c WHERE i % 4 >= 2)
+SELECT doc_id AS id, key, md5(coalesce(string_agg(t, ' ' ORDER BY i) FILTER (WHERE t <> ''), '')) AS digest FROM said GROUP BY doc_id, key""",
+    "documents",
+)
+def c3_text_between(documents):
+    """From each anchor to the next, tables as rows, and the rest of a table that an anchor stands in."""
+    events = parsing.page_events(_anchored_pages(documents))
+    named = F.when(F.col("kind").isin("anchor", "name"), F.col("target"))
+    return parsing.text_between(events, named).select("id", "key", F.md5("body").alias("digest"))
+
+
 def _bodies(method: str = "", heading: str = "''") -> str:
     """SQL for the sections of the pages that :func:`_whole_pages` makes of documents."""
     return f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -280,6 +355,41 @@ def c4_toc_anchors(documents):
     return parsing.toc_anchors(parsing.page_events(_whole_pages(documents, True))).select("id", "item", "part")
 
 
+#: Links of made contents: their text, what their target begins with, and the part they mark or the item they name, with a part of its own or without.
+_CONTENTS = (
+    ("Part I. Financial Information", "x", "I", "", ""), ("Item 4. Controls", "y", "", "", "4"), ("Part II", "z", "II", "", ""), ("Item 5. Other", "y", "", "", "5"),
+    ("Item 1A. Risks", "y", "", "", "1A"), ("12", "item_2_s", "", "", "2"), ("Legal Proceedings", "u", "", "II", "1"), ("Item 6. Exhibits", "y", "", "", "6"),
+    ("page 3", "part_ii_s", "II", "", ""), ("Management’s Discussion and Analysis", "u", "", "I", "2"), ("Item 99. Beyond", "y", "", "", ""), ("Item 2. Sales", "y", "", "", "2"), ("Counterpart I", "u", "I", "", ""),
+)
+
+
+def _contents_pages(documents):
+    """Pages with a link for each line of a document, of a kind that jumps about with id and line; all targets are on the page."""
+    kind = lambda i: ((F.col("doc_id") * 7 + i * i + i) % len(_CONTENTS)).cast("int")
+    of = lambda k, i: F.get(F.array(*[F.lit(row[k]) for row in _CONTENTS]), kind(i))
+    lines = F.split("text", "\n")
+    links = F.array_join(F.transform(lines, lambda _, i: F.concat(F.lit('<tr><td><a href="#'), of(1, i), i.cast("string"), F.lit('">'), of(0, i), F.lit("</a>"))), "")
+    ends = F.array_join(F.transform(lines, lambda _, i: F.concat(F.lit('<p id="'), of(1, i), i.cast("string"), F.lit('">x'))), "")
+    return documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<table>"), links, F.lit("</table>"), ends).alias("html"))
+
+
+@query(
+    f"""WITH k(kind, marker, own, item) AS (VALUES {", ".join(f"({n}, nullif('{r[2]}', ''), nullif('{r[3]}', ''), nullif('{r[4]}', ''))" for n, r in enumerate(_CONTENTS))}),
+l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+r AS (SELECT doc_id, i, marker, own, item, count(marker) OVER w AS since, coalesce(last_value(marker IGNORE NULLS) OVER w, 'I') AS base,
+  CASE WHEN own IS NULL THEN CAST(regexp_extract(item, '^(\\d+)', 1) AS INT) * 10 + CASE WHEN item LIKE '%A' THEN 1 ELSE 0 END END AS o
+  FROM l JOIN k ON kind = (doc_id * 7 + i * i + i) % {len(_CONTENTS)} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, coalesce(o <= last_value(o IGNORE NULLS) OVER (PARTITION BY doc_id, since ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again FROM r),
+p AS (SELECT doc_id, i, item, coalesce(own, CASE WHEN base = 'I' AND bool_or(again) OVER (PARTITION BY doc_id, since ORDER BY i) THEN 'II' ELSE base END) AS part FROM b)
+SELECT doc_id AS id, part, item, CAST(max(i) AS BIGINT) AS line FROM p WHERE item IS NOT NULL GROUP BY doc_id, part, item""",
+    "documents",
+)
+def c4_contents(documents):
+    """Contents that jump between parts and items, by text, target and title; of each item the last link."""
+    found = parsing.toc_anchors(parsing.page_events(_contents_pages(documents)))
+    return found.select("id", "part", "item", F.regexp_extract("target", r"(\d+)$", 1).cast("long").alias("line"))
+
+
 _ITEMS = "(SELECT conv_id, turn, CAST(1 + (turn * 2 + conv_id) % 6 AS STRING) || CASE WHEN (conv_id + turn) % 3 = 0 THEN 'A' ELSE '' END AS item FROM conversations)"
 
 
