@@ -668,3 +668,85 @@ def test_pipeline_stages_against_plain_versions(spark, sp):
     ids = stages["SentencePiece encoding"](spark, mixed, "")
     wanted = Counter((r["doc_id"], len(sp.encode(r["text"], add_eos=True))) for r in mixed.collect())
     assert Counter((r["doc_id"], r["n_tokens"]) for r in ids.collect()) == wanted
+
+
+def plain_mix(placed, mix, seed=11):
+    """Taken words, first shard and slot, and last shard of each row: every shard fills its slots source by source, each slot takes the permutation's next block."""
+    of_source = defaultdict(list)
+    for r in placed:
+        of_source[r["s"]].append(r)
+    filled, out = Counter(), {tuple(r["key"]): [0, None, None] for r in placed}
+    for shard, drawn in enumerate(mix.draws.tolist()):
+        slot = 0
+        for s, n in enumerate(drawn):
+            for _ in range(n):
+                turn, place = divmod(filled[s], int(mix.blocks[s]))
+                block = int(mixture.permuted(np.array([place]), int(mix.blocks[s]), seed + 1_000_003 * s + 7919 * turn)[0])
+                for r in of_source[s]:
+                    words = min(r["start"] + r["size"], (block + 1) * mixture.BLOCK) - max(r["start"], block * mixture.BLOCK)
+                    if words > 0:
+                        own = out[tuple(r["key"])]
+                        own[0] += words
+                        own[1], own[2] = own[1] or (shard, slot), max(own[2] or 0, shard)
+                filled[s] += 1
+                slot += 1
+    return Counter((r["doc_id"], out[tuple(r["key"])][0], *(out[tuple(r["key"])][1] or (None, None)), out[tuple(r["key"])][2]) for r in placed)
+
+
+def test_mixing_against_plain_draws_and_permutations(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed, _ = mixture.mix_pieces(docs, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1))
+    placed = placed.collect()
+    sizes = {}
+    for s, own in {s: sorted((r for r in placed if r["s"] == s and r["size"]), key=lambda r: r["start"]) for s in {r["s"] for r in placed}}.items():
+        at = 0
+        for r in own:  # the rows of a source lie one after the other, with all their words
+            assert r["start"] == at and r["size"] == len(re.findall(mixture.WORD, docs.where(F.col("doc_id") == r["doc_id"]).first()["text"] or "")) if s == 0 else r["start"] == at
+            at += r["size"]
+        sizes[next(r["source"] for r in placed if r["s"] == s)] = at
+    mix = mixture.decide(sizes, (5, 2, 1))
+    got = Counter((r["doc_id"], r["taken"], r["first_shard"], r["first_slot"], r["last_shard"]) for r in mixture.mix(docs).collect())
+    assert got == plain_mix(placed, mix)
+    per_source = Counter()
+    for r in mixture.mix(docs).collect():
+        per_source[r["target"], r["source_size"]] += r["taken"]
+    assert all(abs(n - target) < 0.06 * target for (target, _), n in per_source.items())
+
+
+def test_draws_decide_the_mix(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    taken = {r["doc_id"]: r["taken"] for r in mixture.mix(docs).collect()}
+    draw = mixture.draw
+    monkeypatch.setattr(mixture, "draw", lambda quota, most, shards, seed: draw(quota, most, shards, seed + 1))
+    other = {r["doc_id"]: r["taken"] for r in mixture.mix(docs).collect()}
+    assert taken != other and abs(sum(taken.values()) - sum(other.values())) < 0.02 * sum(taken.values())
+
+
+def test_draws_stay_within_bounds():
+    for quota, most in (([10, 0, 300], [10, 4, 400]), ([3, 1, 2], [2, 2, 9]), ([1000] * 20, [1300] * 20), ([0, 0], [0, 0])):
+        out = mixture.draw(np.array(quota), np.array(most), max(1, sum(quota) // 64), 3)
+        assert (out.sum(0) <= most).all() and out.sum() == sum(quota) and np.ptp(out.sum(1)) <= 1
+    drawn = mixture.draw(np.array([5000, 2000, 1000, 90]), np.array([9000] * 4), 63, 3).sum(0)
+    assert (np.abs(drawn - [5000, 2000, 1000, 90]) < 30).all()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one id are judged one by one; the same row twice is one row."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    v, w, x = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(1, w, "en", "a", 5), (1, w, "en", "a", 5), (1, v, "en", "b", 5), (2, v + " more", "en", "a", 5), (3, x, "en", "a", 1), (3, None, "en", "a", 1), (None, w, "en", "a", 5), (4, x, "fr", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept - Counter([(2, v + " more"), (1, v)]) == Counter([(1, w), (3, x), (3, None), (None, w)]) and sum(kept.values()) == 5
+    assert multiset(corpus_pipeline.near_duplicates(spark, docs.repartition(5), "").collect()) == multiset(got.collect())
+
+
+def test_names_clash_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "x", "y", "z", "w")], "doc_id long, text string, Spans string, LICENSES string, Lang_Pred string")
+    for add in (lambda: secret_scan.scan(docs), lambda: license_scan.scan(docs, license_scan.fit(docs)), lambda: language_id.predict(docs, None), lambda: url_filter.judge(docs.withColumnsRenamed({"text": "url", "Spans": "Host"}), [])):
+        with pytest.raises(ValueError, match="exist already"):
+            add()

@@ -48,6 +48,12 @@ def free_prefix(taken: list[str], *names: str) -> str:
     return prefix
 
 
+def no_clash(taken: list[str], names: list[str]) -> None:
+    """An error if a name to be added is taken, in any case: Spark would overwrite that column."""
+    if clash := sorted({c.lower() for c in taken} & {n.lower() for n in names}):
+        raise ValueError(f"columns {clash} exist already; choose a prefix")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import no_clash, small_batches
 
 UNDETERMINED = "und"
 #: More distinct values of the language column are an error in the data.
@@ -166,9 +166,7 @@ def predict(docs: DataFrame, model: CodeModel | None, *, text_col="text", ambigu
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     names = [prefix + c for c in ("lang_pred", "score", "ambiguous")]
-    clash = [c for c in docs.columns if c in names]
-    if clash:
-        raise ValueError(f"columns {clash} exist already; choose a prefix")
+    no_clash(docs.columns, names)
     k = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
 

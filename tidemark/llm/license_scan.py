@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import no_clash
+
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -218,8 +220,7 @@ def scan(docs: DataFrame, model: Model, *, text_col: str = "text", match: float
     family that sorts first; repeated rows stay repeated; other columns stay. No row moves.
     """
     name = prefix + "licenses"
-    if name in docs.columns:
-        raise ValueError(f"column {name} exists already; choose a prefix")
+    no_clash(docs.columns, [name])
     gram_place = F.create_map(*[x for g in sorted(model.weights) for x in (F.lit(g), F.array(*[F.lit(v) for v in model.weights[g]]))])
     known = F.array(*[F.lit(g) for g in sorted(model.weights)])
     zero = F.array(*[F.lit(v) for v in model.bias])

@@ -1,11 +1,12 @@
 """Mixing sources to target weights by blocks.
 
-The words of a source's documents, in a hashed order, are packed into blocks of a fixed
-length. Every output shard draws how many of its slots each source fills from a
-multinomial over what the sources have left of their quotas. The slots of a source are
-numbered over all shards; a keyed permutation of the block numbers, a new one for each
-pass over the source, maps a slot to its block, so a pass takes each block once. Blocks
-then meet the documents they were cut from by their number.
+The words of a source's documents, in a hashed order, are packed into blocks of one
+length (a source's last block may be shorter). Every output shard draws how many of its
+slots each source fills from a multinomial over what the sources' targets still lack;
+what the shards draw is what the mix takes. The slots of a source are numbered over all
+shards; a keyed permutation of the block numbers, a new one for each pass over the
+source, maps a slot to its block, so a pass takes each block once. Blocks then meet the
+documents they were cut from by their number.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import free_names, materialize, running_base
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words in a block, rows whose words are summed together, slots of an output shard, and bounds of what the driver holds.
-BLOCK, CELL_ROWS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES = 128, 500, 4_096, 4_096, 10_000
+#: Words in a block, rows whose words are summed together, slots of an output shard (more with over ``MOST_SHARDS`` shards), and bounds of what the driver holds.
+BLOCK, CELL_ROWS, SHARD_SLOTS, MOST_SHARDS, MOST_SOURCES = 32, 500, 128, 4_096, 10_000
+#: A block is taken so many times at most.
+PASSES = 2
 M64 = 0xFFFFFFFFFFFFFFFF
 
 
@@ -58,47 +61,56 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 @dataclass
 class Mix:
-    """What the driver decides: per source its target, block length, number of blocks and quota of slots; the draws per shard."""
+    """What the driver decides: per source its target and number of blocks; the draws per shard."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
-    length: np.ndarray
     blocks: np.ndarray
-    quota: np.ndarray
     draws: np.ndarray
 
     @property
     def slots(self) -> int:
-        return int(self.quota.sum())
+        return int(self.draws.sum())
 
 
-def decide(counted: dict[str | None, int], weights: Sequence[float], seed: int = 11) -> Mix:
-    sources = sorted((s for s in counted if s is not None)) + [None] * (None in counted)
-    sizes = [counted[s] for s in sources]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))])
-    length = np.array([min(BLOCK, max(1, s // 100)) for s in sizes], np.int64)
-    blocks = -(-np.array(sizes, np.int64) // length)
-    quota = np.array([min(round(g * b / s), 2 * b) if s else 0 for g, b, s in zip(goal, blocks.tolist(), sizes)], np.int64)
-    shards = int(min(max(1, -(-quota.sum() // SHARD_SLOTS)), MOST_SHARDS, max(1, 4_000_000 // max(1, len(sources)))))
-    left, draws, rng = quota.copy(), np.zeros((shards, len(sources)), np.int64), np.random.default_rng(seed)
+def draw(quota: np.ndarray, most: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Per shard and source the slots it fills: a multinomial over what is left of the quotas, no source beyond ``most`` in all.
+
+    All shards have the same number of slots, give or take one. As later shards make up for
+    what earlier ones drew too many or too few, totals stray from the quotas by no more
+    than one shard's draws do.
+    """
+    rng, out = np.random.default_rng(seed), np.zeros((shards, len(quota)), np.int64)
+    left, room, slots = quota.astype(float), most.copy(), int(quota.sum())
     for k in range(shards):
-        n = int(left.sum()) // (shards - k)
-        if n:
-            drawn = np.minimum(rng.multinomial(n, left / left.sum()), left)
+        n = (slots * (k + 1)) // shards - (slots * k) // shards
+        chance = np.where(room > 0, np.maximum(left, 1e-9), 0.0)
+        if n and chance.sum() > 0:
+            drawn = np.minimum(rng.multinomial(n, chance / chance.sum()), room)
             short = n - int(drawn.sum())
-            for i in np.argsort(drawn - left, kind="stable"):  # what exceeded a quota goes to the sources with most left
-                more = min(short, int(left[i] - drawn[i]))
+            for i in np.argsort(drawn - left, kind="stable"):  # what a source cannot give comes from those that lack most
+                more = min(short, int(room[i] - drawn[i]))
                 drawn[i] += more
                 short -= more
-            draws[k] = drawn
+            out[k] = drawn
             left -= drawn
-    draws[-1] += left
-    return Mix(sources, sizes, goal, length, blocks, quota, draws)
+            room -= drawn
+    return out
+
+
+def decide(counted: dict[str | None, int], weights: Sequence[float], seed: int = 11) -> Mix:
+    sources = sorted((s for s in counted if s is not None)) + [None] * (None in counted)
+    sizes = [counted[s] for s in sources]
+    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))])
+    blocks = -(-np.array(sizes, np.int64) // BLOCK)
+    quota = np.array([min(round(g * b / s), PASSES * b) if s else 0 for g, b, s in zip(goal, blocks.tolist(), sizes)], np.int64)
+    shards = int(min(max(1, -(-quota.sum() // SHARD_SLOTS)), MOST_SHARDS, max(1, 4_000_000 // max(1, len(sources)))))
+    return Mix(sources, sizes, goal, blocks, draw(quota, PASSES * blocks, shards, seed))
 
 
 def taken_blocks(docs: DataFrame, mix: Mix, seed: int = 11) -> DataFrame:
-    """``(s, block, times)``: how often the slots of all output shards map to each block."""
+    """``(s, block, times, low, high)``: how many slots of all output shards map to each block, and the first and last of them as ``(shard, slot)``."""
     spark = docs.sparkSession
     ends = np.cumsum(mix.draws.ravel())
     before = np.cumsum(mix.draws, 0) - mix.draws
@@ -116,10 +128,13 @@ def taken_blocks(docs: DataFrame, mix: Mix, seed: int = 11) -> DataFrame:
             for source, t in set(zip(s.tolist(), turn.tolist())):
                 own = (s == source) & (turn == t)
                 out[own] = permuted(place[own], int(blocks[source]), seed + 1_000_003 * source + 7919 * t)
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(out)], ["s", "block"])
+            shard = cell // len(blocks)
+            first = np.where(shard > 0, ends[np.maximum(shard * len(blocks) - 1, 0)], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(out), pa.array(shard.astype(np.int32)), pa.array((slot - first).astype(np.int32))], ["s", "block", "shard", "slot"])
 
-    slots = spark.range(mix.slots).mapInArrow(run, "s int, block long")
-    return slots.groupBy("s", "block").agg(F.count("*").alias("times"))
+    slots = spark.range(mix.slots).mapInArrow(run, "s int, block long, shard int, slot int")
+    place = F.struct("shard", "slot")
+    return slots.groupBy("s", "block").agg(F.count("*").alias("times"), F.min(place).alias("low"), F.max(place).alias("high"))
 
 
 def row_hashes(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
@@ -131,7 +146,7 @@ def row_hashes(id_col: str, text_col: str, source_col: str) -> tuple[Column, Col
 def mix_pieces(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weights: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """Rows (one per document, with ``key`` to tell repeated ones apart) and the pieces that blocks cut from them.
 
-    Pieces: ``key``, ``first`` and ``last`` word (end exclusive) within the document, ``times``.
+    Pieces: ``key``, ``first`` and ``last`` word (end exclusive) within the document, ``times``, and the first and last shard and slot that take them.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long")
@@ -144,8 +159,8 @@ def mix_pieces(docs: DataFrame, *, id_col: str, text_col: str, source_col: str,
     mix = decide({r["source"]: r["size"] for r in counted}, weights)
     rows_of = {r["source"]: r["n"] for r in counted}
     table = spark.createDataFrame(
-        [(i, s, mix.sizes[i], float(mix.targets[i]), int(mix.length[i]), max(1, rows_of[s] // CELL_ROWS)) for i, s in enumerate(mix.sources)],
-        "s int, source string, source_size long, target double, length long, cells long",
+        [(i, s, mix.sizes[i], float(mix.targets[i]), max(1, rows_of[s] // CELL_ROWS)) for i, s in enumerate(mix.sources)],
+        "s int, source string, source_size long, target double, cells long",
     )
     rows = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).drop(table["source"])
     rows = rows.withColumn("cell", F.pmod("h", "cells")).drop("cells")
@@ -154,20 +169,23 @@ def mix_pieces(docs: DataFrame, *, id_col: str, text_col: str, source_col: str,
     placed = rows.withColumn("r", F.row_number().over(inside)).withColumn("own", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(base, ["s", "cell"]).withColumn("start", F.col("base") + F.col("own") - F.col("size"))
     placed = placed.withColumn("key", F.struct("s", "cell", "r")).drop("base", "own")
-    n, at = F.col("length"), F.col("start")
-    covered = placed.where("size > 0").select("key", "s", "start", "size", "length", F.explode(F.sequence(F.floor(at / n), F.floor((at + F.col("size") - 1) / n))).alias("block"))
+    n, at = F.lit(BLOCK), F.col("start")
+    covered = placed.where("size > 0").select("key", "s", "start", "size", F.explode(F.sequence(F.floor(at / n), F.floor((at + F.col("size") - 1) / n))).alias("block"))
     met = covered.join(taken_blocks(docs, mix), ["s", "block"])
     pieces = met.select(
         "key",
         (F.greatest("start", F.col("block") * n) - at).alias("first"),
         (F.least(at + F.col("size"), (F.col("block") + 1) * n) - at).alias("last"),
         "times",
+        "low",
+        "high",
     )
     return placed, pieces
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
-    """Per row ``doc_id, size, source_size, target, taken``: how many of its words the mix takes, repeats counted.
+    """Per row ``doc_id, size, source_size, target, taken``: how many of its words the mix takes, repeats counted;
+    ``first_shard, first_slot, last_shard``: where the mix has them (null where it takes none).
 
     Sources by code point, null last, have ``weights`` in turn. A null or blank text has
     size 0 and is never taken; repeated rows count one by one; an empty table gives an
@@ -175,10 +193,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     size. All draws have fixed seeds: a rerun on the same rows gives the same mix.
     """
     if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long")
+        return docs.sparkSession.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long, first_shard int, first_slot int, last_shard int")
     placed, pieces = mix_pieces(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights)
-    taken = pieces.groupBy("key").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
-    return placed.join(taken, "key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("key").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"), F.min("low").alias("low"), F.max("high").alias("high"))
+    where = [F.col("low.shard").alias("first_shard"), F.col("low.slot").alias("first_slot"), F.col("high.shard").alias("last_shard")]
+    return placed.join(taken, "key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *where)
 
 
 def cut(text: str, ranges: list[tuple[int, int]], size: int) -> str:

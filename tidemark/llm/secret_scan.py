@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_names
+from tidemark.llm.common import free_names, no_clash
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind -> pattern, group that must be long enough, and its least length; in the order of ties.
@@ -139,8 +139,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", prefix: str = "") -> DataFr
     repeated; all other columns stay (``prefix`` avoids clashing names). No row moves.
     """
     names = [prefix + "base_spans", prefix + "spans"]
-    if clash := [c for c in docs.columns if c in names]:
-        raise ValueError(f"columns {clash} exist already; choose a prefix")
+    no_clash(docs.columns, names)
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(NONE)
     kinds = [F.when(text.rlike(pattern), bare(found(text, pattern, group, least, k))).otherwise(none) for k, (pattern, group, least) in enumerate(BASE.values())]

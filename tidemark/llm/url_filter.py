@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import no_clash
+
 #: Cells of the character matrix of a batch: longer URLs go in smaller groups.
 CELLS = 4_000_000
 
@@ -160,8 +162,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url", pref
     first. No row moves.
     """
     names = [prefix + c for c in ("host", "path", "rule", "verdict")]
-    if clash := [c for c in pages.columns if c in names]:
-        raise ValueError(f"columns {clash} exist already; choose a prefix")
+    no_clash(pages.columns, names)
     listed = sorted(rules, key=lambda r: -r.rank)
     parsed = pages.withColumns({names[0]: host_of(F.col(url_col)), names[1]: path_of(F.col(url_col))})
     schema = T.StructType([*parsed.schema.fields, T.StructField(names[2], T.StringType()), T.StructField(names[3], T.StringType())])
