@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, mixture, ngram_join, piece_codec, secret_scan
-from tidemark.llm.common import anti_by_id, free_prefix, materialize, small_batches
+from tidemark.llm.common import anti_by_id, free_names, free_prefix, materialize, small_batches
 from tidemark.llm.queries import documents, piece_model
 from tidemark.session import ship
 
@@ -29,15 +29,31 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, and of repeated rows one."""
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay.
+
+    Of rows with the same id and text the one that sorts first by its other columns stays. Of
+    different texts under one id the one that sorts first goes by this id, the others by
+    numbers above all ids, so that each is judged by itself and may stay.
+    """
     ship(spark)
-    found = materialize(ngram_join.near_duplicates(docs), "components")
-    kept = anti_by_id(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), ["doc_id"])
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return kept
-    single = anti_by_id(kept, repeated, ["doc_id"])
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return _kept(docs, "doc_id")
+    (key,) = free_names(docs.columns, "row_key")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    rows = materialize(rows.select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in rest]), "repeated")
+    first = rows.groupBy("doc_id").agg(F.min("text").alias("first"))
+    above = docs.agg(F.max("doc_id")).first()[0] + 1
+    own = F.when(F.col("text").eqNullSafe(F.col("first")), F.col("doc_id")).otherwise(above + F.monotonically_increasing_id())
+    rows = materialize(rows.join(first, "doc_id").withColumn(key, own).select(*docs.columns, key), "keyed")
+    others = anti_by_id(docs, repeated, ["doc_id"])
+    return _kept(others.withColumn(key, F.col("doc_id")).unionByName(rows), key).drop(key)
+
+
+def _kept(docs: DataFrame, key: str) -> DataFrame:
+    found = materialize(ngram_join.near_duplicates(docs, id_col=key), "components")
+    return anti_by_id(docs, found.where(f"{key} <> component_id").select(key).distinct(), [key])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
