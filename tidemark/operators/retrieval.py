@@ -5,9 +5,6 @@ Rank first on narrow columns, join texts afterwards; a query's pool is small, th
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators.lexical import TextIndex, bm25, index_texts, search  # noqa: F401
+from tidemark.staging import written
 
-#: Published defaults of BM25 and of reciprocal rank fusion, and the penalty of boilerplate.
-K1, B, RRF_K, PENALTY = 1.2, 0.75, 60, 10.0
+#: Published default of reciprocal rank fusion, and the penalty of boilerplate.
+RRF_K, PENALTY = 60, 10.0
 EARLY_TURNS, EARLY_OVERLAP = 3, 0.25
 #: Openings of risk sections that say nothing.
 PREAMBLES = ("other than the risk factors listed below", "item 1a. risk factors", "item 1a risk factors")
-TERM = "[a-z0-9]+"
 
 
 def top_k(scored: DataFrame, k: int | None, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -29,110 +27,71 @@ def top_k(scored: DataFrame, k: int | None, *order: Column, by: str = "query_id"
     return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_id", text_col: str = "content", query_col: str = "query", block_queries: int = 4_096) -> DataFrame:
-    """``query_id, id, score, rank``: the k best chunks of each query by BM25.
+def _nearest(id_kind: str, query_kind: str, k: int):
+    """The k best rows of a block for each query of a block, by matrix products of 256 queries; ties go to the smaller id."""
 
-    Each chunk becomes one row of its weights for the queries' terms; document lengths and
-    frequencies cover the whole corpus. Queries are broadcast in blocks of a fixed number.
-    A task adds up a batch of chunks term by term and keeps the k best of each query, so
-    that no row stands for a pair, however frequent a term is.
-    """
-    spark = chunks.sparkSession
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query_col), F.lit(TERM), F.lit(0)))).alias("term"))
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0))
-    totals = chunks.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text_col), F.lit(TERM))).alias("mean_length"))
-    terms = asked.select("term").distinct()
-    frequent = chunks.select(F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    known = frequent.crossJoin(totals).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")  # one row of totals
-    kind = chunks.schema[id_col].dataType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    body = chunks.select(F.col(id_col).alias("id"), words.alias("w"))
-    found = None
-    blocks = max(1, -(-queries.count() // block_queries))
-    for block in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = own.join(known, "term").select("query_id", "term", "idf", "mean_length").collect()
-        part = body.mapInArrow(_best_of(spark.sparkContext.broadcast(_asked_terms(rows)), k), f"query_id {query_kind}, id {kind}, score double")
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, k, F.desc("score"), F.col("id"))
-
-
-def _asked_terms(rows) -> tuple[list, dict[str, tuple[float, np.ndarray]], float]:
-    """The queries' ids, per term its idf and the places of the queries that have it, and the mean length."""
-    ids = sorted({r["query_id"] for r in rows})
-    place, of_term = {q: i for i, q in enumerate(ids)}, {}
-    for r in rows:
-        of_term.setdefault(r["term"], (r["idf"], []))[1].append(place[r["query_id"]])
-    return ids, {t: (idf, np.array(sorted(at))) for t, (idf, at) in of_term.items()}, rows[0]["mean_length"] if rows else 1.0
-
-
-def _best_of(shared, k: int):
-    """A task's best k chunks for each query, of batches of at most 512 chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, of_term, mean_length = shared.value
-        best: list[list[tuple[float, object]]] = [[] for _ in queries]
-        schema = None
-        for whole in batches:
-            schema = schema or whole.schema
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                chunk_ids, score = batch.column(0).to_pylist(), np.zeros((len(queries), batch.num_rows))
-                postings: dict[str, tuple[list[int], list[float]]] = {}
-                for at, found in enumerate(batch.column(1)):
-                    found = found.as_py() or ()
-                    norm = K1 * (1 - B + B * len(found) / mean_length)
-                    for term, n in Counter(w for w in found if w in of_term).items():
-                        ats, weights = postings.setdefault(term, ([], []))
-                        ats.append(at)
-                        weights.append(n * (K1 + 1) / (n + norm))
-                for term in sorted(postings):
-                    idf, asking = of_term[term]
-                    ats, weights = postings[term]
-                    score[np.ix_(asking, ats)] += idf * np.array(weights)
-                score = score.round(6)
-                for q in range(len(queries)):
-                    some = np.flatnonzero(score[q] > 0)
-                    if len(best[q]) == k:
-                        some = some[score[q, some] >= best[q][-1][0]]
-                    if len(some):
-                        best[q] = sorted(best[q] + [(float(score[q, i]), chunk_ids[i]) for i in some], key=lambda p: (-p[0], p[1]))[:k]
-        out = [(q, i, s) for q, own in zip(queries, best) for s, i in own]
-        if out:
-            q, i, s = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i, schema.field(0).type), pa.array(s)], ["query_id", "id", "score"])
-
-    return run
-
-
-def vector_top_k(vecs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32_768, block_queries: int = 8_192) -> DataFrame:
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), float).reshape(len(column), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        types = (right.schema.field("query_id").type, left.schema.field("id").type, pa.float64())
+        out: list[tuple] = []
+        if len(left) and len(right):
+            x, q, ids, asking = matrix(left.column("v")), matrix(right.column("q")), left.column("id").to_pylist(), right.column("query_id").to_pylist()
+            order = np.empty(len(ids), np.int64)
+            order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+            for start in range(0, len(q), 256):
+                for query_id, s in zip(asking[start : start + 256], (q[start : start + 256] @ x.T).round(9)):
+                    near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                    out += [(query_id, ids[i], float(s[i])) for i in near[np.lexsort((order[near], -s[near]))[:k]]]
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["query_id", "id", "score"])
+
+    return compare, f"query_id {query_kind}, id {id_kind}, score double"
+
+
+def vector_top_k(vecs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", clauses: dict[str, str] | None = None, block_rows: int = 32_768, block_queries: int = 8_192) -> DataFrame:
     """``query_id, id, score, rank``: exact nearest by cosine, all queries against all rows in blocks of about the given sizes.
 
     ``queries`` holds ``query_id`` and ``vector``. Rows and queries go to a grid of blocks,
     each block pair takes matrix products of 256 queries and keeps the k best, and these are merged.
+
+    ``clauses`` names for some columns of ``vecs`` the query column with the value that a row
+    must have; a null value asks for nothing. A query with a value meets only the blocks of
+    rows that have it.
     """
-    blocks, turns = (max(1, -(-t.count() // size)) for t, size in ((vecs, block_rows), (queries, block_queries)))
+    kinds = (vecs.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString())
+    compare, schema = _nearest(*kinds, k)
+    keys, open_to_all = list(clauses or {}), F.lit(True)
+    for c in (clauses or {}).values():
+        open_to_all = open_to_all & F.col(c).isNull()
+    blocks = max(1, -(-vecs.count() // block_rows))
+    free = queries.where(open_to_all) if keys else queries
+    asking = free.count()
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vecs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), dealt(id_col, blocks).alias("block"), every(turns).alias("turn"))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), every(blocks).alias("q_block"), dealt("query_id", turns).alias("q_turn"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x, q = np.stack(left["v"].to_numpy()), np.stack(right["q"].to_numpy())
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        x, q, ids, asking = unit(x), unit(q), left["id"].to_numpy(), right["query_id"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start in range(0, len(q), 256):
-            for query_id, s in zip(asking[start : start + 256], (q[start : start + 256] @ x.T).round(9)):
-                near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                best = near[np.lexsort((ids[near], -s[near]))[:k]]
-                out.append((np.full(len(best), query_id), ids[best], s[best]))
-        return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "id", "score"))})
-
-    found = rows.groupBy("block", "turn").cogroup(asked.groupBy("q_block", "q_turn")).applyInPandas(compare, "query_id long, id long, score double")
-    return top_k(found, k, F.desc("score"), F.col("id"))
+    rows = vecs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), dealt(id_col, blocks).alias("block"), *[F.col(c).cast("string").alias(c) for c in keys])
+    found = []
+    if asking or not keys:
+        turns = max(1, -(-asking // block_queries))
+        asked = free.select("query_id", F.col("vector").cast("array<double>").alias("q"), every(blocks).alias("q_block"), dealt("query_id", turns).alias("q_turn"))
+        grid = rows.drop(*keys).withColumn("turn", every(turns))
+        found.append(grid.groupBy("block", "turn").cogroup(asked.groupBy("q_block", "q_turn")).applyInArrow(compare, schema))
+    if keys:
+        own_name = {c: f"_of_{c}" for c in [*keys, "block"]}
+        groups = rows.select(*[F.col(c).alias(n) for c, n in own_name.items()]).distinct()
+        asked = None
+        for mask in range(1, 1 << len(keys)):  # queries by which clauses they have: each kind meets the groups by equality
+            named = [c for i, c in enumerate(keys) if mask >> i & 1]
+            own = queries
+            for c in keys:
+                own = own.where(F.col(clauses[c]).isNotNull() if c in named else F.col(clauses[c]).isNull())
+            own = own.select("query_id", F.col("vector").cast("array<double>").alias("q"), *[F.col(clauses[c]).cast("string").alias(own_name[c]) for c in named])
+            own = own.join(groups, [own_name[c] for c in named]).select("query_id", "q", *own_name.values())
+            asked = own if asked is None else asked.unionByName(own)
+        found.append(rows.groupBy(*keys, "block").cogroup(asked.groupBy(*own_name.values())).applyInArrow(compare, schema))
+    merged = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return top_k(merged, k, F.desc("score"), F.col("id"))
 
 
 def rrf_fuse(*lists: DataFrame, k: int) -> DataFrame:
@@ -144,10 +103,16 @@ def rrf_fuse(*lists: DataFrame, k: int) -> DataFrame:
     return top_k(fused, k, F.desc("score"), F.col("id"))
 
 
-def hybrid_search(chunks: DataFrame, vecs: DataFrame, queries: DataFrame, k: int, pool: int = 50) -> DataFrame:
-    """Lexical and vector lists of ``pool`` each, fused to k; ``queries`` has text and vector, both tables the same ids."""
-    lexical = bm25(chunks, queries, pool)
-    near = vector_top_k(vecs, queries, pool)
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, pool: int = 50, *, index: TextIndex | None = None, id_col: str = "chunk_id", text_col: str = "content", vector_col: str = "embedding", clauses: dict[str, str] | None = None) -> DataFrame:
+    """``query_id, id, score, rank``: lexical and vector lists of ``pool`` each, fused to k.
+
+    ``queries`` has ``query`` and ``vector``, chunks have text and vector. ``clauses`` names for some
+    columns of the chunks the query column with the value asked for (null: any); both
+    lists hold only chunks that satisfy them. ``index`` may be one written before with these keys.
+    """
+    index = index or index_texts(chunks, id_col=id_col, text_col=text_col, keys=tuple(clauses or ()))
+    lexical = search(index, queries, pool, clauses=clauses)
+    near = vector_top_k(chunks.where(F.col(vector_col).isNotNull()), queries, pool, id_col=id_col, vector_col=vector_col, clauses=clauses)
     return rrf_fuse(lexical, near, k=k)
 
 
@@ -190,7 +155,8 @@ def mmr_rerank(pool: DataFrame, k: int, lam: float = 0.5) -> DataFrame:
             chosen.append(int(value.argmax()))
         return pd.DataFrame({"query_id": rows["query_id"].iloc[chosen], "id": rows["id"].iloc[chosen], "mmr_rank": range(1, len(chosen) + 1)})
 
-    return pool.groupBy("query_id").applyInPandas(pick, "query_id long, id long, mmr_rank int")
+    kind = lambda c: pool.schema[c].dataType.simpleString()
+    return pool.groupBy("query_id").applyInPandas(pick, f"query_id {kind('query_id')}, id {kind('id')}, mmr_rank int")
 
 
 def pair_rerank(pairs: DataFrame, k: int | None, score: Column | None = None) -> DataFrame:
@@ -241,6 +207,34 @@ def expand_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("parent_content", F.when(F.col("_n") > 1, F.col("_full")).otherwise(F.col("content"))).drop("_full", "_n")
 
 
+def retrieve(chunks: DataFrame, queries: DataFrame, *, clauses: dict[str, str] | None = None, pool: int = 12, spoken: str = "transcript", diverse: int = 10, per_section: int = 0, k: int = 5, lam: float = 0.5, score: Column | None = None) -> DataFrame:
+    """The k passages that a query's answer is written from, with their parents' texts.
+
+    Two hybrid searches, of all chunks and of those whose ``doc_type`` is ``spoken``, are
+    merged without repeats; of the merged pool, which carries its vectors, ``diverse``
+    are chosen by maximal marginal relevance, scored jointly with the query, boilerplate
+    is demoted, sections are capped (0: not at all), and the first k are expanded to their parents.
+
+    Chunks: ``chunk_id, content, embedding, doc_type, section, accession, chunk_index, parent_id`` and the
+    columns of the clauses. Queries: ``query_id, query, vector`` and the clauses' values. Returns one row per
+    passage: query and chunk columns, ``mmr_rank``, ``rerank_score``, ``capped_rank``, ``parent_content``.
+    """
+    clauses = dict(clauses or {})
+    asked = queries.withColumn("_spoken", F.lit(spoken))
+    index = index_texts(chunks, keys=(*clauses, "doc_type"))
+    every = hybrid_search(chunks, asked, pool, index=index, clauses=clauses)
+    said = hybrid_search(chunks, asked, pool, index=index, clauses=clauses | {"doc_type": "_spoken"})
+    merged = written(dedup_across(every, said, "id").select("query_id", "id", F.col("place").alias("rank")), "pool")
+    full = merged.join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(queries.select("query_id", "query", "vector"), "query_id")
+    full = written(full, "pool-texts")
+    chosen = mmr_rerank(full.select("query_id", "id", "rank", F.col("embedding").alias("v"), F.col("vector").alias("q")), diverse, lam)
+    picked = full.drop("rank", "embedding", "vector").join(chosen, ["query_id", "id"]).withColumn("rank", F.col("mmr_rank")).withColumnRenamed("id", "chunk_id")
+    ranked = pair_rerank(picked, None, score)
+    flag = is_boilerplate(F.col("query"), F.col("chunk_index"), F.col("doc_type"), F.col("section"), F.col("content"))
+    capped = diversity_cap(demote_boilerplate(ranked, flag), per_section, k, "demoted_rank")
+    return expand_parents(written(capped, "passages"), chunks.select("chunk_id", "parent_id", "chunk_index", "content"))
+
+
 def prior_period_search(requests: DataFrame, back: int, search) -> DataFrame:
     """Search with each request's label moved back by quarters; ``search`` takes the requests."""
     from tidemark.functions import fiscal

@@ -91,11 +91,35 @@ def g2_rrf_fuse(events):
     return retrieval.rrf_fuse(a, b, k=10).withColumn("score", F.round("score", 6))
 
 
-@query(None, "documents", "embeddings", "benchmark")
-def g3_hybrid_search(documents, embeddings, benchmark):
-    vecs = embeddings.select("vec_id", "embedding")
-    asked = _asked(benchmark).join(vecs.withColumnRenamed("vec_id", "query_id"), "query_id").withColumnRenamed("embedding", "vector")
-    return retrieval.hybrid_search(documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), vecs, asked, 12)
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_SQL = "[" + ", ".join(f"CAST(length({{0}}) - length(replace({{0}}, '{c}', '')) AS DOUBLE)" for c in _LETTERS) + "]"
+_CLAUSES = "CASE WHEN item_id % 2 = 1 THEN 'en' END AS q_lang, CASE WHEN item_id % 4 > 1 THEN 'src' || CAST(item_id % 20 AS STRING) END AS q_source"
+
+
+def _letter_counts(column: str):
+    """A model that SQL has too: how often each letter occurs."""
+    return F.array(*[(F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+
+
+@query(
+    f"""{_BM25},
+asked AS (SELECT item_id AS query_id, {_CLAUSES}, {_LETTER_SQL.format('text')} AS q FROM benchmark),
+docs AS (SELECT doc_id, lang, source, {_LETTER_SQL.format('text')} AS v FROM documents),
+lexical AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s JOIN asked USING (query_id) JOIN docs ON doc_id = id
+ WHERE (q_lang IS NULL OR lang = q_lang) AND (q_source IS NULL OR source = q_source)),
+near AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN list_max(v) > 0 AND list_max(q) > 0 THEN round({_COS.format('v', 'q')}, 9) ELSE 0 END DESC, doc_id) AS rank FROM asked, docs
+ WHERE (q_lang IS NULL OR lang = q_lang) AND (q_source IS NULL OR source = q_source)),
+fused AS (SELECT query_id, id, round(sum(CAST(1.0 AS DOUBLE) / (60 + rank)), 9) AS score FROM (SELECT * FROM lexical WHERE rank <= 50 UNION ALL SELECT * FROM near WHERE rank <= 50) GROUP BY query_id, id)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM fused) WHERE rank <= 12""",
+    "documents",
+    "benchmark",
+)
+def g3_hybrid_search(documents, benchmark):
+    """Lexical and vector search fused, each query with a language, a source, both or neither as its filter."""
+    chunks = documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang", "source", _letter_counts("text").alias("embedding"))
+    asked = benchmark.selectExpr("item_id AS query_id", "text AS query", *_CLAUSES.replace("CASE WHEN item_id % 4", "|CASE WHEN item_id % 4").split(", |")).withColumn("vector", _letter_counts("query"))
+    found = retrieval.hybrid_search(chunks, asked, 12, clauses={"lang": "q_lang", "source": "q_source"})
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT lang, source, doc_id, rank FROM (SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS INT) AS rank FROM documents WHERE lang <> 'en') WHERE rank <= 3", "documents")
@@ -138,19 +162,22 @@ row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS.format('a.embeddin
 
 
 @query(
-    f"""WITH p AS (SELECT *, {_COS.format('v', 'q')} AS rel FROM {_POOL}),
-one AS (SELECT query_id, arg_max(id, (round(0.5 * rel, 9), -rank)) AS id FROM p GROUP BY query_id),
-s AS (SELECT p.query_id, p.id, p.rank, round(0.5 * p.rel - 0.5 * {_COS.format('p.v', 'c.v')}, 9) AS value FROM p JOIN one ON one.query_id = p.query_id JOIN p c ON c.query_id = one.query_id AND c.id = one.id WHERE p.id <> one.id),
-two AS (SELECT query_id, arg_max(id, (value, -rank)) AS id FROM s GROUP BY query_id)
-SELECT query_id, id, 1 AS mmr_rank FROM one UNION ALL SELECT query_id, id, 2 FROM two""",
+    f"""WITH RECURSIVE p AS (SELECT *, {_COS.format('v', 'q')} AS rel FROM {_POOL}),
+pairs AS (SELECT a.query_id, a.rank, list({_COS.format('a.v', 'b.v')} ORDER BY b.rank) AS alike FROM p a JOIN p b ON a.query_id = b.query_id GROUP BY a.query_id, a.rank),
+pool AS (SELECT query_id, list(id ORDER BY rank) AS ids, list(rel ORDER BY rank) AS rel, list(alike ORDER BY rank) AS alike FROM p JOIN pairs USING (query_id, rank) GROUP BY query_id),
+step AS (SELECT query_id, 0 AS n, CAST([] AS BIGINT[]) AS chosen, ids, rel, alike FROM pool
+ UNION ALL SELECT query_id, n + 1, list_append(chosen, list_position(value, list_max(value))), ids, rel, alike FROM (
+ SELECT *, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -9.0 ELSE round(0.5 * rel[i] - 0.5 * coalesce(list_max(list_transform(chosen, lambda j: alike[i][j])), 0), 9) END) AS value FROM step WHERE n < least(10, len(ids))) s)
+SELECT query_id, ids[chosen[i]] AS id, CAST(i AS INT) AS mmr_rank FROM (SELECT query_id, ids, chosen, unnest(range(1, len(chosen) + 1)) AS i FROM step WHERE n = least(10, len(ids)))""",
     "embeddings",
 )
 def g8_mmr_rerank(embeddings):
+    """Ten of each pool of 24 by maximal marginal relevance."""
     asked = embeddings.where(_ASKING).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     near = retrieval.vector_top_k(embeddings, asked, 25).where("query_id <> id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 24")
     pool = near.join(embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").join(asked.withColumnRenamed("vector", "q"), "query_id")
-    return retrieval.mmr_rerank(pool.select("query_id", "id", "rank", "v", "q"), 2)
+    return retrieval.mmr_rerank(pool.select("query_id", "id", "rank", "v", "q"), 10)
 
 
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
@@ -280,18 +307,9 @@ def g17_budget_concat(conversations):
 
 @query(None, "chunks", "benchmark")
 def g18_retrieve(chunks, benchmark):
-    """Lexical pools of two passes, deduplicated, reranked, demoted, capped and expanded to parents."""
-    asked = _asked(benchmark)
-    body = chunks.withColumnRenamed("chunk_id", "id")
-    every = retrieval.bm25(body, asked, 12, id_col="id").withColumnRenamed("id", "chunk_id")
-    spoken = retrieval.bm25(body.where("doc_type = 'transcript'"), asked, 12, id_col="id").withColumnRenamed("id", "chunk_id")
-    pool = retrieval.dedup_across(every, spoken).drop("rank").withColumnRenamed("place", "rank")
-    full = pool.join(chunks, "chunk_id").join(asked, "query_id")
-    ranked = retrieval.pair_rerank(full, 24)
-    flag = retrieval.is_boilerplate(F.col("query"), F.col("chunk_index"), F.col("doc_type"), F.col("section"), F.col("content"))
-    capped = retrieval.diversity_cap(retrieval.demote_boilerplate(ranked, flag), 0, 5, "demoted_rank")
-    out = retrieval.expand_parents(capped, chunks)
-    return out.select("query_id", "chunk_id", "capped_rank", "rerank_score", F.md5("parent_content").alias("parent_digest"))
+    """The whole chain for each benchmark text: two hybrid passes, merged pool, diversity, joint scores, demotion, cap, parents."""
+    found = retrieval.retrieve(chunking.embed(chunks, "content"), chunking.embed(_asked(benchmark), "query").withColumnRenamed("embedding", "vector"))
+    return found.select("query_id", "chunk_id", "mmr_rank", "capped_rank", "rerank_score", F.md5("parent_content").alias("parent_digest"))
 
 
 _TAGS = ", ".join(f"('{c}', '{t}', {k}, '{kind}', '{unit}')" for c, tags, kind, unit, _ in reported.CONCEPTS for k, t in enumerate(tags))
