@@ -208,3 +208,33 @@ def test_the_whole_chain_against_a_plain_one(spark):
     for r in sorted(retrieval.retrieve(c, q, clauses={"ticker": "q_ticker"}).collect(), key=lambda r: (r["query_id"], r["capped_rank"])):
         got[r["query_id"]].append((r["chunk_id"], r["capped_rank"], r["parent_content"]))
     assert dict(got) == plain_chain(chunks, queries)
+
+
+def test_prior_quarters_against_a_plain_search(spark):
+    """Each run's labels by arithmetic, by place where they cannot be read; its company's chunks of that label only; the budget skips what does not fit."""
+    from tidemark.operators import comparison
+
+    rng = random.Random(11)
+    word = lambda: "w%d" % min(int(rng.paretovariate(0.7)), 300)
+    chunks = [{"id": f"c{i:03d}", "text": " ".join(word() for _ in range(rng.choice([0, 5, 60, 400]))), "ticker": f"T{i % 3}", "label": f"FY{2022 + i % 8 // 4}-Q{i % 4 + 1}", "v": vector_of(i)} for i in range(200)]
+    runs = [{"id": f"r{i}", "company": ("T0", "T1", "T9", None)[i % 4], "label": ("FY2023-Q4", "Q2_FY2023", "nonsense")[i % 3], "query": " ".join(word() for _ in range(4)), "v": vector_of(500 + i), "labels": [["FY2023-Q1", "FY2022-Q4"], ["soon", "FY2022-Q3"], [], ["FY2024-Q1"]][i % 4]} for i in range(24)]
+    quarter = lambda s: (int(re.search(r"FY(\d{4})", s)[1]) * 4 + int(re.search(r"Q(\d)", s)[1]) - 1) if re.fullmatch(r"FY\d{4}-Q[1-4]|Q[1-4]_FY\d{4}", s) else None
+    wanted = {}
+    for r in runs:
+        for n, label in enumerate(r["labels"], 1):
+            if quarter(r["label"]) is None or r["company"] is None:
+                continue
+            gap = quarter(r["label"]) - quarter(label) if quarter(label) is not None else 0
+            at = quarter(r["label"]) - (gap if gap >= 1 else n)
+            target = f"FY{at // 4}-Q{at % 4 + 1}"
+            found = plain_hybrid(chunks, [r | {"id": 0}], 5, 50, lambda q, c: c["ticker"] == r["company"] and c["label"] == target)[0]
+            parts, used = [], 0
+            for t in (next(c["text"] for c in chunks if c["id"] == i) for i in found):
+                if t and used + len(t) <= 2000:
+                    parts, used = [*parts, t], used + len(t)
+            if parts:
+                wanted[r["id"], label] = (target, "\n\n".join(parts))
+    c = spark.createDataFrame([(x["id"], x["text"], x["v"], x["ticker"], x["label"]) for x in chunks], "chunk_id string, content string, embedding array<double>, ticker string, fiscal_label string")
+    q = spark.createDataFrame([(x["id"], x["company"], x["label"], x["query"], x["v"], x["labels"]) for x in runs], "run_id string, company string, fiscal_label string, query string, vector array<double>, comparison array<string>")
+    got = {(r["run_id"], r["label"]): (r["target"], r["context"]) for r in comparison.prior_quarter_contexts(q, c).collect()}
+    assert got == wanted and len(wanted) > 8

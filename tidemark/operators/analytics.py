@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.ordering import counted_before, order_statistics, reached
+from tidemark.staging import written
+
 
 def cache_key(prefix: str, query: Column, company: Column, quarter: Column, doc_type: Column, size: int = 16) -> Column:
     """Prefix and the first hex digits of the hash of normalized coordinates."""
@@ -21,20 +24,31 @@ def run_key(query: Column, company: Column, quarter: Column, labels: Column) ->
     return F.concat(F.lit("run::"), F.substring(F.sha2(raw, 256), 1, 16))
 
 
-def ttl_hits(requests: DataFrame, key: str, ts: str, order: str, seconds: int) -> DataFrame:
+def ttl_hits(requests: DataFrame, key: str, ts: str, order: str, seconds: int, hot: int = 1_000_000) -> DataFrame:
     """Replay of requests against a cache: append ``hit``.
 
     A request hits if an entry lives; a miss sets one, which expires a fixed time after
-    it was set, whatever hits it. Sorted rows stream by, and a task holds no more than one
-    key and the time its entry was set; rows without a key are left out, and one without a
-    time never hits.
+    it was set, whatever hits it. Rows without a key are left out, and one without a time
+    never hits.
+
+    Sorted rows stream by, and a task holds no more than one key and the time its entry
+    was set. Keys with more than ``hot`` requests, which would be one task each, split
+    over tasks (see :func:`_split_hits`).
     """
-    at = "_at"
-    while at in requests.columns:
-        at = "_" + at
+    at, heat = (next(n for n in (f"{'_' * i}{name}" for i in range(1, 99)) if n not in requests.columns) for name in ("at", "requests"))
     rows = requests.where(F.col(key).isNotNull()).withColumn(at, F.unix_micros(F.col(ts).cast("timestamp")))
+    many = rows.groupBy(key).agg(F.count("*").alias(heat)).where(F.col(heat) > hot).select(key)
+    lifetime = seconds * 1_000_000
+    if many.isEmpty():
+        return _streamed_hits(rows, key, at, order, lifetime)
+    many = F.broadcast(written(many, "hot-keys"))  # fewer than all rows divided by hot
+    return _streamed_hits(rows.join(many, key, "left_anti"), key, at, order, lifetime).unionByName(_split_hits(rows.join(many, key, "left_semi"), key, at, order, lifetime))
+
+
+def _streamed_hits(rows: DataFrame, key: str, at: str, order: str, lifetime: int) -> DataFrame:
     sorted_rows = rows.repartition(key).sortWithinPartitions(key, at, order)
-    names, lifetime = requests.columns, seconds * 1_000_000
+    fields = [f for f in rows.schema.fields if f.name != at]
+    names = [f.name for f in fields]
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, set_at = None, None
@@ -50,8 +64,29 @@ def ttl_hits(requests: DataFrame, key: str, ts: str, order: str, seconds: int) -
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.bool_())], [*names, "hit"])
 
-    schema = T.StructType([*requests.schema.fields, T.StructField("hit", T.BooleanType())])
-    return sorted_rows.mapInArrow(replay, schema)
+    return sorted_rows.mapInArrow(replay, T.StructType([*fields, T.StructField("hit", T.BooleanType())]))
+
+
+def _split_hits(rows: DataFrame, key: str, at: str, order: str, lifetime: int) -> DataFrame:
+    """The same without a task that holds a key.
+
+    Were a request to set an entry, the next one to set it would be the first at or after
+    its expiry: that one's position is the number of requests before the expiry, counted
+    in one sorted table of requests and expiries. The misses are what a key's first
+    request reaches by these steps. A step beyond a key's last request leads to the next
+    key's first, which misses anyway.
+    """
+    timed = written(rows.where(F.col(at).isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "timed")
+    both = timed.select(key, F.col(at).alias("_when"), F.lit(True).alias("_asks"), F.col(order).alias("_order"), "_row")
+    both = both.unionByName(both.withColumns({"_when": F.col("_when") + lifetime, "_asks": F.lit(False)}))
+    placed = counted_before(both, [F.col(key), F.col("_when"), F.col("_asks"), F.col("_order"), F.col("_row")], "_asks", "_g")
+    asks = written(placed.where("_asks").select(key, "_row", F.col("_g").alias("g")), "asks")
+    steps = placed.where(~F.col("_asks")).select("_row", F.col("_g").alias("following")).join(asks, "_row").select("g", "following")
+    misses = reached(steps, asks.groupBy(key).agg(F.min("g").alias("g")))
+    hits = asks.join(misses.withColumn("_missed", F.lit(True)), "g", "left").select("_row", F.col("_missed").isNull().alias("hit"))
+    columns = [c for c in rows.columns if c != at]
+    untimed = rows.where(F.col(at).isNull()).select(*columns, F.lit(False).alias("hit"))
+    return timed.join(hits, "_row").select(*columns, "hit").unionByName(untimed)
 
 
 def cache_stats(hits: DataFrame, level: str) -> DataFrame:
@@ -72,8 +107,15 @@ def stage_durations(events: DataFrame, keys: list[str], ts: str, start: Column,
 
 
 def latency_percentiles(rows: DataFrame, value: str, failed: Column, by: list[str] = []) -> DataFrame:
-    marks = [F.round(F.percentile(value, F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *marks, F.round(F.avg(value), 6).alias("mean"), F.round(F.count_if(failed) / F.count("*"), 6).alias("error_rate"))
+    """Per group the number of rows, the 50th, 90th, 95th and 99th percentile of a value, its mean and the share of failures; exact, by positions in the sorted values."""
+    marks = (50, 90, 95, 99)
+    counted = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.count_if(failed) / F.count("*"), 6).alias("error_rate"))
+    found = order_statistics(rows, by, value, [p / 100 for p in marks])
+    same = F.lit(True)
+    for c in by:
+        same = same & counted[c].eqNullSafe(found[c])
+    met = counted.join(found, same, "left")
+    return met.select(*[counted[c] for c in by], "n", *[F.round(F.get("quantiles", F.lit(i)), 6).alias(f"p{p}") for i, p in enumerate(marks)], "mean", "error_rate")
 
 
 def draft_fold(events: DataFrame, run: str, order: list[str], kind: str, piece: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import fiscal, text
+from tidemark.functions.folds import budget_concat
+from tidemark.operators import lexical, retrieval
+from tidemark.staging import written
 
 #: Words of direction.
 UP = ("increase", "increased", "grew", "growth", "higher", "up", "improved", "strong", "accelerated")
@@ -17,8 +20,6 @@ def prior_contexts(runs: DataFrame, hits: DataFrame, budget: int = 2000) -> Data
 
     A group brings as many rows together as can fit by their lengths, whatever its size.
     """
-    from tidemark.functions.folds import budget_concat
-
     keys = ["company", "fiscal_label"]
     rows = hits.join(runs.select(*keys).distinct(), keys, "left_semi").withColumn("_l", F.length("content")).where(F.col("_l").between(1, budget))
     # what is used only grows, so of one length the first ones fit, at most budget / length: first within parts of a group, then over them
@@ -30,6 +31,36 @@ def prior_contexts(runs: DataFrame, hits: DataFrame, budget: int = 2000) -> Data
     return runs.join(rows, keys).select("run_id", "fiscal_label", "context")
 
 
+def prior_requests(runs: DataFrame) -> DataFrame:
+    """A row for each run and label it compares with: ``query_id`` (run and place in the list), ``label``, ``back`` and ``target``, the label that is searched.
+
+    ``back`` is the distance of the labels, or the place in the list where that cannot be told; labels whose target cannot be told are left out.
+    """
+    rows = runs.select("*", F.posexplode("comparison").alias("_i", "label"))
+    rows = rows.withColumn("back", fiscal.quarters_back(F.col("fiscal_label"), F.col("label"), F.col("_i") + 1))
+    rows = rows.withColumn("target", fiscal.prior_label(F.col("fiscal_label"), F.col("back"))).where("target is not null and company is not null")
+    return rows.withColumn("query_id", F.concat_ws("|", F.col("run_id").cast("string"), F.col("_i").cast("string"))).drop("_i")
+
+
+def prior_quarter_contexts(runs: DataFrame, chunks: DataFrame, top: int = 5, budget: int = 2000) -> DataFrame:
+    """``run_id, label, target, back, context`` for every run and earlier label that retrieval finds anything for.
+
+    All requests are searched at once: hybrid, within the run's company and the label told
+    by arithmetic on the run's own. The first ``top`` texts are put together in the order
+    found, each only if it still fits into ``budget`` characters.
+
+    Runs: ``run_id, company, fiscal_label, query, vector, comparison`` (labels). Chunks: ``chunk_id,
+    content, embedding, ticker, fiscal_label``.
+    """
+    asked = written(prior_requests(runs), "prior-requests")
+    index = lexical.index_texts(chunks, keys=("ticker", "fiscal_label"))
+    found = retrieval.hybrid_search(chunks, asked, top, index=index, clauses={"ticker": "company", "fiscal_label": "target"})
+    said = found.join(chunks.select(F.col("chunk_id").alias("id"), "content"), "id").where("content <> ''")
+    own = said.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c"))  # at most top texts
+    own = own.select("query_id", budget_concat(F.transform("c", lambda c: c["content"]), budget).alias("context")).where("context <> ''")
+    return asked.select("query_id", "run_id", "label", "target", "back").join(own, "query_id").drop("query_id")
+
+
 def align_statements(current: DataFrame, prior: DataFrame, by: str, floor: float = 0.3) -> DataFrame:
     """For each current sentence of a run the earlier one of the same run that shares most of its words, if it shares enough.
 

@@ -580,12 +580,34 @@ def k5_select_finding(documents, benchmark):
     return comparison.select_finding(_statements(documents, benchmark), "query_id", F.col("query"), F.col("content"), "statement").select("query_id", "doc_id", "score", "grounded")
 
 
-@query(None, "documents")
-def k1_prior_contexts(documents):
-    hits = documents.withColumn("content", F.col("text")).withColumns({"company": F.col("lang"), "fiscal_label": F.concat(F.lit("FY2025-Q"), (F.col("doc_id") % 4 + 1).cast("string")), "rank": F.col("doc_id")})
-    runs = documents.select(F.col("lang").alias("company")).distinct().withColumn("run_id", F.col("company"))
-    runs = runs.withColumn("fiscal_label", F.explode(F.array(*[F.lit(f"FY2025-Q{q}") for q in (1, 2)])))
-    return comparison.prior_contexts(runs, hits.select("company", "fiscal_label", "rank", "content")).select("run_id", "fiscal_label", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+_PERIOD = "'FY' || CAST(2020 + CAST(substr(source, 4) AS INT) // 4 AS STRING) || '-Q' || CAST(CAST(substr(source, 4) AS INT) % 4 + 1 AS STRING)"
+
+
+@query(
+    f"""{_BM25},
+runs AS (SELECT item_id, lang, item_id || ':' || lang AS run_id, {_LETTER_SQL.format('b.text')} AS q FROM benchmark b, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+asked AS (SELECT *, unnest(['FY2024-Q3', 'FY2023-Q4', 'last year']) AS label, unnest(['FY2024-Q3', 'FY2023-Q4', 'FY2024-Q1']) AS target, unnest([1, 4, 3]) AS back FROM runs),
+docs AS (SELECT doc_id, text, lang, {_PERIOD} AS period, {_LETTER_SQL.format('text')} AS v FROM documents),
+lexical AS (SELECT run_id, label, id, row_number() OVER (PARTITION BY run_id, label ORDER BY score DESC, id) AS rank FROM asked a JOIN s ON s.query_id = item_id JOIN docs d ON doc_id = id AND d.lang = a.lang AND period = target),
+near AS (SELECT run_id, label, doc_id AS id, row_number() OVER (PARTITION BY run_id, label ORDER BY CASE WHEN list_max(v) > 0 AND list_max(q) > 0 THEN round({_COS.format('v', 'q')}, 9) ELSE 0 END DESC, doc_id) AS rank
+ FROM asked a JOIN docs d ON d.lang = a.lang AND period = target),
+fused AS (SELECT run_id, label, id, round(sum(CAST(1.0 AS DOUBLE) / (60 + rank)), 9) AS score FROM (SELECT * FROM lexical WHERE rank <= 50 UNION ALL SELECT * FROM near WHERE rank <= 50) GROUP BY run_id, label, id),
+hits AS (SELECT run_id, label, list({{'used': length(text), 'out': text}} ORDER BY rank) AS c FROM (SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY score DESC, id) AS rank FROM fused) JOIN docs ON doc_id = id WHERE rank <= 5 AND text <> '' GROUP BY run_id, label),
+said AS (SELECT run_id, label, list_reduce(c, lambda a, t: CASE WHEN a.used + t.used <= 2000 THEN {{'used': a.used + t.used, 'out': CASE WHEN a.out = '' THEN t.out ELSE a.out || chr(10) || chr(10) || t.out END}} ELSE a END, {{'used': CAST(0 AS BIGINT), 'out': ''}}).out AS context FROM hits)
+SELECT run_id, label, target, CAST(back AS INT) AS back, md5(context) AS digest FROM asked JOIN said USING (run_id, label) WHERE context <> ''""",
+    "documents",
+    "benchmark",
+)
+def k1_prior_contexts(documents, benchmark):
+    """What each language said of each benchmark text in three earlier quarters; a source is a quarter, a label that cannot be read goes by its place."""
+    period = F.concat(F.lit("FY"), (2020 + F.floor(F.substring("source", 4, 9).cast("int") / 4)).cast("string"), F.lit("-Q"), (F.substring("source", 4, 9).cast("int") % 4 + 1).cast("string"))
+    chunks = documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), _letter_counts("text").alias("embedding"), F.col("lang").alias("ticker"), period.alias("fiscal_label"))
+    companies = documents.select(F.col("lang").alias("company")).where("company is not null").distinct()
+    asked = benchmark.select("item_id", F.col("text").alias("query")).withColumn("vector", _letter_counts("query"))
+    runs = asked.join(F.broadcast(companies.groupBy().agg(F.collect_set("company").alias("all"))), F.lit(True)).withColumn("company", F.explode("all")).drop("all")
+    runs = runs.select(F.concat_ws(":", "item_id", "company").alias("run_id"), "company", F.lit("FY2024-Q4").alias("fiscal_label"), "query", "vector", F.array(F.lit("FY2024-Q3"), F.lit("FY2023-Q4"), F.lit("last year")).alias("comparison"))
+    found = comparison.prior_quarter_contexts(runs, chunks)
+    return found.select("run_id", "label", "target", F.col("back").cast("int").alias("back"), F.md5("context").alias("digest"))
 
 
 def _re(patterns):
