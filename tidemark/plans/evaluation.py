@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import analytics, evaluation
-from tidemark.plans.registry import QUERIES, query
-from tidemark.staging import shared_path
+from tidemark.operators import analytics, evaluation, parsing
+from tidemark.plans import analysis, ingestion
+from tidemark.plans.registry import ORACLE_SQL, QUERIES, query
 from tidemark.plans.views import view
+from tidemark.staging import shared_path, written
 from tidemark.streaming import streams
 
 _TYPES = ("numeric", "retrieval", "comparison", "out_of_scope", "sentiment")
@@ -268,30 +269,47 @@ def q6_stream_drafts(spark, sf_dir):
     return rows.withColumn("_n", last).where("_n = 1").select("user_id", "draft", "done")
 
 
+def _filing_tables(batch):
+    """Sections of a batch's pages, their sentences as chunks, and the numbers that the documents state."""
+    sections = written(parsing.parse_filings(ingestion._whole_pages(batch, True)).withColumnRenamed("id", "doc_id"), "batch-sections")
+    chunks = sections.select("doc_id", "section", F.posexplode(text.sentences(F.col("body"))).alias("place", "content"))
+    facts = batch.select("doc_id", F.posexplode(text.numeric_tokens(F.col("text"))).alias("place", "number"))
+    return {"sections": sections, "chunks": chunks, "facts": facts}
+
+
 def q10_incremental_ingest(spark, sf_dir):
-    """Documents arrive as files, one or more to a batch; a document that comes again replaces its rows."""
+    """Documents arrive as files, one or more to a batch, and are parsed, chunked and searched for numbers; three tables are read as of the last commit."""
     folder = _checkpoint(spark)
     schema = view(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/documents.parquet*")
-    query = streams.ingest(stream, lambda b: b.select("doc_id", "lang", "source", F.length("text").alias("chars")), f"{folder}/table", f"{folder}/state")
-    query.awaitTermination()
-    rows = streams.ingested(spark.read.parquet(f"{folder}/table"), "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
+    streams.ingest_tables(stream, _filing_tables, "doc_id", f"{folder}/tables", f"{folder}/state").awaitTermination()
+    counted = None
+    for name in ("sections", "chunks", "facts"):
+        rows = streams.committed(spark, f"{folder}/tables", name).groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("kept", F.lit(name))
+        counted = rows if counted is None else counted.unionByName(rows)
+    return counted
 
 
 QUERIES |= {f.__name__: f for f in (q2_stream_ttl_hits, q4_stream_stage_durations, q6_stream_drafts, q10_incremental_ingest)}
 
 
+_INGESTED = f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, trim(regexp_replace(unnest(l), '\\s+', ' ', 'g')) AS line FROM l),
+b AS (SELECT doc_id, i % 3 AS k, string_agg(line, ' ' ORDER BY i) AS said FROM e WHERE line <> '' GROUP BY doc_id, i % 3),
+p AS (SELECT d.doc_id, 'Item ' || CAST(k + 2 AS STRING) || '. Section' || coalesce(' ' || said, '') AS body FROM documents d CROSS JOIN (VALUES (0), (1), (2)) v(k) LEFT JOIN b USING (doc_id, k))
+SELECT doc_id, 'sections' AS kept, count(*) AS n FROM p GROUP BY doc_id
+UNION ALL SELECT doc_id, 'chunks', CAST(sum(len({ingestion._SENTENCES.format("body")})) AS BIGINT) FROM p GROUP BY doc_id
+UNION ALL SELECT doc_id, 'facts', CAST(len({analysis._NUMS.format("text")}) AS BIGINT) FROM documents WHERE len({analysis._NUMS.format("text")}) > 0"""
+
+
 def _oracles() -> dict[str, str]:
     joined = "SELECT s.user_id, (epoch_us(e.ts) - epoch_us(s.ts)) / 1000000.0 AS seconds FROM events s JOIN events e ON e.user_id = s.user_id AND e.ts > s.ts AND e.ts <= s.ts + INTERVAL 1 DAY WHERE s.event_type = 'signup' AND e.event_type = 'purchase'"
     return {
         "q2_stream_ttl_hits": f"{_TTL} SELECT event_id, hit FROM w",
         "q4_stream_stage_durations": f"SELECT user_id, count(*) AS n, round(sum(seconds), 1) AS seconds FROM ({joined}) GROUP BY user_id",
         "q6_stream_drafts": _DRAFT,
-        "q10_incremental_ingest": "SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source",
+        "q10_incremental_ingest": _INGESTED,
     }
 
 
-from tidemark.plans.registry import ORACLE_SQL  # noqa: E402
-
 ORACLE_SQL |= _oracles()

@@ -148,14 +148,20 @@ def a15_flatten_index_docs(documents):
 def a16_upsert_index(customer):
     rows = customer.select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
     new = rows.where("c_nationkey < 5").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    return tables.upsert(rows, new, "c_custkey").drop("c_nationkey")
+    path = shared_path(customer.sparkSession, "index")
+    tables.upsert_index(path, rows, "c_custkey")
+    tables.upsert_index(path, new, "c_custkey")
+    return tables.table(customer.sparkSession, path).drop("c_nationkey")
 
 
 @query("SELECT accession, concept, period_start, period_end, CASE WHEN fq = 1 THEN value * 2 ELSE value END AS value FROM {facts} WHERE fq <> 1 OR concept <> 'Assets'", "facts")
 def a17_load_facts(facts):
     rows = facts.select("accession", "concept", "period_start", "period_end", "value", "fq")
     new = rows.where("fq = 1 and concept <> 'Assets'").withColumn("value", F.col("value") * 2)
-    return tables.replace_accessions(rows, new).drop("fq")
+    path = shared_path(facts.sparkSession, "facts")
+    tables.load_facts(path, rows)
+    tables.load_facts(path, new)
+    return tables.table(facts.sparkSession, path).drop("fq")
 
 
 @query("SELECT ticker, concept, count(*) AS n FROM {facts} WHERE concept = 'Revenues' GROUP BY ticker, concept", "facts")

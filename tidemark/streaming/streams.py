@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -92,6 +93,62 @@ def ingested(rows: DataFrame, accession: str) -> DataFrame:
     return rows.join(last, [accession, "batch"], "left_semi")
 
 
+def ingest_tables(stream: DataFrame, make: Callable[[DataFrame], dict[str, DataFrame]], key: str, path: str, checkpoint: str, compact_every: int = 8, trigger: dict | None = None):
+    """Incremental ingestion into several tables that readers see change together.
+
+    ``make`` turns a batch of filings into tables that all have ``key``. A batch writes each
+    table's rows and the keys that it brought, and last a commit record that names the
+    parts that count; what a batch without a record has written is not seen, and the batch
+    overwrites it when it runs again. After ``compact_every`` batches the parts become one,
+    of each key's last batch only, so what a reader opens does not grow with the number of batches.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _commit(spark, path, number)
+        part = f"b{number}"
+        batch.select(key).distinct().withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/keys/part={part}")
+        names = []
+        for name, rows in make(batch).items():
+            rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/{name}/part={part}")
+            names.append(name)
+        parts = (before["parts"] if before else []) + [part]
+        if len(parts) > compact_every:
+            whole = f"c{number}"
+            for name in [*names, "keys"]:
+                _last_of(spark, path, name, parts, key).write.mode("overwrite").parquet(f"{path}/{name}/part={whole}")
+            parts = [whole]
+        spark.createDataFrame([(number, key, parts)], "number long, key string, parts array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/commits/slot={number % 2}")
+
+    return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _commit(spark, path: str, below: int | None = None):
+    """The last commit record (of a batch before ``below``), None if there is none. Two slots take turns, so one stays whole while the other is written."""
+    try:
+        found = spark.read.schema("number long, key string, parts array<string>").json(f"{path}/commits").where("number is not null").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return max((r for r in found if below is None or r["number"] < below), key=lambda r: r["number"], default=None)
+
+
+def _last_of(spark, path: str, name: str, parts: list[str], key: str) -> DataFrame:
+    """Of the parts, the rows of each key's last batch."""
+    read = lambda n: spark.read.parquet(*[f"{path}/{n}/part={p}" for p in parts])
+    last = read("keys").groupBy(key).agg(F.max("batch").alias("batch"))
+    return read(name).join(last, [key, "batch"], "left_semi")
+
+
+def committed(spark, path: str, name: str) -> DataFrame:
+    """A table that :func:`ingest_tables` keeps, as of its last commit record: each key's rows of the last batch that brought it."""
+    record = _commit(spark, path)
+    if record is None:
+        raise ValueError(f"nothing is committed at {path}")
+    return _last_of(spark, path, name, record["parts"], record["key"]).drop("batch")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """All output of a stream over the data that is there now, written as Parquet beside its checkpoint and read back."""
     out = f"{checkpoint}/{name}-rows"
