@@ -322,3 +322,20 @@ def test_semantic_split_of_tables_and_prose(spark):
         assert "".join(b for _, b, _ in own) == t
         assert len(own) == 1 or min(n for *_, n in own) >= chunking.CHILD_MIN
         assert len(own) >= 2 or i == 2
+
+
+def test_marks_in_texts_stay(spark):
+    """Control characters that serve as marks inside come out as they went in."""
+    said = "A\x02b. \x01C Mr. X\x01\x02\x05y. Then\x02. Next! \x02\x03\x04Z"
+    row = spark.createDataFrame([(said,)], "t string").select(text.sentence_pieces(F.col("t")).alias("p"), text.sentences(F.col("t")).alias("s"), text.spans(text.sentence_pieces(F.col("t"))).alias("x")).first()
+    assert "".join(row["p"]) == said and "".join(said[x["s"] : x["e"]] for x in row["x"]) == said
+    assert "".join(row["s"]).replace(" ", "") == said.replace(" ", "") and len(row["s"]) == len(row["p"]) >= 2
+
+
+def test_groupings_of_very_many_items(spark):
+    """A fold that appends would be quadratic here."""
+    sizes = [(i * 7) % 90 for i in range(200_000)]
+    row = spark.createDataFrame([(sizes,)], "n array<int>").select(chunking.coalesce_units(F.col("n"), 300, 700).alias("a"), chunking.merge_small(F.col("n"), 300).alias("b"), text.spans(F.transform("n", lambda n: F.repeat(F.lit("x"), n))).alias("s")).first()
+    assert row["s"][-1]["e"] == sum(sizes) and len(row["s"]) == sum(n > 0 for n in sizes)
+    for groups in (row["a"], row["b"]):
+        assert groups[0] == 0 and set(b - a for a, b in zip(groups, groups[1:])) == {0, 1}

@@ -2,42 +2,93 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def pack_groups(sizes: Column, budget: Column | int) -> Column:
-    """Group number of each item of a short array: a new group starts where an item would exceed the budget of one that is not empty."""
-    budget = budget if isinstance(budget, Column) else F.lit(budget)
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+def _groups(rule):
+    """A vectorized function of an array of sizes that gives each item's group: ``rule`` walks one array. Appending within a native fold would be quadratic."""
 
-    def step(acc: Column, n: Column) -> Column:
-        full = (F.size(acc["out"]) > 0) & (acc["used"] + n > budget)
-        g = acc["g"] + F.when(full, 1).otherwise(0)
-        return F.struct(g.alias("g"), F.when(full, n).otherwise(acc["used"] + n).cast("long").alias("used"), F.concat(acc["out"], F.array(g)).alias("out"))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def grouped(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda row: rule([int(n) for n in row]) if row is not None else [])
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    return grouped
 
 
 def pack_long(budget: int):
-    """The same for arrays of any length, as a vectorized function: appending within a native fold would be quadratic."""
+    """Group number of each item: a new group starts where an item would exceed the budget of one that is not empty."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pack(sizes: pd.Series) -> pd.Series:
-        def one(row) -> list[int]:
-            out, group, used = [], 0, 0
-            for n in row if row is not None else ():
-                if out and used + n > budget:
-                    group, used = group + 1, 0
-                used += int(n)
-                out.append(group)
-            return out
-
-        return sizes.map(one)
-
-    return pack
+    def rule(sizes: list[int]) -> list[int]:
+        out, group, used = [], 0, 0
+        for n in sizes:
+            if out and used + n > budget:
+                group, used = group + 1, 0
+            used += n
+            out.append(group)
+        return out
+
+    return _groups(rule)
+
+
+def join_while_small(least: int, most: int):
+    """Group number of each item: one joins the group before while that is below ``least`` and both stay within ``most``."""
+
+    def rule(sizes: list[int]) -> list[int]:
+        out, group, used = [], -1, 0
+        for n in sizes:
+            if group >= 0 and used < least and used + n <= most:
+                used += n
+            else:
+                group, used = group + 1, n
+            out.append(group)
+        return out
+
+    return _groups(rule)
+
+
+def grow_to(least: int):
+    """Group number of each item: a group grows until it has ``least``; what is left at the end joins the last full group."""
+
+    def rule(sizes: list[int]) -> list[int]:
+        out, group, used = [], 0, 0
+        for n in sizes:
+            if used >= least:
+                group, used = group + 1, 0
+            used += n
+            out.append(group)
+        return [min(g, group - 1) for g in out] if used < least and group > 0 else out
+
+    return _groups(rule)
+
+
+def pack_counted(budget: int, most_items: int):
+    """Group number of each item: a new group starts where an item would exceed the budget, or after ``most_items``."""
+
+    def rule(sizes: list[int]) -> list[int]:
+        out, group, used, items = [], -1, 0, 0
+        for n in sizes:
+            if group < 0 or items >= most_items or used + n > budget:
+                group, used, items = group + 1, 0, 0
+            used, items = used + n, items + 1
+            out.append(group)
+        return out
+
+    return _groups(rule)
+
+
+def running_spans(lengths: Column) -> Column:
+    """Half-open spans ``(s, e)`` of consecutive items of the given lengths, without empty ones."""
+
+    def rule(sizes: list[int]) -> list[int]:
+        return list(accumulate(sizes))
+
+    spans = F.zip_with(lengths, _groups(rule)(lengths), lambda n, end: F.struct((end - n).cast("int").alias("s"), end.cast("int").alias("e")))
+    return F.filter(spans, lambda x: x["e"] > x["s"])
 
 
 def budget_concat(texts: Column, budget: int, separator: str = "\n\n") -> Column:

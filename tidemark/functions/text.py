@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import folds
+
 MARK = "\x01"
 #: Words whose full stop ends no sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "Inc", "Corp", "Ltd", "Co", "vs", "etc", "approx", "est", "avg")
@@ -27,30 +29,38 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _marked(text: Column, abbreviations: str) -> Column:
+    """The text with a code in place of each full stop after an abbreviation, and codes for the characters that serve as marks."""
+    own = F.replace(F.replace(text, F.lit("\x02"), F.lit("\x02\x03")), F.lit(MARK), F.lit("\x02\x04"))
+    plain = F.when(text.contains("\x02") | text.contains(MARK), own).otherwise(text)
+    return F.regexp_replace(plain, abbreviations, "$1\x02\x05")
+
+
+def _unmarked(piece: Column) -> Column:
+    out = piece
+    for code, char in (("\x05", "."), ("\x04", MARK), ("\x03", "\x02")):
+        out = F.replace(out, F.lit("\x02" + code), F.lit(char))
+    return F.when(piece.contains("\x02"), out).otherwise(piece)
+
+
 def sentences(text: Column) -> Column:
     """Sentences without surrounding white space; a full stop after an abbreviation ends none."""
-    kept = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.", "$1\x02")
+    kept = _marked(text, rf"\b({'|'.join(ABBREVIATIONS)})\.")
     cut = F.regexp_replace(kept, r'([.!?])\s+(?=[A-Z"(])', "$1" + MARK)
-    parts = F.transform(F.split(cut, MARK), lambda s: F.regexp_replace(F.translate(s, "\x02", "."), r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(cut, MARK), lambda s: F.regexp_replace(_unmarked(s), r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 
 def spans(pieces: Column) -> Column:
     """Half-open spans of consecutive pieces, without empty ones; together they cover the text exactly."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        return F.struct(end.alias("at"), F.when(end > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), end.alias("e"))))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return folds.running_spans(F.transform(pieces, lambda p: F.length(p)))
 
 
 def sentence_pieces(text: Column) -> Column:
     """The text cut behind the white space between sentences; the pieces joined give the text."""
-    kept = F.regexp_replace(text, rf"(?i)(?<![A-Za-z])({'|'.join(ABBREVIATIONS)})\.", "$1\x02")
+    kept = _marked(text, rf"(?i)(?<![A-Za-z])({'|'.join(ABBREVIATIONS)})\.")
     cut = F.regexp_replace(kept, r'([.!?]\s+)(?=[A-Z"(])', "$1" + MARK)
-    return F.transform(F.split(cut, MARK), lambda s: F.translate(s, "\x02", "."))
+    return F.transform(F.split(cut, MARK), lambda s: _unmarked(s))
 
 
 def simple_sentences(text: Column) -> Column:

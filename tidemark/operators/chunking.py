@@ -55,30 +55,12 @@ def macro_units(body: Column) -> Column:
 
 def coalesce_units(sizes: Column, least: int = CHUNK_MIN, most: int = PARENT) -> Column:
     """Group number of each unit: one joins the group before while that is below ``least`` tokens and both stay within ``most``."""
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        joins = (acc["g"] >= 0) & (acc["used"] < least) & (acc["used"] + n <= most)
-        g = F.when(joins, acc["g"]).otherwise(acc["g"] + 1)
-        return F.struct(g.alias("g"), F.when(joins, acc["used"] + n).otherwise(n).cast("long").alias("used"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    return folds.join_while_small(least, most)(sizes)
 
 
 def merge_small(sizes: Column, least: int = CHILD_MIN) -> Column:
     """Group number of each item: a group grows until it has ``least`` tokens; what is left at the end joins the last full group."""
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        new = acc["used"] >= least
-        g = acc["g"] + F.when(new, 1).otherwise(0)
-        return F.struct(g.alias("g"), F.when(new, n).otherwise(acc["used"] + n).cast("long").alias("used"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        short = (acc["used"] < least) & (acc["g"] > 0)
-        return F.transform(acc["out"], lambda g: g - F.when(short & (g == acc["g"]), 1).otherwise(0))
-
-    return F.aggregate(sizes, start, step, finish)
+    return folds.grow_to(least)(sizes)
 
 
 def split_oversized(docs: DataFrame, target: int, least: int, *, id_col: str = "doc_id", text_col: str = "text", size=text.token_count) -> DataFrame:
@@ -225,14 +207,7 @@ def group_turns(turns: DataFrame, by: str, place: str, *, speaker: str = "role",
     """``id, chunk_index, chunk_total, speaker, n_turns, n_tokens``: up to four turns within 600 tokens; small chunks are left out but keep their number."""
     rows = turns.withColumn("_n", text.token_count(F.col(said)).cast("int"))
     packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col("_n").alias("n"), F.col(speaker).alias("speaker")))).alias("c"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("used"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        new = (acc["g"] < 0) | (acc["k"] >= n_turns) | (acc["used"] + t["n"] > most)
-        g = acc["g"] + F.when(new, 1).otherwise(0)
-        return F.struct(g.alias("g"), F.when(new, t["n"]).otherwise(acc["used"] + t["n"]).alias("used"), F.when(new, 1).otherwise(acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    packed = packed.withColumn("g", F.aggregate("c", start, step, lambda acc: acc["out"]))
+    packed = packed.withColumn("g", folds.pack_counted(most, n_turns)(F.transform("c", lambda c: c["n"])))
     items = packed.select(by, (F.array_max("g") + 1).alias("chunk_total"), F.inline(F.zip_with("c", "g", lambda c, g: F.struct(c["p"].alias("p"), c["n"].alias("n"), c["speaker"].alias("speaker"), g.alias("chunk_index")))))
     out = items.groupBy(by, "chunk_index", "chunk_total").agg(F.min_by("speaker", "p").alias("speaker"), F.count("*").alias("n_turns"), F.sum("n").alias("n_tokens"))
     return out.where(F.col("n_tokens") >= least)

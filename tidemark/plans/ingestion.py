@@ -429,11 +429,32 @@ _TITLES = ("Management’s Discussion and Analysis of Results", "RISK FACTORS",
 CASE o_orderkey % 7 WHEN 0 THEN '7' WHEN 1 THEN '1A' WHEN 2 THEN '3' WHEN 3 THEN '9A' WHEN 5 THEN '15' WHEN 6 THEN '7A' END AS annual FROM orders""",
     "orders",
 )
-def c9_title_lookup(orders):
+def c9_known_titles(orders):
     title = F.get(F.array(*[F.lit(t) for t in _TITLES]), (F.col("o_orderkey") % 7).cast("int"))
     return orders.select("o_orderkey", parsing.title_item(F.lit("10-Q"), title).alias("quarterly"), parsing.title_item(F.lit("10-K"), title).alias("annual"))
 
 
+def _title_case(rules) -> str:
+    return "CASE " + " ".join(f"WHEN contains(t, '{name.replace(chr(39), chr(39) * 2)}') THEN '{found}'" for name, found in rules) + " END"
+
+
+_QUARTERLY, _ANNUAL = _title_case((n, f"{p}/{i}") for n, p, i in parsing.TITLES_10Q), _title_case(parsing.TITLES_10K)
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM l),
+k AS (SELECT doc_id, i, line || ' ' || [{", ".join(f"'{t.replace(chr(39), chr(39) * 2)}'" for t in _TITLES)}][length(line) % {len(_TITLES)} + 1] || ' ' || line AS title FROM e),
+n AS (SELECT doc_id, i, replace(translate(lower(title), '’‘“”–—', chr(39) || chr(39) || '""--'), chr(0), '') AS t FROM k)
+SELECT doc_id, CAST(i AS INT) AS i, {_QUARTERLY} AS quarterly, {_ANNUAL} AS annual FROM n""",
+    "documents",
+)
+def c9_title_lookup(documents):
+    """Titles within the lines of all documents."""
+    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    title = F.concat_ws(" ", "line", F.get(F.array(*[F.lit(t) for t in _TITLES]), F.length("line") % len(_TITLES)), "line")
+    return rows.select("doc_id", "i", parsing.title_item(F.lit("10-Q"), title).alias("quarterly"), parsing.title_item(F.lit("10-K"), title).alias("annual"))
+
+
 _ABBR = "|".join(text.ABBREVIATIONS)
 _SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(regexp_replace({{0}}, '\\b({_ABBR})\\.', '\\1' || chr(2), 'g'), '([.!?])\\s+([A-Z\"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(translate(s, chr(2), '.'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 
@@ -499,16 +520,25 @@ def d8_pack_rows(conversations):
     return chunking.group_sentences(rows, 700, id_col="conv_id", pieces=F.transform("c", lambda c: c["text"]), size=F.length).drop("body")
 
 
+_SIZE_OF_VECTOR = "20 + CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 1000) AS INT) % 200"
+
+
 @query(
-    """WITH v AS (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prior FROM embeddings),
-s AS (SELECT label, vec_id, round(CAST(list_cosine_similarity(CAST(prior AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS DOUBLE), 9) AS similarity FROM v),
-q AS (SELECT label, quantile_cont(similarity, 0.25) AS cut FROM s GROUP BY label)
-SELECT s.label, vec_id, similarity, coalesce(similarity <= cut, false) AS valley FROM s JOIN q ON s.label = q.label""",
+    f"""WITH RECURSIVE v AS (SELECT label, vec_id, embedding, {_SIZE_OF_VECTOR} AS n, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prior FROM embeddings),
+s AS (SELECT label, vec_id, n, round(CAST(list_cosine_similarity(CAST(prior AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS DOUBLE), 9) AS similarity FROM v),
+q AS (SELECT label, quantile_cont(similarity, 0.25) AS cut FROM s GROUP BY label),
+r AS (SELECT s.label, vec_id, n, similarity, coalesce(similarity <= cut, false) AS valley, row_number() OVER (PARTITION BY s.label ORDER BY vec_id) AS i FROM s JOIN q ON s.label = q.label),
+w AS (SELECT label, vec_id, i, similarity, valley, n AS used, 0 AS child FROM r WHERE i = 1
+ UNION ALL SELECT r.label, r.vec_id, r.i, r.similarity, r.valley, CASE WHEN w.used >= {chunking.CHILD_MIN} AND (r.valley OR w.used + r.n > {chunking.CHILD_MAX}) THEN r.n ELSE w.used + r.n END,
+ w.child + CASE WHEN w.used >= {chunking.CHILD_MIN} AND (r.valley OR w.used + r.n > {chunking.CHILD_MAX}) THEN 1 ELSE 0 END FROM w JOIN r ON r.label = w.label AND r.i = w.i + 1)
+SELECT label, vec_id, similarity, valley, CAST(child AS INT) AS child FROM w""",
     "embeddings",
 )
 def d9_semantic_valleys(embeddings):
-    rows = chunking.semantic_breaks(embeddings.withColumn("tokens", F.lit(30)), "label", "vec_id", "embedding", "tokens")
-    return rows.select("label", "vec_id", "similarity", "valley")
+    """Valleys and children of each label's vectors; sizes come from the vectors."""
+    size = 20 + F.floor(F.abs(F.get("embedding", F.lit(0)).cast("double")) * 1000).cast("int") % 200
+    rows = chunking.semantic_breaks(embeddings.withColumn("tokens", size), "label", "vec_id", "embedding", "tokens")
+    return rows.select("label", "vec_id", "similarity", "valley", "child")
 
 
 @query("SELECT doc_id, md5(text) AS digest, true AS within FROM documents", "documents")
@@ -555,11 +585,24 @@ def d16_group_sentences(documents):
 
 
 @query(
-    "SELECT * FROM (" + _PACK.format("doc_id", "i0", "n0", "(SELECT doc_id, generate_subscripts(s, 1) AS i0, length(unnest(s)) AS n0 FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda w: w <> '') AS s FROM documents WHERE NOT contains(text, '|')))", 2000) + ") WHERE n_tokens >= 500",
+    """WITH RECURSIVE d AS (SELECT doc_id, text, contains(text, chr(10)) AND length(text) - length(replace(text, '|', '')) >= 2 AS shaped FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS l FROM d WHERE shaped),
+u AS (SELECT doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS t, true AS is_row FROM l UNION ALL SELECT doc_id, 1, text, false FROM d WHERE NOT shaped),
+f AS (SELECT *, NOT is_row OR length(t) > 2000 AS is_long FROM u),
+p AS (SELECT *, coalesce(lag(is_long) OVER (PARTITION BY doc_id ORDER BY place), false) AS was_long FROM f),
+g AS (SELECT *, sum(CASE WHEN is_long OR was_long THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS segment FROM p),
+c AS (SELECT doc_id, segment, place, CASE WHEN is_long THEN list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda w: w <> '') ELSE [t] END AS c FROM g),
+k AS (SELECT doc_id, segment, place, generate_subscripts(c, 1) AS k, length(unnest(c)) AS n FROM c),
+s AS (SELECT doc_id, segment, n, row_number() OVER (PARTITION BY doc_id, segment ORDER BY place, k) AS i FROM k),
+w AS (SELECT doc_id, segment, i, n, n AS used, 0 AS b FROM s WHERE i = 1
+ UNION ALL SELECT s.doc_id, s.segment, s.i, s.n, CASE WHEN w.used + s.n > 2000 THEN s.n ELSE w.used + s.n END, w.b + CASE WHEN w.used + s.n > 2000 THEN 1 ELSE 0 END FROM w JOIN s ON s.doc_id = w.doc_id AND s.segment = w.segment AND s.i = w.i + 1),
+o AS (SELECT doc_id, segment, b, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens FROM w GROUP BY doc_id, segment, b)
+SELECT doc_id, block, n_sentences, n_tokens FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment, b) - 1 AS INT) AS block FROM o) WHERE n_tokens >= 500""",
     "documents",
 )
 def d15_split_oversized(documents):
-    out = chunking.split_oversized(documents.where(~F.col("text").contains("|")), 2000, 500, size=F.length)
+    """All texts: those shaped like rows by lines, the others by words."""
+    out = chunking.split_oversized(documents, 2000, 500, size=F.length)
     return out.select("doc_id", "block", F.col("n_items").alias("n_sentences"), "n_tokens")
 
 
@@ -570,13 +613,20 @@ def d17_parent_blocks(documents):
     return out.select("doc_id", "block", "n_tokens", F.md5("body").alias("digest"))
 
 
-@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, true AS large_enough FROM conversations GROUP BY conv_id", "conversations")
+@query(
+    """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i, length(text) AS n FROM conversations),
+w AS (SELECT conv_id, i, n, n AS used, 0 AS g FROM s WHERE i = 1
+ UNION ALL SELECT s.conv_id, s.i, s.n, CASE WHEN w.used >= 300 THEN s.n ELSE w.used + s.n END, w.g + CASE WHEN w.used >= 300 THEN 1 ELSE 0 END FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1),
+e AS (SELECT conv_id, max(g) AS last, arg_max(used, i) < 300 AND max(g) > 0 AS short FROM w GROUP BY conv_id)
+SELECT conv_id, CAST(CASE WHEN short AND g = last THEN g - 1 ELSE g END AS INT) AS part, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS n_chars FROM w JOIN e USING (conv_id) GROUP BY ALL""",
+    "conversations",
+)
 def d11_merge_small(conversations):
-    """Merged groups cover all turns, and none is small unless it is the only one."""
+    """Turns merged until a group has 300 characters; a short rest joins the last full group."""
     rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("c"))
     rows = rows.select("conv_id", F.transform("c", lambda c: c["n"]).alias("n")).withColumn("g", chunking.merge_small(F.col("n"), 300))
-    rows = rows.select("conv_id", F.inline(F.arrays_zip("n", "g"))).groupBy("conv_id", "g").agg(F.sum("n").alias("n"))
-    return rows.groupBy("conv_id").agg(F.sum("n").alias("n_chars"), ((F.min("n") >= 300) | (F.count("*") == 1)).alias("large_enough"))
+    rows = rows.select("conv_id", F.inline(F.arrays_zip("n", "g")))
+    return rows.groupBy("conv_id", F.col("g").alias("part")).agg(F.count("*").alias("n_turns"), F.sum("n").alias("n_chars"))
 
 
 @query(None, "documents")
