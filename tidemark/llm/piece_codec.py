@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Entries kept per worker: of stretches in the newer and the older of two tables, and of pair tests.
-STRETCHES, PAIRS = 80_000, 100_000
+STRETCHES, PAIRS = 110_000, 300_000
+#: Stands for the text's start in pair tests: any piece may follow it.
+START = 0xFFFFF
 #: Signs at the end of a stretch that may continue kept ids; more of them are encoded with the stretch.
 TAIL = 3
 
@@ -39,7 +41,7 @@ class PairTable(dict):
     def __missing__(self, key: int) -> bool:
         if len(self) >= PAIRS:
             self.clear()
-        self[key] = found = self.test(key >> 20, key & 0xFFFFF)
+        self[key] = found = key >> 20 == START or self.test(key >> 20, key & 0xFFFFF)
         return found
 
 
@@ -73,6 +75,7 @@ class PieceCodec:
         self.stretches = re.compile(stretch).findall if apart else lambda text: [text]
         self.pairs = PairTable(self.compatible)
         self.decimals = [str(i) for i in range(len(self.pieces))]
+        self.sizes = [len(p) for p in self.pieces]
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -96,24 +99,27 @@ class PieceCodec:
         return self.merged(x + y) == [x, y]
 
     def prefix_table(self, text: str) -> list[int]:
-        """For each prefix length of a text, all of whose characters are pieces, the id of its last token."""
-        last = [-1] * (len(text) + 1)
+        """For each place in a text, all of whose characters are pieces, the id of the last token of the prefix that ends there; then ``START``.
+
+        The place before the first is the list's last, as Python counts.
+        """
+        last = [-1] * len(text)
+        last.append(START)
         pairs = self.pairs
         for at, (size, i) in self.matcher.iter(text):
-            at += 1
-            if last[at] < 0 and (at == size or pairs[last[at - size] << 20 | i]):
+            if last[at] < 0 and pairs[last[at - size] << 20 | i]:
                 last[at] = i
         return last
 
     def encode_known(self, text: str) -> list[int]:
         """The ids of a text, all of whose characters are pieces."""
-        last, out, at, pieces = self.prefix_table(text), [], len(text), self.pieces
-        while at:
+        last, out, at, sizes = self.prefix_table(text), [], len(text) - 1, self.sizes
+        while at >= 0:
             i = last[at]
             if i < 0:
                 raise ValueError("the model's merges leave a prefix without a last token")
             out.append(i)
-            at -= len(pieces[i])
+            at -= sizes[i]
         out.reverse()
         return out
 
