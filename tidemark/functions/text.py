@@ -78,7 +78,7 @@ def word_count(text: Column) -> Column:
 
 def line_pieces(text: Column) -> Column:
     """Lines with their line break; joined they give the text."""
-    return F.filter(F.split(F.regexp_replace(text, r"\n", "\n" + MARK), MARK), lambda s: s != "")
+    return F.filter(F.split(text, r"(?<=\n)"), lambda s: s != "")
 
 
 def is_row_shaped(text: Column) -> Column:

@@ -48,7 +48,7 @@ def group_sentences(docs: DataFrame, budget: int = PARENT, least: int = 0, *, id
 
 def macro_units(body: Column) -> Column:
     """Units of a discussion section, cut at headers in capitals and at bullets."""
-    cut = F.split(F.regexp_replace(body, MACRO, text.MARK), text.MARK)
+    cut = F.split(body, MACRO)
     units = F.flatten(F.transform(cut, lambda u: F.split(u, BULLET)))
     return F.filter(F.transform(units, lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != "")
 
@@ -102,7 +102,7 @@ def parent_blocks(sections: DataFrame, target: int = PARENT, least: int = CHUNK_
 
 def enforce_max(children: DataFrame, most: int = CHILD_MAX, *, id_col: str = "child_id", text_col: str = "text", size=text.token_count) -> DataFrame:
     """Children within ``most`` tokens as they are, others cut at word starts; the parts of a child joined give its text."""
-    pieces = F.filter(F.split(F.regexp_replace(text_col, r"(\s)(?=\S)", "$1" + text.MARK), text.MARK), lambda w: w != "")
+    pieces = F.filter(F.split(text_col, r"(?<=\s)(?=\S)"), lambda w: w != "")
     rows = children.select(id_col, F.when(size(F.col(text_col)) <= most, F.array(text_col)).otherwise(pieces).alias("p"))
     rows = rows.withColumn("n", F.transform("p", lambda p: size(p).cast("int"))).withColumn("g", folds.pack_long(most)("n"))
     rows = rows.select(id_col, F.posexplode(F.arrays_zip("g", "n", "p")).alias("place", "z")).select(id_col, "place", "z.*")
@@ -243,6 +243,29 @@ def embed(texts: DataFrame, column: str, dims: int = 64) -> DataFrame:
     return texts.withColumn("embedding", counted(places))
 
 
+def embed_with(load, batch: int = 256):
+    """An embedding function like :func:`embed` around a model: ``load()`` gives a callable from a list of texts to a list of vectors.
+
+    The model is loaded once in each task, whatever the number of batches, and called
+    with ``batch`` texts at most; null texts count as empty.
+    """
+
+    def vectors_of(texts: DataFrame, column: str) -> DataFrame:
+        @F.pandas_udf("array<float>")
+        def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for said in columns:
+                said = ["" if t is None else t for t in said.tolist()]
+                out: list = []
+                for start in range(0, len(said), batch):
+                    out += [np.asarray(v, np.float32) for v in model(said[start : start + batch])]
+                yield pd.Series(out)
+
+        return texts.withColumn("embedding", run(column))
+
+    return vectors_of
+
+
 def embed_distinct(texts: DataFrame, known: DataFrame, column: str, model) -> DataFrame:
     """Embed each distinct text once unless its vector is known, and put the vectors back by the text's hash.
 

@@ -562,9 +562,10 @@ def j6_sentiment_counts(conversations):
 def k2_align_statements(conversations):
     """Each conversation's statements against those of the conversation before it."""
     rows = conversations.select("conv_id", F.col("turn").alias("t"), F.posexplode(text.sentences(F.col("text"))).alias("p", "sentence"))
-    rows = rows.withColumn("place", F.col("t") * 100_000 + F.col("p"))
+    rows = rows.withColumn("place", F.struct("t", "p"))
     out = comparison.align_statements(rows, rows.withColumn("conv_id", F.col("conv_id") + 1), "conv_id")
-    return out.select("conv_id", "place", "prior_place", "overlap", comparison.detect_shift(F.col("current"), F.col("prior")).alias("shift"))
+    place = [F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("place", "prior_place") for k in ("t", "p")]
+    return out.select("conv_id", *place, "overlap", comparison.detect_shift(F.col("current"), F.col("prior")).alias("shift"))
 
 
 _LINES = ("Revenue grew 10% this year.", "revenue grew 10% this year", "This year, revenue grew 10%.", "Revenue grew 10.5% this year.", "Revenue declined 10% this year.", "Revenue grew 90% this year.")
