@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fiscal, text
+from tidemark.staging import written
 
 #: Concept, its tags in order of priority, duration or instant, unit, required.
 CONCEPTS = (
@@ -186,12 +187,12 @@ def classify_metrics(requests: DataFrame, column: str = "metric") -> DataFrame:
 def calculate_metrics(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Values for requests ``(ticker, fiscal_label, metric, prior_label)`` from latest facts: append ``value``, ``unit`` and ``error``.
 
-    The facts of a period, one per concept, become one row, so that requests join twice
-    whatever the formula: with the current and with the prior period.
+    The facts of a period, one per concept, become one row of a table in the shared folder, so that
+    requests join twice whatever the formula, with the current and with the prior period, and facts are read once.
     """
     rows = classify_metrics(requests)
     fact = F.struct("concept", F.struct("value", "unit"))
-    periods = latest_facts(facts).groupBy("ticker", "fiscal_label").agg(F.map_from_entries(F.collect_list(fact)).alias("_facts"))
+    periods = written(latest_facts(facts).groupBy("ticker", "fiscal_label").agg(F.map_from_entries(F.collect_list(fact)).alias("_facts")), "periods")
     rows = rows.join(periods.withColumnRenamed("_facts", "_cur"), ["ticker", "fiscal_label"], "left")
     rows = rows.join(periods.toDF("ticker", "prior_label", "_prior"), ["ticker", "prior_label"], "left")
     of = lambda period, concept: F.try_element_at(period, concept)

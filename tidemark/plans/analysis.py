@@ -537,8 +537,9 @@ def _count(words):
     return "len(list_filter(w, lambda x: list_contains([" + ", ".join(f"'{x}'" for x in words) + "], x)))"
 
 
-_SCORES = f"""(SELECT *, round(1 - positive - negative, 4) AS neutral FROM (SELECT conv_id, turn, round({_count(sentiment.POSITIVE)} / greatest(len(w), 1), 4) AS positive,
- round({_count(sentiment.NEGATIVE)} / greatest(len(w), 1), 4) AS negative FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations)))"""
+_SCORES = f"""(SELECT *, round(1 - positive - negative, 4) AS neutral FROM (SELECT conv_id, turn, role, round({_count(sentiment.POSITIVE)} / greatest(len(w), 1), 4) AS positive,
+ round({_count(sentiment.NEGATIVE)} / greatest(len(w), 1), 4) AS negative FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations)))"""
+_LABEL_COUNTS = "CAST(count_if(positive > negative) AS BIGINT) AS positive, CAST(count_if(negative > positive) AS BIGINT) AS negative, CAST(count_if(positive = negative) AS BIGINT) AS neutral"
 
 
 @query(f"SELECT conv_id, turn, positive, negative, neutral FROM {_SCORES}", "conversations")
@@ -552,10 +553,15 @@ def j5_aggregate_sentiment(conversations):
     return sentiment.aggregate_sentiment(rows, "conv_id").select("conv_id", "label")
 
 
-@query("SELECT role, CAST(count_if(turn % 3 = 0) AS BIGINT) AS positive, CAST(count_if(turn % 3 = 1) AS BIGINT) AS negative, CAST(count_if(turn % 3 = 2) AS BIGINT) AS neutral FROM conversations GROUP BY role", "conversations")
+def _labelled(conversations, by: str):
+    """Each turn by which of the scorer's two scores is higher."""
+    rows = conversations.select(by, sentiment.lexicon_scores(F.col("text")).alias("s"))
+    return rows.select(by, F.when(F.col("s.positive") > F.col("s.negative"), "positive").when(F.col("s.negative") > F.col("s.positive"), "negative").otherwise("neutral").alias("label"))
+
+
+@query(f"SELECT role, {_LABEL_COUNTS} FROM {_SCORES} GROUP BY role", "conversations")
 def j6_sentiment_counts(conversations):
-    label = F.when(F.col("turn") % 3 == 0, "positive").when(F.col("turn") % 3 == 1, "negative").otherwise("neutral")
-    return sentiment.sentiment_counts(conversations.select("role", label.alias("label")), "role")
+    return sentiment.sentiment_counts(_labelled(conversations, "role"), "role")
 
 
 @query(None, "conversations")
@@ -684,10 +690,9 @@ def m1_evidence_text(documents, benchmark):
     return evidence.evidence_text(rows).select("query_id", F.md5("evidence").alias("digest"))
 
 
-@query("SELECT conv_id, 'positive=' || CAST(count_if(turn % 3 = 0) AS STRING) || ' negative=' || CAST(count_if(turn % 3 = 1) AS STRING) || ' neutral=' || CAST(count_if(turn % 3 = 2) AS STRING) || ' across ' || CAST(count(*) AS STRING) || ' passages' AS line FROM conversations GROUP BY conv_id", "conversations")
+@query(f"SELECT conv_id, 'positive=' || CAST(positive AS STRING) || ' negative=' || CAST(negative AS STRING) || ' neutral=' || CAST(neutral AS STRING) || ' across ' || CAST(n AS STRING) || ' passages' AS line FROM (SELECT conv_id, {_LABEL_COUNTS}, count(*) AS n FROM {_SCORES} GROUP BY conv_id)", "conversations")
 def m2_extra_evidence(conversations):
-    label = F.when(F.col("turn") % 3 == 0, "positive").when(F.col("turn") % 3 == 1, "negative").otherwise("neutral")
-    rows = sentiment.sentiment_counts(conversations.select("conv_id", label.alias("label")), "conv_id")
+    rows = sentiment.sentiment_counts(_labelled(conversations, "conv_id"), "conv_id")
     return rows.select("conv_id", evidence.sentiment_line(F.col("positive"), F.col("negative"), F.col("neutral")).alias("line"))
 
 
