@@ -20,6 +20,11 @@ def _groups(rule):
     return grouped
 
 
+def pack_groups(sizes: Column, budget: int) -> Column:
+    """Group number of each item: a new group starts where an item would exceed the budget of one that is not empty."""
+    return pack_long(budget)(sizes)
+
+
 def pack_long(budget: int):
     """Group number of each item: a new group starts where an item would exceed the budget of one that is not empty."""
 

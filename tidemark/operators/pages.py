@@ -212,7 +212,8 @@ def page_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                 out += [(i, n, *e) for n, e in enumerate(reader.events) if e[0]]
             yield pd.DataFrame(out, columns=["id", "place", "kind", "content", "target", "inside"])
 
-    return pages.select(id_col, html_col).mapInPandas(run, "id long, place int, kind string, content string, target string, inside int")
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(id_col, html_col).mapInPandas(run, f"id {kind}, place int, kind string, content string, target string, inside int")
 
 
 def extract_tables(events: DataFrame) -> DataFrame:
