@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the machine: workers live on, and their next task may be of another stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def anti_by_id(df: DataFrame, gone: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
     """``df`` without the rows whose keys are in ``gone``.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import no_clash, small_batches
+from tidemark.llm.common import give_back, no_clash, small_batches
 
 UNDETERMINED = "und"
 #: More distinct values of the language column are an error in the data.
@@ -189,5 +189,6 @@ def predict(docs: DataFrame, model: CodeModel | None, *, text_col="text", ambigu
                         for j, i in enumerate(rows):
                             lang[i], score[i], unsure[i] = own.languages[best[j]], share[j], gap[j] < ambiguous_gap
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[f.name for f in schema])
+        give_back()
 
     return docs.mapInArrow(run, schema)

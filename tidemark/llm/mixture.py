@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_names, materialize, running_base
+from tidemark.llm.common import free_names, give_back, materialize, running_base
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, rows whose words are summed together, slots of an output shard (more with over ``MOST_SHARDS`` shards), and bounds of what the driver holds.
@@ -251,5 +251,6 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if chars >= 0:
                 cols[chars] = pa.array([len(t) for t in out], pa.int64()).cast(batch.column(chars).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     return met.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import anti_by_id, hot_keys, join_hot, materialize, small_batches
+from tidemark.llm.common import anti_by_id, give_back, hot_keys, join_hot, materialize, small_batches
 
 WORDS, PERCENT, HOT, SECOND = 5, 75, 64, 3
 #: Signatures a task sorts together, signatures of a bucket, ids of a signature that a pack holds, and bits by which signatures exceed their number.
@@ -229,6 +229,8 @@ def sign(texts: DataFrame, words: int, percent: int, buckets: int, bits: int) ->
                 yield batch_of(notes)
         if held:
             yield batch_of(list(flush(np.concatenate(values), np.concatenate(ids))))
+        values, ids = [], []
+        give_back()
 
     return texts.select("id", "t", "text").mapInArrow(run, "bucket int, kind int, sig long, data binary, id long, note string")
 
@@ -296,6 +298,7 @@ def shared_signatures(signed: DataFrame, hot: int, parts: int) -> DataFrame:
                 sig, ids, pivot, is_hot = zip(*groups)
                 yield out(sig, [len(i) for i in ids], np.concatenate(ids), pivot, is_hot)
         yield from close()
+        give_back()
 
     dealt = signed.repartition(parts, "bucket") if parts else signed.repartition("bucket")
     return dealt.sortWithinPartitions("bucket", "kind").mapInArrow(run, "sig long, ids array<long>, pivot long, hot boolean, id long, note string")

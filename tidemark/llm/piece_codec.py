@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.common import give_back
+
 SPACE = "▁"
 #: Entries kept per worker: of stretches in the newer and the older of two tables, and of pair tests.
-STRETCHES, PAIRS = 110_000, 300_000
+STRETCHES, PAIRS = 80_000, 200_000
 #: Stands for the text's start in pair tests: any piece may follow it.
 START = 0xFFFFF
 #: Signs at the end of a stretch that may continue kept ids; more of them are encoded with the stretch.
@@ -223,5 +225,6 @@ def encode_decode(
             if tokens:
                 cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
