@@ -265,7 +265,7 @@ SELECT doc_id AS id, CAST(count(*) * CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END
 )
 def c2_extract_tables(documents):
     """Tables with all words of all documents: closed, without end tags, with empty cells, and nested."""
-    found = parsing.extract_tables(parsing.page_events(_cells_page(documents)))
+    found = parsing.extract_tables(parsing.page_events(_cells_page(documents), kinds=("table",)))
     return found.select("id", F.size(F.split("rows", "\n")).cast("long").alias("n"), F.md5("rows").alias("digest"))
 
 
