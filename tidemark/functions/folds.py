@@ -40,6 +40,38 @@ def pack_long(budget: int):
     return _groups(rule)
 
 
+def packed_runs(budget: int | None):
+    """The groups of :func:`pack_long` as a struct of arrays: ``starts``, ``counts`` and ``totals`` of each. An item that ``fresh`` marks begins a group whatever its size; without a budget only such an item does.
+
+    With them a row's groups are slices of its own array, so items need not be dealt out and gathered again.
+    """
+
+    def rule(sizes: list[int], fresh: list[bool]) -> tuple[list[int], list[int], list[int]]:
+        starts, totals = [], []
+        for i, (n, new) in enumerate(zip(sizes, fresh)):
+            if not starts or new or budget is not None and totals[-1] + n > budget:
+                starts.append(i)
+                totals.append(0)
+            totals[-1] += n
+        return starts, [b - a for a, b in zip(starts, [*starts[1:], len(sizes)])], totals
+
+    @F.pandas_udf("starts array<int>, counts array<int>, totals array<long>")
+    def grouped(sizes: pd.Series, fresh: pd.Series) -> pd.DataFrame:
+        found = [([], [], []) if n is None else rule([int(x) for x in n], list(new)) for n, new in zip(sizes, fresh)]
+        return pd.DataFrame(found, columns=["starts", "counts", "totals"])
+
+    def of(sizes: Column, fresh: Column | None = None) -> Column:
+        return grouped(sizes, F.transform(sizes, lambda n: F.lit(False)) if fresh is None else fresh)
+
+    return of
+
+
+def runs_of(groups: str, make) -> Column:
+    """An array of structs: ``make(start, count, total, number)`` of each group that :func:`packed_runs` has put into the column ``groups``; starts count from 1."""
+    zipped = F.arrays_zip(F.col(f"{groups}.starts"), F.col(f"{groups}.counts"), F.col(f"{groups}.totals"))
+    return F.transform(zipped, lambda x, i: make(x["starts"] + 1, x["counts"], x["totals"], i))
+
+
 def join_while_small(least: int, most: int):
     """Group number of each item: one joins the group before while that is below ``least`` and both stay within ``most``."""
 
