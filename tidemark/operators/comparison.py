@@ -77,18 +77,35 @@ def align_statements(current: DataFrame, prior: DataFrame, by: str, floor: float
 
 def detect_shift(current: Column, prior: Column, tolerance: float = 0.1) -> Column:
     """Whether the language shifted: no counterpart or a flipped direction is a shift; equal or reordered words and small changes of numbers are not."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9.%]+", " "))
-    words = lambda c: F.array_sort(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    letters = lambda c: F.array_sort(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    has = lambda c, names: F.arrays_overlap(letters(c), F.array(*[F.lit(n) for n in names]))
-    flip = (has(current, UP) & has(prior, DOWN) & ~has(prior, UP)) | (has(current, DOWN) & has(prior, UP) & ~has(current, UP))
-    a, b = (F.get(text.numeric_tokens(c), F.lit(0)).cast("double") for c in (current, prior))
+    row = F.transform(F.array(F.struct(told(current).alias("a"), told(prior).alias("b"))), lambda s: shift_of(s["a"], s["b"], tolerance))
+    return F.get(row, F.lit(0))
+
+
+def told(sentence: Column) -> Column:
+    """What :func:`shift_of` compares of a sentence: its plain text, its words and its letters-only words sorted, its first number, its directions. Null of a null sentence."""
+    low = F.lower(sentence)
+    letters = F.array_sort(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))
+    fields = F.struct(
+        F.trim(F.regexp_replace(low, r"[^a-z0-9.%]+", " ")).alias("plain"),
+        F.array_sort(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))).alias("words"),
+        letters.alias("letters"),
+        F.get(text.numeric_tokens(sentence), F.lit(0)).cast("double").alias("number"),
+    )
+    has = lambda s, names: F.arrays_overlap(s["letters"], F.array(*[F.lit(n) for n in names]))
+    whole = F.transform(F.array(fields), lambda s: F.struct(*[s[c].alias(c) for c in ("plain", "words", "letters", "number")], has(s, UP).alias("up"), has(s, DOWN).alias("down")))
+    return F.when(sentence.isNotNull(), F.get(whole, F.lit(0)))
+
+
+def shift_of(now: Column, before: Column, tolerance: float = 0.1) -> Column:
+    """:func:`detect_shift` of what :func:`told` gives of the two sentences."""
+    flip = (now["up"] & before["down"] & ~before["up"]) | (now["down"] & before["up"] & ~now["up"])
+    a, b = now["number"], before["number"]
     small = (b != 0) & (F.abs(a - b) / F.abs(b) <= tolerance)
-    same_words = letters(current) == letters(prior)
+    same_words = now["letters"] == before["letters"]
     return (
-        F.when(prior.isNull(), True)
-        .when(plain(current) == plain(prior), False)
-        .when(words(current) == words(prior), False)
+        F.when(before.isNull(), True)
+        .when(now["plain"] == before["plain"], False)
+        .when(now["words"] == before["words"], False)
         .when(flip, True)
         .when(same_words & F.coalesce(small, F.lit(False)), False)
         .otherwise(~same_words | ~F.coalesce(small, F.lit(True)))

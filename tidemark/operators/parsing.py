@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,10 @@ def canonical_section(form: Column, part: Column, item: Column) -> Column:
 
 def title_item(form: Column, title: Column) -> Column:
     """``part/item`` for 10-Q and ``item`` else of the first known part of a title that occurs, null if none does."""
+    # one CASE with all titles: what its conditions share, the plain title, is computed once
     plain = text.normalize_title(title)
-    q = k = F.lit(None).cast("string")
-    for part, p, i in reversed(TITLES_10Q):
-        q = F.when(plain.contains(part), f"{p}/{i}").otherwise(q)
-    for part, i in reversed(TITLES_10K):
-        k = F.when(plain.contains(part), i).otherwise(k)
+    q = reduce(lambda case, row: case.when(plain.contains(row[0]), f"{row[1]}/{row[2]}"), TITLES_10Q, F)
+    k = reduce(lambda case, row: case.when(plain.contains(row[0]), row[1]), TITLES_10K, F)
     return F.when(form == "10-Q", q).otherwise(k)
 
 
