@@ -11,28 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_ttl_hits(requests: DataFrame, key: str, ts: str, order: str, seconds: int, delay: str = "1 day") -> DataFrame:
-    """``key, order, hit`` of a stream of requests: state per key is the time its entry was set; it goes when the watermark passes the expiry."""
-    kinds = dict(requests.dtypes)
+def stream_ttl_hits(requests: DataFrame, key: str, ts: str, order: str, seconds: int, delay: str = "1 day", buckets: int = 1_024) -> DataFrame:
+    """``key, order, hit`` of a stream of requests: state holds for each key the time its entry was set; it goes when the watermark passes the expiry.
 
-    def replay(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    A request without a time never hits. Keys share state by ``buckets`` of their hash, as a call and a state row
+    for each key cost more than its requests; a task holds a batch's requests of one bucket and the
+    entries that live in it. The number must stay the same as long as the checkpoint does.
+    """
+    kinds, lifetime = dict(requests.dtypes), seconds * 1_000_000
+
+    def replay(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        set_at = dict(zip(*state.get)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["_at", order], kind="stable")
+            keys = [None] * len(rows) if bucket[0] < 0 else rows[key].tolist()
+            hits = []
+            for k, t in zip(keys, rows["_at"].tolist()):
+                since = set_at.get(k)
+                hit = since is not None and t - since < lifetime
+                if not hit and t == t:  # a missing time is NaN
+                    set_at[k] = int(t)
+                hits.append(hit)
+            yield pd.DataFrame({key: keys, order: rows[order], "hit": hits})
+        now = state.getCurrentWatermarkMs()
+        set_at = {k: t for k, t in set_at.items() if t + lifetime > now * 1000}
+        if set_at:
+            state.update((list(set_at), list(set_at.values())))
+            state.setTimeoutTimestamp(-(-(min(set_at.values()) + lifetime) // 1000))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([ts, order])
-        set_at = state.get[0] if state.exists else None
-        hits = []
-        for t in rows[ts].astype("int64").tolist():
-            hit = set_at is not None and t - set_at < seconds * 10**9
-            set_at = set_at if hit else t
-            hits.append(hit)
-        state.update((set_at,))
-        state.setTimeoutTimestamp(max(set_at // 10**6 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: k[0], order: rows[order], "hit": hits})
-
-    marked = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(key, ts, order)
-    nanos = marked.withColumn(ts, F.col(ts))
-    return nanos.groupBy(key).applyInPandasWithState(replay, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean", "set_at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    marked = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")  # in a bucket of their own, nulls change no type
+    rows = marked.select(bucket.alias("_bucket"), key, ts, order, F.unix_micros(ts).alias("_at"))
+    return rows.groupBy("_bucket").applyInPandasWithState(replay, f"{key} {kinds[key]}, {order} {kinds[order]}, hit boolean", f"keys array<{kinds[key]}>, set_at array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_stage_durations(events: DataFrame, keys: list[str], ts: str, start: Column, end: Column, most: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
