@@ -215,9 +215,10 @@ def parse_filings(pages: DataFrame, form: str = "10-Q", id_col: str = "page_id",
     """``id, section, body, method``: by the table of contents where that gives any section to keep, else by headings; dropped sections are left out.
 
     Pages are parsed once; their events are a table in the shared folder, of which the
-    contents and the headings read a few rows and two columns.
+    contents and the headings read a few rows and two columns. Both kinds of sections are tables there too.
     """
     events = written(page_events(pages, id_col, html_col), "events")
     toc = written(drop_canonical_sections(toc_sections(events, form)), "sections")
     heads = drop_canonical_sections(heading_sections(events.join(toc.select("id").distinct(), "id", "left_anti"), F.lit(form), _valid(form)))
+    heads = written(heads, "sections")
     return toc.withColumn("method", F.lit("toc")).unionByName(heads.withColumn("method", F.lit("headings")))

@@ -10,7 +10,7 @@ from tidemark.operators import analytics, evaluation, parsing
 from tidemark.plans import analysis, ingestion
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, query
 from tidemark.plans.views import view
-from tidemark.staging import shared_path, written
+from tidemark.staging import shared_path
 from tidemark.streaming import streams
 
 _TYPES = ("numeric", "retrieval", "comparison", "out_of_scope", "sentiment")
@@ -271,7 +271,7 @@ def q6_stream_drafts(spark, sf_dir):
 
 def _filing_tables(batch):
     """Sections of a batch's pages, their sentences as chunks, and the numbers that the documents state."""
-    sections = written(parsing.parse_filings(ingestion._whole_pages(batch, True)).withColumnRenamed("id", "doc_id"), "batch-sections")
+    sections = parsing.parse_filings(ingestion._whole_pages(batch, True)).withColumnRenamed("id", "doc_id")
     chunks = sections.select("doc_id", "section", F.posexplode(text.sentences(F.col("body"))).alias("place", "content"))
     facts = batch.select("doc_id", F.posexplode(text.numeric_tokens(F.col("text"))).alias("place", "number"))
     return {"sections": sections, "chunks": chunks, "facts": facts}

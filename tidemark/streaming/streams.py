@@ -111,8 +111,9 @@ def ingest_tables(stream: DataFrame, make: Callable[[DataFrame], dict[str, DataF
     ``make`` turns a batch of filings into tables that all have ``key``. A batch writes each
     table's rows and the keys that it brought, and last a commit record that names the
     parts that count; what a batch without a record has written is not seen, and the batch
-    overwrites it when it runs again. After ``compact_every`` batches the parts become one,
-    of each key's last batch only, so what a reader opens does not grow with the number of batches.
+    overwrites it when it runs again. Beyond ``compact_every`` parts some become one, of each
+    key's last batch there only, so what a reader opens does not grow with the number of batches;
+    which ones, see :func:`_merged_from`.
     """
 
     def load(batch: DataFrame, number: int) -> None:
@@ -126,15 +127,37 @@ def ingest_tables(stream: DataFrame, make: Callable[[DataFrame], dict[str, DataF
             names.append(name)
         parts = (before["parts"] if before else []) + [part]
         if len(parts) > compact_every:
-            whole = f"c{number}"
+            start = _merged_from(parts)
+            whole = f"c{_batches_of(parts[start])[0]}-{number}"
             for name in [*names, "keys"]:
-                _last_of(spark, path, name, parts, key).write.mode("overwrite").parquet(f"{path}/{name}/part={whole}")
-            parts = [whole]
+                _last_of(spark, path, name, parts[start:], key).write.mode("overwrite").parquet(f"{path}/{name}/part={whole}")
+            parts = [*parts[:start], whole]
         spark.createDataFrame([(number, key, parts)], "number long, key string, parts array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/commits/slot={number % 2}")
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _batches_of(part: str) -> tuple[int, int]:
+    """First and last batch of a part: ``b7`` is of one batch, ``c3-7`` of five, ``c7`` of all up to it."""
+    first, _, last = part[1:].rpartition("-")
+    return int(first or (last if part[0] == "b" else 0)), int(last)
+
+
+def _merged_from(parts: list[str]) -> int:
+    """From which part on the parts become one: the newest that are of one batch each, so that older rows are not written again;
+    if there is only one such, what follows the parts that are as large as all after them."""
+    sizes = [last - first + 1 for first, last in map(_batches_of, parts)]
+    start = len(sizes)
+    while start and sizes[start - 1] == 1:
+        start -= 1
+    if len(sizes) - start >= 2:
+        return start
+    start = 0
+    while start < len(sizes) - 2 and sizes[start] >= sum(sizes[start + 1 :]):
+        start += 1
+    return start
+
+
 def _commit(spark, path: str, below: int | None = None):
     """The last commit record (of a batch before ``below``), None if there is none. Two slots take turns, so one stays whole while the other is written."""
     try:
